@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clipping import clipped
 from .evaluate import average_rank_corr, spearman
-from .rank import add_rank, pct_rank
+from .rank import add_rank, pct_rank, rank_cuts
 
 
 def _mix(cols: Sequence[str], weights: Sequence[Column]) -> Column:
@@ -35,8 +35,9 @@ def blend(
     ranked = df
     if rank:
         used = [f"_rank_{c}" for c in cols]
+        cuts = rank_cuts(df, cols)
         for c, r in zip(cols, used):
-            ranked = pct_rank(ranked, c, r, "ordinal", tie_key=tie_key)
+            ranked = pct_rank(ranked, c, r, "ordinal", tie_key=tie_key, cuts=cuts[c])
     mixed = clipped(_mix(used, [F.lit(float(w) / whole) for w in weights]), clip, margin)
     return ranked.select(*df.columns, mixed.alias(out))
 
@@ -118,8 +119,9 @@ def final_blend(
     clip: str | None = "soft", margin: float = 0.1, out: str = "final",
 ) -> DataFrame:
     """Replace both columns by their ordinal percentiles and add their clipped weighted sum."""
-    ranked = pct_rank(df, a, "_ra", "ordinal", tie_key=tie_key)
-    ranked = pct_rank(ranked, b, "_rb", "ordinal", tie_key=tie_key)
+    cuts = rank_cuts(df, [a, b])
+    ranked = pct_rank(df, a, "_ra", "ordinal", tie_key=tie_key, cuts=cuts[a])
+    ranked = pct_rank(ranked, b, "_rb", "ordinal", tie_key=tie_key, cuts=cuts[b])
     mixed = F.lit(float(weights[0])) * F.col("_ra") + F.lit(float(weights[1])) * F.col("_rb")
     rest = [c for c in df.columns if c not in (a, b)]
     return ranked.select(*rest, F.col("_ra").alias(a), F.col("_rb").alias(b), clipped(mixed, clip, margin).alias(out))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .rank import add_rank, position
+from .rank import add_rank, position, rank_cuts
 
 
 def mse(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -20,8 +20,9 @@ def average_rank_corr(
 ) -> DataFrame:
     """Pearson correlation of the average-tie ranks, with the number of rows it rests on."""
     known = df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p")).where("_y is not null and _p is not null")
-    ranked = add_rank(known, "_y", "_ry", by=by, known_groups=known_groups).select(*by, "_ry", "_p")
-    ranked = add_rank(ranked, "_p", "_rp", by=by, known_groups=known_groups)
+    cuts = rank_cuts(known, ["_y", "_p"])
+    ranked = add_rank(known, "_y", "_ry", by=by, known_groups=known_groups, cuts=cuts["_y"]).select(*by, "_ry", "_p")
+    ranked = add_rank(ranked, "_p", "_rp", by=by, known_groups=known_groups, cuts=cuts["_p"])
     grouped = ranked.groupBy(*by) if by else ranked
     return grouped.agg(F.count("*").alias("n"), F.corr("_ry", "_rp").alias("spearman"))
 

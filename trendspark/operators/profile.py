@@ -146,17 +146,17 @@ def describe_metrics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.count_if(v.isNull()).alias(f"nulls{i}"),
             F.count_if(v == 0).alias(f"zeros{i}"),
         ]
-    quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75)).select(F.struct("*").alias("q")).scalar()
-    wide = df.agg(*aggs).withColumn("q", quartiles)
+    quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+    wide = df.agg(*aggs)
     rows = [
         F.struct(
             F.lit(c).alias("metric"),
             F.col(f"mean{i}").alias("mean"),
             F.col(f"std{i}").alias("std"),
             F.col(f"min{i}").alias("min"),
-            F.col("q")[f"{c}__0"].alias("p25"),
-            F.col("q")[f"{c}__1"].alias("p50"),
-            F.col("q")[f"{c}__2"].alias("p75"),
+            F.lit(quartiles[c][0]).cast("double").alias("p25"),
+            F.lit(quartiles[c][1]).cast("double").alias("p50"),
+            F.lit(quartiles[c][2]).cast("double").alias("p75"),
             F.col(f"max{i}").alias("max"),
             (F.lit(100.0) * F.col(f"nulls{i}") / F.col("total")).alias("null_pct"),
             (F.lit(100.0) * F.col(f"zeros{i}") / F.col("total")).alias("zero_pct"),
@@ -185,11 +185,11 @@ def summary(df: DataFrame, col: str, approximate: bool = False) -> DataFrame:
     """One row: count, min, max, mean, median and distinct values of ``col``."""
     v = as_number(col)
     distinct = F.approx_count_distinct(v) if approximate else F.countDistinct(v)
-    median = exact_quantiles(df, [col], (0.5,)).scalar()
+    median = exact_quantiles(df, [col], (0.5,))[col][0]
     return df.agg(
         F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
         distinct.alias("n_unique"),
-    ).withColumn("median", median)
+    ).withColumn("median", F.lit(median).cast("double"))
 
 
 def value_distribution(df: DataFrame, col: str, k: int = 10) -> DataFrame:

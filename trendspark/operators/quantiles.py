@@ -1,101 +1,98 @@
 """Exact quantiles of any number of rows.
 
 ``percentile`` keeps every distinct value in one buffer. Here a sketch first brackets each wanted
-position, and only the few values inside the brackets are then counted and put in order.
+position, and only the few values inside the brackets are then counted and put in order. What comes
+back to the driver are the quantiles, a handful of numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this many values the bracket is simply the whole range.
+# Up to this many values the built-in aggregate, which holds them all, is used.
 SMALL = 100_000
 
 
 def as_number(name: str) -> Column:
     """The column as a double, with NaN treated as missing."""
-    value = F.col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
-) -> DataFrame:
-    """One row with a column ``<col>__<i>`` for each column and each probability ``probs[i]``.
+) -> dict[str, list[float | None]]:
+    """Per column its quantiles in the order of ``probs``; None for a column without values.
 
-    Linear interpolation between neighbours, missing values left out. Three narrow scans; the
+    Linear interpolation between neighbours, missing values left out. Up to three narrow scans; the
     last one groups about ``6 / accuracy`` of the values per quantile.
     """
     slack = 3.0 / accuracy
     numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
-    targets = [(i, j, p) for i in range(len(cols)) for j, p in enumerate(probs)]
-
-    sketch_aggs = []
-    for i in range(len(cols)):
-        v = F.col(f"v{i}")
-        marks = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-        sketch_aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.min(v).alias(f"min{i}"),
-            F.max(v).alias(f"max{i}"),
-            F.percentile_approx(v, marks, accuracy).alias(f"marks{i}"),
-        ]
-    sketched = numbers.agg(*sketch_aggs)
-    edges = []
-    for t, (i, j, _) in enumerate(targets):
-        small = F.col(f"n{i}") <= SMALL
-        marks = F.col(f"marks{i}")
-        edges.append(F.when(small, F.col(f"min{i}")).otherwise(marks[2 * j]).alias(f"lo{t}"))
-        edges.append(F.when(small, F.col(f"max{i}")).otherwise(marks[2 * j + 1]).alias(f"hi{t}"))
-    sizes = [F.col(f"n{i}") for i in range(len(cols))]
-    bracket = sketched.select(F.struct(*edges, *sizes).alias("s")).scalar()
-    bracketed = numbers.withColumn("s", bracket)
-
-    below = bracketed.agg(
-        *[F.count_if(F.col(f"v{i}") < F.col("s")[f"lo{t}"]).alias(f"b{t}") for t, (i, _, _) in enumerate(targets)],
-        *[F.any_value(F.col("s")[f"n{i}"]).alias(f"n{i}") for i in range(len(cols))],
-    ).select(F.struct("*").alias("b")).scalar()
-
-    def hits(t: int, i: int) -> Column:
-        return (F.col(f"v{i}") >= F.col("s")[f"lo{t}"]) & (F.col(f"v{i}") <= F.col("s")[f"hi{t}"])
-
-    held = bracketed.where(reduce(Column.__or__, [hits(t, i) for t, (i, _, _) in enumerate(targets)]))
-    inside = held.select(
-        F.explode(
-            F.array_compact(
-                F.array(
-                    *[
-                        F.when(hits(t, i), F.struct(F.lit(t).alias("t"), F.col(f"v{i}").alias("v")))
-                        for t, (i, _, _) in enumerate(targets)
-                    ]
-                )
-            )
-        ).alias("hit")
-    )
-    counted = inside.groupBy(F.col("hit.t").alias("t"), F.col("hit.v").alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("t").orderBy("v"))
-    placed = counted.withColumn("upto", upto).withColumn("b", below)
+    marks = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = numbers.agg(
+        *[F.struct(F.count(f"v{i}"), F.percentile_approx(f"v{i}", marks, accuracy)) for i in range(len(cols))]
+    ).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
 
+    small = [i for i in range(len(cols)) if 0 < sketch[i][0] <= SMALL]
+    if small:
+        row = numbers.agg(*[F.percentile(f"v{i}", list(probs)) for i in small]).first()
+        for k, i in enumerate(small):
+            out[cols[i]] = list(row[k])
+    large = [i for i in range(len(cols)) if sketch[i][0] > SMALL]
+    if large:
+        for (i, j), value in _from_brackets(numbers, probs, {i: tuple(sketch[i]) for i in large}).items():
+            out[cols[i]][j] = value
+    return out
+
+
+def _from_brackets(
+    numbers: DataFrame, probs: Sequence[float], sketch: dict[int, tuple[int, Sequence[float]]]
+) -> dict[tuple[int, int], float]:
+    """Quantile j of column i from the values in the brackets that the sketch puts around it."""
+    # Overlapping brackets become one region: (column, lower edge, upper edge).
+    regions: list[tuple[int, float, float]] = []
+    home: dict[tuple[int, int], int] = {}
+    for i, (_, near) in sketch.items():
+        order = sorted(range(len(probs)), key=lambda j: near[2 * j])
+        for j in order:
+            lo, hi = near[2 * j], near[2 * j + 1]
+            if regions and regions[-1][0] == i and lo <= regions[-1][2]:
+                regions[-1] = (i, regions[-1][1], max(hi, regions[-1][2]))
+            else:
+                regions.append((i, lo, hi))
+            home[i, j] = len(regions) - 1
+
+    below = numbers.agg(*[F.count_if(F.col(f"v{i}") < lo) for i, lo, _ in regions]).first()
+
+    def region_of(i: int) -> Column:
+        out = F.lit(None).cast("int")
+        for r, (owner, lo, hi) in enumerate(regions):
+            if owner == i:
+                out = F.when(F.col(f"v{i}").between(lo, hi), F.lit(r)).otherwise(out)
+        return out
+
+    tagged = numbers.select(
+        F.inline(F.array(*[F.struct(region_of(i).alias("r"), F.col(f"v{i}").alias("v")) for i in sketch]))
+    ).where("r is not null")
+    counted = tagged.groupBy("r", "v").agg(F.count("*").alias("c"))
+    placed = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("r").orderBy("v")))
+
+    def value_at(r: int, place: int) -> Column:
+        inside = F.lit(place - below[r])
+        mine = (F.col("r") == r) & (F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto"))
+        return F.max(F.when(mine, F.col("v")))
+
+    wanted = [(i, j, probs[j] * (sketch[i][0] - 1)) for i, j in home]
     picks = []
-    for t, (i, j, p) in enumerate(targets):
-        first = F.col("b")[f"b{t}"] + F.col("upto") - F.col("c")
-        last = F.col("b")[f"b{t}"] + F.col("upto")
-        place = F.lit(float(p)) * (F.col("b")[f"n{i}"] - 1)
-        low = F.floor(place)
-        high = F.least(low + 1, F.col("b")[f"n{i}"] - 1)
-        mine = F.col("t") == t
-        picks += [
-            F.max(F.when(mine & (first <= low) & (low < last), F.col("v"))).alias(f"lo{t}"),
-            F.max(F.when(mine & (first <= high) & (high < last), F.col("v"))).alias(f"hi{t}"),
-            F.max(F.when(mine, place - low)).alias(f"f{t}"),
-        ]
-    found = placed.agg(*picks)
-    return found.select(
-        *[
-            (F.col(f"lo{t}") + (F.col(f"hi{t}") - F.col(f"lo{t}")) * F.col(f"f{t}")).alias(f"{cols[i]}__{j}")
-            for t, (i, j, _) in enumerate(targets)
-        ]
-    )
+    for i, j, place in wanted:
+        picks.append(value_at(home[i, j], int(place)))
+        picks.append(value_at(home[i, j], min(int(place) + 1, sketch[i][0] - 1)))
+    found = placed.agg(*picks).first()
+    out = {}
+    for k, (i, j, place) in enumerate(wanted):
+        lo, hi = found[2 * k], found[2 * k + 1]
+        out[i, j] = lo + (hi - lo) * (place - int(place))
+    return out

@@ -27,7 +27,7 @@ def _cut_count(df: DataFrame) -> int:
 
 
 def _place(cuts: Column, value: Column, n: int) -> Column:
-    """Number of entries of the sorted array ``cuts`` (at most ``n``) that are below ``value``."""
+    """Number of the ``n`` entries of the sorted array ``cuts`` that are below ``value``."""
     steps = []
     step = 1
     while step <= n:
@@ -40,6 +40,17 @@ def _place(cuts: Column, value: Column, n: int) -> Column:
     )
 
 
+def rank_cuts(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
+    """Approximate quantiles of each column, found in one scan. Their number does not grow with the data."""
+    n_cuts = _cut_count(df)
+    marks = [(i + 1) / n_cuts for i in range(n_cuts - 1)]
+    numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    row = numbers.agg(
+        *[F.percentile_approx(f"v{i}", marks, max(1000, 4 * n_cuts)) for i in range(len(cols))]
+    ).first()
+    return {c: sorted(set(row[i] or ())) for i, c in enumerate(cols)}
+
+
 def add_rank(
     df: DataFrame,
     col: str,
@@ -48,6 +59,7 @@ def add_rank(
     by: Sequence[str] = (),
     tie_key: Sequence[str] = (),
     known_groups: int | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add the 1-based rank ``out`` of ``col`` and the number ranked ``<out>_n``.
 
@@ -55,42 +67,42 @@ def add_rank(
     ``tie_key`` (which should be unique per row). Missing values get no rank and are not counted.
     ``by`` ranks within groups; a caller who knows a small bound on the number of groups says so in
     ``known_groups`` and the bucket counts are broadcast, otherwise Spark chooses by their size.
+    ``cuts`` hands in ``rank_cuts`` of the column; any cuts give the same ranks.
     """
     if ties not in ("average", "min", "ordinal"):
         raise ValueError(f"unknown ties {ties!r}")
     by = list(by)
-    n_cuts = _cut_count(df)
-    marks = [(i + 1) / n_cuts for i in range(n_cuts - 1)]
-    cuts = (
-        df.select(as_number(col).alias("v"))
-        .agg(F.percentile_approx("v", marks, max(1000, 4 * n_cuts)).alias("m"))
-        .select(F.coalesce(F.array_distinct("m"), F.array().cast("array<double>")).alias("m"))
-        .scalar()
-    )
-    base = df.withColumn("_v", as_number(col)).withColumn("_cuts", cuts)
-    base = base.withColumn("_at", _place(F.col("_cuts"), F.col("_v"), n_cuts))
-    on_cut = F.coalesce(F.get("_cuts", F.col("_at")) == F.col("_v"), F.lit(False))
-    # Even buckets lie between two cuts, odd buckets hold one value.
-    # Bucket -1 takes the missing values.
-    bucket = F.when(F.col("_v").isNotNull(), 2 * F.col("_at") + on_cut.cast("int")).otherwise(F.lit(-1))
-    base = base.withColumn("_b", F.coalesce(bucket, F.lit(-1))).drop("_cuts", "_at")
-    single = F.col("_b") % 2 == 1
+    found = list(cuts) if cuts is not None else rank_cuts(df, [col])[col]
+    base = df.withColumn("_v", as_number(col))
+    if found:
+        edges = F.lit([float(c) for c in found])
+        base = base.withColumn("_at", _place(edges, F.col("_v"), len(found)))
+        on_cut = F.coalesce(F.get(edges, F.col("_at")) == F.col("_v"), F.lit(False))
+    else:
+        base = base.withColumn("_at", F.lit(0))
+        on_cut = F.lit(False)
+    # Even buckets lie between two cuts, odd buckets hold one value, bucket -1 the missing values.
+    bucket = F.when(F.col("_v").isNotNull(), 2 * F.col("_at") + on_cut.cast("int"))
+    base = base.withColumn("_b", F.coalesce(bucket, F.lit(-1))).drop("_at")
     if ties == "ordinal":
         base = base.withColumn("_h", key_hash(tie_key))
         slice_ = F.floor(hex_number(F.col("_h"), 2) * TIE_SLICES / 256)
-        base = base.withColumn("_p", F.coalesce(F.when(single, slice_), F.lit(0).cast("bigint")))
+        sliced = F.when(F.col("_b") % 2 == 1, slice_)
+        base = base.withColumn("_p", F.coalesce(sliced, F.lit(0).cast("bigint")))
     else:
         base = base.withColumn("_p", F.lit(0).cast("bigint"))
 
     counts = base.groupBy(*by, "_b", "_p").agg(F.count("_v").alias("_c"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     running = group.orderBy("_b", "_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = counts.withColumn("_before", F.sum("_c").over(running) - F.col("_c")).withColumn(
-        "_n", F.sum("_c").over(group)
+    cells = counts.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
+        F.col("_b").alias("_kb"),
+        F.col("_p").alias("_kp"),
+        F.col("_c").alias("_cc"),
+        (F.sum("_c").over(running) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(group).alias("_n"),
     )
-    cells = cells.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-                         F.col("_b").alias("_kb"), F.col("_p").alias("_kp"),
-                         F.col("_c").alias("_cc"), "_before", "_n")
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
     same += [F.col("_b") == F.col("_kb"), F.col("_p") == F.col("_kp")]
     if not by or known_groups is not None:
@@ -98,10 +110,7 @@ def add_rank(
     joined = base.join(cells, reduce(Column.__and__, same), "left")
 
     # Rows that need no window are spread by the number of the task that read them.
-    if ties == "ordinal":
-        idle = F.col("_b") == -1
-    else:
-        idle = F.col("_b") % 2 != 0
+    idle = F.col("_b") == -1 if ties == "ordinal" else F.col("_b") % 2 != 0
     joined = joined.withColumn("_salt", F.when(idle, F.spark_partition_id()).otherwise(F.lit(-1)))
     joined = joined.withColumn("_wv", F.when(~idle, F.col("_v")))
     cell = Window.partitionBy(*by, "_b", "_p", "_salt")
@@ -127,12 +136,13 @@ def pct_rank(
     by: Sequence[str] = (),
     tie_key: Sequence[str] = (),
     known_groups: int | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Percentile of ``col``.
 
     "average": mean rank / n, as in a scored table. "ordinal" and "min": (rank - 1) / (n - 1).
     """
-    ranked = add_rank(df, col, "_r", ties, by, tie_key, known_groups)
+    ranked = add_rank(df, col, "_r", ties, by, tie_key, known_groups, cuts)
     if ties == "average":
         value = F.col("_r") / F.col("_r_n")
     else:

@@ -10,29 +10,32 @@ from ..functions.scoring import sigmoid
 from .quantiles import as_number, exact_quantiles
 
 
-def robust_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row: median and spread (interquartile range, 1 where it is not positive) per column."""
-    quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
-    out = []
-    for c in cols:
-        width = F.col(f"{c}__2") - F.col(f"{c}__0")
-        out.append(F.col(f"{c}__1").alias(f"{c}__median"))
-        out.append(F.when(width > 0, width).otherwise(F.lit(1.0)).alias(f"{c}__scale"))
-    return quartiles.select(*out)
-
-
-def robust_sigmoid(df: DataFrame, outputs: Mapping[str, str], stats: DataFrame | None = None) -> DataFrame:
+Stats = Mapping[str, tuple[float, float]]
+
+
+def robust_stats(df: DataFrame, cols: Sequence[str]) -> Stats:
+    """Per column its median and its spread: the interquartile range, or 1 where that is not positive."""
+    fitted = {}
+    for c, (low, middle, high) in exact_quantiles(df, cols, (0.25, 0.5, 0.75)).items():
+        if middle is None:
+            fitted[c] = (0.0, 1.0)
+        else:
+            fitted[c] = (middle, high - low if high > low else 1.0)
+    return fitted
+
+
+def robust_sigmoid(df: DataFrame, outputs: Mapping[str, str], stats: Stats | None = None) -> DataFrame:
     """Add ``outputs[c]`` = sigmoid((c - median) / spread) for each column ``c``.
 
-    ``stats`` takes the row of an earlier ``robust_stats``, to score new rows on a frozen scale.
+    ``stats`` takes the result of an earlier ``robust_stats``, to score new rows on a frozen scale.
     """
     fitted = stats if stats is not None else robust_stats(df, list(outputs))
-    scaled = df.withColumn("_stats", fitted.select(F.struct("*").alias("s")).scalar())
-    added = {
-        out: sigmoid((F.col(c) - F.col("_stats")[f"{c}__median"]) / F.col("_stats")[f"{c}__scale"])
-        for c, out in outputs.items()
-    }
-    return scaled.withColumns(added).drop("_stats")
+    return df.withColumns(
+        {
+            out: sigmoid((F.col(c) - F.lit(fitted[c][0])) / F.lit(fitted[c][1]))
+            for c, out in outputs.items()
+        }
+    )
 
 
 def fit_standardizer(df: DataFrame, col: str) -> DataFrame:

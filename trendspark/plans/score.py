@@ -14,7 +14,7 @@ from ..operators.dedup import dedup_keep_last
 from ..operators.filters import filter_regions
 from ..operators.normalize import coerce_counts, coerce_timestamps
 from ..operators.rank import pct_rank
-from ..operators.scale import robust_sigmoid
+from ..operators.scale import Stats, robust_sigmoid
 from ..schema import KEEP_REGIONS, SNAPSHOT_KEYS, FeatureConfig, feature_config
 from ..session import stage
 
@@ -29,9 +29,13 @@ def rates(df: DataFrame, now: Column) -> DataFrame:
     return raw.withColumns(lifted).withColumns({f"{out}_log": log_rate(F.col(out)) for out in RATES})
 
 
-def metrics(df: DataFrame, now: Column, stats: DataFrame | None = None) -> DataFrame:
-    """Add the seven normalised metrics. ``stats`` freezes the scale of the rates."""
-    rated = rates(df, now)
+def metrics(df: DataFrame, now: Column, stats: Stats | None = None) -> DataFrame:
+    """Add the seven normalised metrics. ``stats`` freezes the scale of the rates.
+
+    The rows with their rates are written once: finding the quartiles and the ranks reads them
+    several times, mostly a few number columns of them.
+    """
+    rated = stage(rates(df, now), "rates")
     scaled = robust_sigmoid(rated, {f"{out}_log": f"{out}_n" for out in RATES}, stats)
     return scaled.withColumns(
         {
@@ -49,7 +53,7 @@ def score(
     key: Sequence[str],
     cfg: FeatureConfig | None = None,
     seed: int | str = 42,
-    stats: DataFrame | None = None,
+    stats: Stats | None = None,
 ) -> DataFrame:
     """Add all derived columns up to ``viral_score``.
 
@@ -91,9 +95,5 @@ def clean_and_score(
     seed: int | str = 42,
     keep_missing_rank: bool = False,
 ) -> DataFrame:
-    """The whole cleaning step: ``clean``, then ``score``.
-
-    The cleaned rows are written once, since scoring reads them several times.
-    """
-    cleaned = stage(clean(df, order_col, keep_regions, keep_missing_rank), "cleaned")
-    return score(cleaned, now, key, cfg, seed)
+    """The whole cleaning step: ``clean``, then ``score``."""
+    return score(clean(df, order_col, keep_regions, keep_missing_rank), now, key, cfg, seed)
