@@ -72,3 +72,432 @@ def _(spark, sf):
 def _(spark, sf):
     cleaned = plan.clean(snapshots(spark, sf), "snapshot_key", KEEP)
     return rounded(plan.rates(cleaned, now()).select("snapshot_key", *RATE_NAMES))
+
+
+# ---- Projection, filters, duplicates -------------------------------------------------------------
+
+
+def _raw_feed(df: DataFrame) -> DataFrame:
+    """The snapshots under the column names and text types of a raw daily feed."""
+    return df.select(
+        F.col("snapshot_key"),
+        F.col("videoId").alias("video_id"),
+        "title",
+        F.date_format("publishedAt", "yyyy-MM-dd HH:mm:ss").alias("publish_time"),
+        F.date_format("trendingDate", "yyyy-MM-dd").alias("snapshot_date"),
+        F.col("region").alias("country"),
+        F.when(F.col("viewCount") % 7 == 0, F.format_number("viewCount", 0))
+        .otherwise(F.col("viewCount").cast("string")).alias("view_count"),
+        F.concat(F.col("likeCount").cast("string"), F.lit(".75")).alias("likes"),
+        F.col("commentCount").cast("string").alias("comment_count"),
+        F.col("rank").cast("string").alias("daily_rank"),
+    )
+
+
+@query(
+    "canonical_snapshots",
+    f"""WITH {sql.SNAPSHOTS}
+    SELECT "videoId", title, CAST(NULL AS VARCHAR) AS description,
+           strftime("publishedAt", '%Y-%m-%d') AS published, strftime("trendingDate", '%Y-%m-%d') AS trending, region,
+           CASE WHEN "viewCount" % 7 = 0 AND "viewCount" >= 1000 THEN NULL ELSE "viewCount" END AS "viewCount",
+           "likeCount", "commentCount", "rank" FROM snapshots""",
+)
+def _(spark, sf):
+    raw = _raw_feed(snapshots(spark, sf)).drop("snapshot_key")
+    df = normalize.conform(normalize.canonicalize(raw))
+    return df.select(
+        "videoId", "title", "description", F.date_format("publishedAt", "yyyy-MM-dd").alias("published"),
+        F.date_format("trendingDate", "yyyy-MM-dd").alias("trending"), "region", "viewCount", "likeCount",
+        "commentCount", "rank",
+    )
+
+
+@query(
+    "canonical_without_extra_names",
+    f"""WITH {sql.SNAPSHOTS} SELECT "videoId", CAST(NULL AS BIGINT) AS "likeCount", "commentCount" FROM snapshots""",
+)
+def _(spark, sf):
+    raw = _raw_feed(snapshots(spark, sf)).drop("snapshot_key")
+    return normalize.conform(normalize.canonicalize(raw, extra_aliases=None)).select(
+        "videoId", "likeCount", "commentCount"
+    )
+
+
+@query(
+    "coerced_counts",
+    f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key,
+        CASE WHEN "viewCount" % 7 = 0 AND "viewCount" >= 1000 THEN 0 ELSE "viewCount" END AS view_count,
+        "likeCount" AS likes, "commentCount" AS comment_count, coalesce("rank", 0) AS daily_rank FROM snapshots""",
+)
+def _(spark, sf):
+    names = ["view_count", "likes", "comment_count", "daily_rank"]
+    return normalize.coerce_counts(_raw_feed(snapshots(spark, sf)), names).select("snapshot_key", *names)
+
+
+@query(
+    "coerced_timestamps",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000000 END AS seconds,
+              epoch_us(date_trunc('day', ts)) // 1000000 AS day_seconds FROM events""",
+)
+def _(spark, sf):
+    raw = read(spark, sf, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(F.col("event_id") % 3 == 1, F.lit("3 days ago")).alias("ts"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+    )
+    df = normalize.coerce_timestamps(raw, ["ts", "day"])
+    return df.select(
+        "event_id", F.unix_seconds("ts").alias("seconds"), F.unix_seconds("day").alias("day_seconds")
+    )
+
+
+@query(
+    "union_of_sources",
+    """SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_acctbal AS balance, CAST(NULL AS INTEGER) AS size
+         FROM customer
+       UNION ALL SELECT 'supplier', s_suppkey, s_name, s_acctbal, NULL FROM supplier
+       UNION ALL SELECT 'part', p_partkey, p_name, NULL, p_size FROM part""",
+)
+def _(spark, sf):
+    customers = read(spark, sf, "customer").select(
+        F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_acctbal").alias("balance"),
+    )
+    suppliers = read(spark, sf, "supplier").select(
+        F.col("s_name").alias("name"), F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance"),
+        F.col("s_suppkey").alias("id"),
+    )
+    parts = read(spark, sf, "part").select(
+        F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        F.col("p_size").alias("size"),
+    )
+    return normalize.union_sources(customers, suppliers, parts)
+
+
+@query("short_texts", "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END AS shown, "
+       "CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS brief FROM documents")
+def _(spark, sf):
+    df = read(spark, sf, "documents")
+    return df.select(
+        "doc_id", texts.truncate_text(F.col("text"), 100, 97).alias("shown"),
+        texts.truncate_text(F.col("text"), 50).alias("brief"),
+    )
+
+
+@query(
+    "kept_regions",
+    f"""WITH {sql.SNAPSHOTS} SELECT region, count(*) AS n FROM snapshots
+        WHERE region IS NULL OR region IN ({sql.KEEP_LIST}) GROUP BY region""",
+)
+def _(spark, sf):
+    return filters.filter_regions(snapshots(spark, sf), KEEP).groupBy("region").agg(F.count("*").alias("n"))
+
+
+@query(
+    "quality_rows",
+    f"""WITH {sql.SNAPSHOTS},{sql.TEXTS} SELECT snapshot_key, "viewCount" FROM texts
+        WHERE title IS NOT NULL AND description IS NOT NULL AND "publishedAt" IS NOT NULL AND "viewCount" >= 50000""",
+)
+def _(spark, sf):
+    return filters.filter_quality(snapshots(spark, sf, texts=True), 50000).select("snapshot_key", "viewCount")
+
+
+@query(
+    "high_scores",
+    f"""WITH {sql.SCORED} SELECT snapshot_key, title, {r6('viral_score')} FROM scored JOIN documents ON doc_ref = doc_id
+        WHERE viral_score >= 0.8 AND title IS NOT NULL AND text IS NOT NULL""",
+)
+def _(spark, sf):
+    df = filters.filter_score(with_texts(spark, sf, scored(spark, sf)), 0.8)
+    return rounded(df.select("snapshot_key", "title", "viral_score"))
+
+
+@query(
+    "recent_rows",
+    f"""WITH {sql.SNAPSHOTS} SELECT source, count(*) AS n FROM snapshots
+        WHERE "trendingDate" >= TIMESTAMP '1996-12-01' OR "trendingDate" IS NULL GROUP BY source""",
+)
+def _(spark, sf):
+    df = filters.filter_recent(snapshots(spark, sf), 5, AS_OF, "trendingDate")
+    return df.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("deduplicated_snapshots", f"""WITH {sql.SNAPSHOTS},{sql.DEDUPED} SELECT snapshot_key, "videoId", region FROM deduped""")
+def _(spark, sf):
+    kept = filters.filter_regions(snapshots(spark, sf), KEEP)
+    return dedup.dedup_keep_last(kept, ["videoId", "trendingDate", "region"], "snapshot_key").select(
+        "snapshot_key", "videoId", "region"
+    )
+
+
+@query(
+    "deduplicated_texts",
+    f"""WITH {sql.SNAPSHOTS},{sql.TEXTS} SELECT min(snapshot_key) AS snapshot_key, title, md5(description) AS description
+        FROM texts GROUP BY title, description""",
+)
+def _(spark, sf):
+    df = dedup.dedup_text(snapshots(spark, sf, texts=True), ["title", "description"], "snapshot_key")
+    return df.select("snapshot_key", "title", F.md5("description").alias("description"))
+
+
+@query(
+    "duplicate_documents",
+    """SELECT count(*) AS n_rows, count(DISTINCT text || lang) AS n_distinct,
+              count(*) - count(DISTINCT text || lang) AS n_duplicates FROM documents""",
+)
+def _(spark, sf):
+    return dedup.duplicate_count(read(spark, sf, "documents"), ["text", "lang"])
+
+
+# ---- Profiles ------------------------------------------------------------------------------------
+
+
+@query(
+    "completeness",
+    f"""WITH {sql.SNAPSHOTS},{sql.TEXTS} SELECT count(*) AS n_rows,
+        count(*) FILTER (title IS NULL OR title = '') AS missing_title,
+        count(*) FILTER (description IS NULL OR description = '') AS missing_description,
+        count(*) FILTER ("publishedAt" IS NULL) AS missing_published,
+        count(DISTINCT "videoId") AS unique_videos FROM texts""",
+)
+def _(spark, sf):
+    return profile.completeness(snapshots(spark, sf, texts=True))
+
+
+@query(
+    "date_coverage",
+    f"""WITH {sql.SNAPSHOTS} SELECT source, count(*) AS total, count("trendingDate") AS with_date,
+        count(*) - count("trendingDate") AS without_date,
+        round(100.0::DOUBLE * count("trendingDate") / count(*), 2) AS date_percentage FROM snapshots GROUP BY source""",
+)
+def _(spark, sf):
+    df = snapshots(spark, sf).withColumn("publishedAt", F.col("trendingDate"))
+    return profile.date_coverage(df, "source")
+
+
+@query(
+    "largest_sources",
+    f"""WITH {sql.SNAPSHOTS} SELECT data_source, count(*) AS "count", count("publishedAt") AS with_date,
+        epoch_us(min("publishedAt")) // 1000000 AS earliest, epoch_us(max("publishedAt")) // 1000000 AS latest
+        FROM snapshots GROUP BY data_source ORDER BY 2 DESC, 1 LIMIT 20""",
+)
+def _(spark, sf):
+    df = profile.source_stats(snapshots(spark, sf))
+    return df.select(
+        "data_source", "count", "with_date", F.unix_seconds("earliest_date").alias("earliest"),
+        F.unix_seconds("latest_date").alias("latest"),
+    )
+
+
+def _count_sql(prefix: str, thresholds, col: str = "viral_score") -> str:
+    return ", ".join(f"count(*) FILTER ({col} >= {t}) AS {profile.threshold_name(prefix, t)}" for t in thresholds)
+
+
+SOURCE_THRESHOLDS = (0.40, 0.20, 0.10, 0.05)
+TABLE_THRESHOLDS = (0.20, 0.205, 0.21, 0.215, 0.22)
+SWEEP = (0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
+
+
+@query(
+    "score_thresholds_by_source",
+    f"WITH {sql.SCORED} SELECT source, count(*) AS total, {_count_sql('vs', SOURCE_THRESHOLDS)} FROM scored GROUP BY source",
+)
+def _(spark, sf):
+    return profile.threshold_counts(scored(spark, sf), "viral_score", SOURCE_THRESHOLDS, ["source"], "vs")
+
+
+@query(
+    "score_thresholds",
+    f"WITH {sql.SCORED} SELECT count(*) AS total, {_count_sql('vs', TABLE_THRESHOLDS)} FROM scored",
+)
+def _(spark, sf):
+    return profile.threshold_counts(scored(spark, sf), "viral_score", TABLE_THRESHOLDS, prefix="vs")
+
+
+@query(
+    "threshold_sweep",
+    f"WITH {sql.SCORED} SELECT t::DOUBLE AS threshold, count(*) FILTER (viral_score >= t::DOUBLE) AS n "
+    f"FROM scored, unnest([{', '.join(map(str, SWEEP))}]) AS u(t) WHERE title IS NOT NULL GROUP BY t",
+)
+def _(spark, sf):
+    return profile.threshold_sweep(scored(spark, sf).where("title is not null"), "viral_score", SWEEP)
+
+
+@query(
+    "recency_counts",
+    f"""WITH {sql.SNAPSHOTS} SELECT count(*) FILTER ("trendingDate" >= TIMESTAMP '2000-12-01') AS last_1yr,
+        count(*) FILTER ("trendingDate" >= TIMESTAMP '1998-12-01') AS last_3yr,
+        count(*) FILTER ("trendingDate" >= TIMESTAMP '1996-12-01') AS last_5yr,
+        count("trendingDate") AS with_date, count(*) - count("trendingDate") AS without_date FROM snapshots""",
+)
+def _(spark, sf):
+    return profile.recency_counts(snapshots(spark, sf), AS_OF, col="trendingDate")
+
+
+@query(
+    "combined_filters",
+    f"""WITH {sql.SCORED} SELECT
+        count(*) FILTER (viral_score >= 0.10 AND title IS NOT NULL
+                         AND ("trendingDate" >= TIMESTAMP '1996-12-01' OR "trendingDate" IS NULL)) AS current_filter,
+        count(*) FILTER (viral_score >= 0.05 AND title IS NOT NULL) AS relaxed_filter FROM scored""",
+)
+def _(spark, sf):
+    titled = F.col("title").isNotNull()
+    return profile.predicate_counts(
+        scored(spark, sf),
+        {
+            "current_filter": (F.col("viral_score") >= 0.10) & titled & filters.recent("trendingDate", 5, AS_OF),
+            "relaxed_filter": (F.col("viral_score") >= 0.05) & titled,
+        },
+    )
+
+
+def _bin_sql(edges, closed: str, col: str, tag: str = "") -> str:
+    """CASE expression for the bin number."""
+    parts = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        a, b = f"{a}::DOUBLE", f"{b}::DOUBLE"
+        if closed == "right":
+            cond = f"{col} > {a} AND {col} <= {b}"
+        elif closed == "left" or i < len(edges) - 2:
+            cond = f"{col} >= {a} AND {col} < {b}"
+        else:
+            cond = f"{col} >= {a} AND {col} <= {b}"
+        parts.append(f"WHEN {cond} THEN {i}")
+    return f"CASE {' '.join(parts)} END"
+
+
+def _histogram_sql(with_: str, table: str, col: str, edges, closed: str) -> str:
+    bounds = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(zip(edges, edges[1:])))
+    return f"""WITH {with_}, binned AS (SELECT {_bin_sql(edges, closed, col)} AS bin FROM {table}),
+      bounds(bin, lo, hi) AS (VALUES {bounds})
+      SELECT b.bin, b.lo, b.hi, count(x.bin) AS "count",
+             round(100.0::DOUBLE * count(x.bin) / (SELECT count(*) FROM {table}), 6) AS pct
+      FROM bounds b LEFT JOIN binned x ON b.bin = x.bin GROUP BY b.bin, b.lo, b.hi"""
+
+
+@query("histogram_left_closed", _histogram_sql(sql.SCORED, "scored", "viral_score", BIAS_EDGES, "left"))
+def _(spark, sf):
+    return rounded(profile.histogram(scored(spark, sf), "viral_score", BIAS_EDGES, "left"))
+
+
+@query("histogram_right_closed", _histogram_sql(sql.SCORED, "scored", "viral_score", REPORT_EDGES, "right"))
+def _(spark, sf):
+    return rounded(profile.histogram(scored(spark, sf), "viral_score", REPORT_EDGES, "right"))
+
+
+@query("histogram_last_bin_closed", _histogram_sql(sql.PREDICTIONS, "predictions", "p3", DECILE_EDGES, "numpy"))
+def _(spark, sf):
+    return rounded(profile.histogram(predictions(spark, sf), "p3", DECILE_EDGES, "numpy"))
+
+
+def _describe_sql(cols) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS metric, round(avg("{c}"), 6) AS mean, round(stddev_samp("{c}"), 6) AS std,
+        round(min("{c}"), 6) AS min, round(quantile_cont("{c}", 0.25), 6) AS p25,
+        round(quantile_cont("{c}", 0.5), 6) AS p50, round(quantile_cont("{c}", 0.75), 6) AS p75,
+        round(max("{c}"), 6) AS max, round(100.0::DOUBLE * count(*) FILTER ("{c}" IS NULL) / count(*), 6) AS null_pct,
+        round(100.0::DOUBLE * count(*) FILTER ("{c}" = 0) / count(*), 6) AS zero_pct FROM scored"""
+        for c in cols
+    )
+
+
+@query("metric_statistics", f"WITH {sql.SCORED} {_describe_sql(METRICS)}")
+def _(spark, sf):
+    return rounded(profile.describe_metrics(scored(spark, sf), METRICS))
+
+
+@query(
+    "metric_correlations",
+    f"WITH {sql.SCORED} "
+    + " UNION ALL ".join(
+        f"""SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(corr("{a}", "{b}"), 6) AS corr FROM scored"""
+        for a in METRICS for b in METRICS
+    ),
+)
+def _(spark, sf):
+    return rounded(profile.correlation_matrix(scored(spark, sf), METRICS))
+
+
+@query(
+    "score_summary",
+    f"""WITH {sql.SCORED} SELECT count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean,
+        count(DISTINCT v) AS n_unique, round(quantile_cont(v, 0.5), 6) AS median
+        FROM (SELECT round(viral_score, 6) AS v FROM scored)""",
+)
+def _(spark, sf):
+    df = scored(spark, sf).select(F.round("viral_score", 6).alias("v"))
+    return rounded(profile.summary(df, "v"))
+
+
+@query(
+    "language_distribution",
+    """SELECT lang, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM documents), 6) AS pct
+       FROM documents GROUP BY lang ORDER BY 2 DESC, 1 LIMIT 10""",
+)
+def _(spark, sf):
+    return rounded(profile.value_distribution(read(spark, sf, "documents"), "lang"))
+
+
+@query(
+    "label_bias",
+    """WITH top AS (
+         SELECT round(l_discount, 4) AS label, count(*) AS n,
+                100.0::DOUBLE * count(*) / (SELECT count(*) FROM lineitem) AS pct
+         FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+       SELECT label, n, round(pct, 6) AS pct, max(pct) OVER () > 30.0 AS biased FROM top""",
+)
+def _(spark, sf):
+    return rounded(profile.label_bias(read(spark, sf, "lineitem"), "l_discount"))
+
+
+@query(
+    "range_check",
+    f"WITH {sql.SCORED} "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS metric, count(*) FILTER ("{c}" < 0) AS below, count(*) FILTER ("{c}" > 1) AS above,
+            count(*) FILTER ("{c}" < 0 OR "{c}" > 1) = 0 AS ok FROM scored"""
+        for c in ("viral_score", "recency_n", "viewsPerHr_log")
+    ),
+)
+def _(spark, sf):
+    return profile.range_check(scored(spark, sf), ["viral_score", "recency_n", "viewsPerHr_log"])
+
+
+@query(
+    "dataset_checks",
+    f"""WITH {sql.EXAMPLES}, s AS (SELECT
+          count(*) FILTER (split = 'train') AS n,
+          count(*) FILTER (split = 'train' AND trim(prompt) = '') AS ep,
+          count(*) FILTER (split = 'train' AND trim(response) = '') AS er,
+          count(*) FILTER (split = 'train' AND length(response) < 10) AS short,
+          count(*) FILTER (split = 'test') AS nt,
+          (SELECT max(c) FROM (SELECT count(*) AS c FROM examples WHERE split = 'train' GROUP BY response)) AS top
+          FROM examples)
+        SELECT 'train_rows' AS "check", n::DOUBLE AS value, 1000::DOUBLE AS "limit", n >= 1000 AS ok FROM s
+        UNION ALL SELECT 'empty_prompts', ep, 0, ep = 0 FROM s
+        UNION ALL SELECT 'empty_responses', er, 0, er = 0 FROM s
+        UNION ALL SELECT 'top_response', top, round(n * 0.1::DOUBLE, 6), top <= n * 0.1 FROM s
+        UNION ALL SELECT 'short_responses', short, round(n * 0.2::DOUBLE, 6), short <= n * 0.2 FROM s
+        UNION ALL SELECT 'test_rows', nt, 1, nt >= 1 FROM s""",
+)
+def _(spark, sf):
+    return rounded(profile.dataset_checks(examples(spark, sf)))
+
+
+@query("peek_rows")
+def _(spark, sf):
+    return profile.peek(snapshots(spark, sf), 3)
+
+
+@query("described_columns")
+def _(spark, sf):
+    return profile.describe_table(scored(spark, sf))
+
+
+@query("feature_version", f"WITH {sql.SNAPSHOTS},{sql.DEDUPED} SELECT '1.0.0' AS feature_version, count(*) AS n FROM deduped")
+def _(spark, sf):
+    done = scored(spark, sf)
+    assert feature_config().version in FEATURE_CONFIGS
+    return done.groupBy("feature_version").agg(F.count("*").alias("n"))
