@@ -102,9 +102,13 @@ def detect_language(text: Column) -> Column:
     match no profile are "en". Each text is judged within its own row, so nothing is shuffled.
     """
     words = F.split(F.lower(text), r"[^\p{L}]+")
+
+    def hits(known: tuple[str, ...]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*known)))
+
     scores = [
         F.struct(
-            F.size(F.filter(words, lambda w, known=known: w.isin(*known))).alias("hits"),
+            hits(known).alias("hits"),
             F.lit(-place).alias("place"),
             F.lit(code).alias("code"),
         )

@@ -10,8 +10,9 @@ from math import log
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clipping import clipped
-from .evaluate import average_rank_corr, spearman
-from .rank import add_rank, pct_rank, rank_cuts
+from ..session import stage
+from .evaluate import average_rank_corr, safe_corr, spearman
+from .rank import Rank, add_rank, pct_rank, pct_ranks
 
 
 def _mix(cols: Sequence[str], weights: Sequence[Column]) -> Column:
@@ -35,9 +36,7 @@ def blend(
     ranked = df
     if rank:
         used = [f"_rank_{c}" for c in cols]
-        cuts = rank_cuts(df, cols)
-        for c, r in zip(cols, used):
-            ranked = pct_rank(ranked, c, r, "ordinal", tie_key=tie_key, cuts=cuts[c])
+        ranked = pct_ranks(df, [Rank(c, r, "ordinal") for c, r in zip(cols, used)], tie_key=tie_key)
     mixed = clipped(_mix(used, [F.lit(float(w) / whole) for w in weights]), clip, margin)
     return ranked.select(*df.columns, mixed.alias(out))
 
@@ -58,12 +57,13 @@ def _search(
         ]
     )
     known = df.select(F.col(y).alias("_y"), *cols).dropna()
-    ranked = add_rank(known, "_y", "_ry").select(*cols, "_ry")
+    # Narrow and read several times below.
+    ranked = stage(add_rank(known, "_y", "_ry").select(*cols, "_ry"), "grid")
     copies = ranked.select(*cols, "_ry", F.inline(grid))
     mixed = _mix(cols, [F.get("weights", F.lit(i)) for i in range(len(cols))])
     blends = copies.select("grid_id", "_ry", clipped(mixed, clip, margin).alias("_p"))
     both = add_rank(blends, "_p", "_rp", by=["grid_id"], known_groups=len(weights))
-    scored = both.groupBy("grid_id").agg(F.corr("_ry", "_rp").alias("spearman"))
+    scored = both.groupBy("grid_id").agg(safe_corr(F.col("_ry"), F.col("_rp")).alias("spearman"))
     vector = F.get(F.lit([[float(w) for w in ws] for ws in weights]), F.col("grid_id"))
     parts = [F.get(vector, F.lit(i)).alias(f"w_{c}") for i, c in enumerate(cols)]
     return scored.select("grid_id", *parts, "spearman")
@@ -108,10 +108,8 @@ def best_blend(grid: DataFrame) -> DataFrame:
 
 def fix_inversion(df: DataFrame, y: str, p: str, out: str) -> DataFrame:
     """``1 - p`` where the Spearman correlation with ``y`` is negative, else ``p``."""
-    rho = spearman(df, y, p).select("spearman").scalar()
-    return df.withColumn("_rho", rho).withColumn(
-        out, F.when(F.col("_rho") < 0, F.lit(1.0) - F.col(p)).otherwise(F.col(p))
-    ).drop("_rho")
+    rho = spearman(df, y, p).first()["spearman"]
+    return df.withColumn(out, F.lit(1.0) - F.col(p) if rho is not None and rho < 0 else F.col(p))
 
 
 def final_blend(
@@ -119,9 +117,7 @@ def final_blend(
     clip: str | None = "soft", margin: float = 0.1, out: str = "final",
 ) -> DataFrame:
     """Replace both columns by their ordinal percentiles and add their clipped weighted sum."""
-    cuts = rank_cuts(df, [a, b])
-    ranked = pct_rank(df, a, "_ra", "ordinal", tie_key=tie_key, cuts=cuts[a])
-    ranked = pct_rank(ranked, b, "_rb", "ordinal", tie_key=tie_key, cuts=cuts[b])
+    ranked = pct_ranks(df, [Rank(a, "_ra", "ordinal"), Rank(b, "_rb", "ordinal")], tie_key=tie_key)
     mixed = F.lit(float(weights[0])) * F.col("_ra") + F.lit(float(weights[1])) * F.col("_rb")
     rest = [c for c in df.columns if c not in (a, b)]
     return ranked.select(*rest, F.col("_ra").alias(a), F.col("_rb").alias(b), clipped(mixed, clip, margin).alias(out))
@@ -129,8 +125,10 @@ def final_blend(
 
 def blend_report(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
     """One row per prediction column: mean squared error and Spearman correlation with ``y``."""
-    long = df.select(
-        F.col(y).alias("_y"),
+    # Narrow and read several times below.
+    narrow = stage(df.select(F.col(y).alias("_y"), *cols), "report")
+    long = narrow.select(
+        "_y",
         F.inline(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("_p")) for c in cols])),
     ).dropna()
     errors = long.groupBy("model").agg(F.avg(F.pow(F.col("_y") - F.col("_p"), 2)).alias("mse"))

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .rank import add_rank, position, rank_cuts
+from .rank import Rank, add_ranks, position
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows where both are known, null if one of them is constant."""
+    xs = F.when(y.isNotNull(), x)
+    ys = F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
 def mse(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -20,11 +27,9 @@ def average_rank_corr(
 ) -> DataFrame:
     """Pearson correlation of the average-tie ranks, with the number of rows it rests on."""
     known = df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p")).where("_y is not null and _p is not null")
-    cuts = rank_cuts(known, ["_y", "_p"])
-    ranked = add_rank(known, "_y", "_ry", by=by, known_groups=known_groups, cuts=cuts["_y"]).select(*by, "_ry", "_p")
-    ranked = add_rank(ranked, "_p", "_rp", by=by, known_groups=known_groups, cuts=cuts["_p"])
+    ranked = add_ranks(known, [Rank("_y", "_ry"), Rank("_p", "_rp")], by, known_groups=known_groups)
     grouped = ranked.groupBy(*by) if by else ranked
-    return grouped.agg(F.count("*").alias("n"), F.corr("_ry", "_rp").alias("spearman"))
+    return grouped.agg(F.count("*").alias("n"), safe_corr(F.col("_ry"), F.col("_rp")).alias("spearman"))
 
 
 def spearman(

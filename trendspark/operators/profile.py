@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import strip
+from .evaluate import safe_corr
 from .filters import recent
 from .quantiles import as_number, exact_quantiles
 
@@ -170,8 +171,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns, over the rows where both are known."""
     pairs = list(combinations(range(len(cols)), 2))
     wide = df.agg(
-        *[F.corr(as_number(cols[i]), as_number(cols[j])).alias(f"r{i}_{j}") for i, j in pairs],
-        *[F.corr(as_number(c), as_number(c)).alias(f"r{i}_{i}") for i, c in enumerate(cols)],
+        *[safe_corr(as_number(cols[i]), as_number(cols[j])).alias(f"r{i}_{j}") for i, j in pairs],
+        *[safe_corr(as_number(c), as_number(c)).alias(f"r{i}_{i}") for i, c in enumerate(cols)],
     )
     rows = []
     for i, a in enumerate(cols):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clipping import clipped
 from ..functions.text import text_features
-from ..operators.evaluate import spearman
+from ..operators.evaluate import safe_corr, spearman
 from ..session import stage
 
 FEATURES = "meta_features"
@@ -191,7 +191,7 @@ def fit_meta_model(
 def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One row per feature: F statistic of its linear relation to the label, highest first."""
     n = F.count("*")
-    wide = df.agg(n.alias("n"), *[F.corr(c, label).alias(f"r{i}") for i, c in enumerate(features)])
+    wide = df.agg(n.alias("n"), *[safe_corr(F.col(c), F.col(label)).alias(f"r{i}") for i, c in enumerate(features)])
     rows = []
     for i, c in enumerate(features):
         r2 = F.col(f"r{i}") * F.col(f"r{i}")

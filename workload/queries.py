@@ -501,3 +501,503 @@ def _(spark, sf):
     done = scored(spark, sf)
     assert feature_config().version in FEATURE_CONFIGS
     return done.groupBy("feature_version").agg(F.count("*").alias("n"))
+
+
+# ---- Texts ---------------------------------------------------------------------------------------
+
+UPPER_RE2 = texts.UPPER_CLASS
+DIGIT_RE2 = texts.DIGIT_CLASS
+
+
+def _count_re(pattern: str, col: str = "text") -> str:
+    return f"len(regexp_extract_all({col}, '{pattern}'))"
+
+
+@query(
+    "text_features",
+    f"""SELECT doc_id, length(text) AS length, {_count_re('[?]')} AS question_marks,
+        {_count_re('!')} AS exclamation_marks,
+        round({_count_re(UPPER_RE2)}::DOUBLE / greatest(length(text), 1), 6) AS uppercase_ratio,
+        round({_count_re(DIGIT_RE2)}::DOUBLE / greatest(length(text), 1), 6) AS digit_ratio,
+        """
+    + ", ".join(f"regexp_matches(text, '{p}')::INTEGER AS {n}" for n, p in texts.SCRIPT_CLASSES.items())
+    + " FROM documents",
+)
+def _(spark, sf):
+    df = read(spark, sf, "documents")
+    return rounded(df.select("doc_id", *[c.alias(n) for n, c in texts.text_features(F.col("text")).items()]))
+
+
+def _language_sql(col: str) -> str:
+    words = f"regexp_split_to_array(lower({col}), '[^\\p{{L}}]+')"
+    parts = []
+    for place, (code, known) in enumerate(texts.STOP_WORDS.items()):
+        listed = ", ".join(f"'{w}'" for w in known)
+        parts.append(f"{{'hits': len(list_filter(w, lambda x: x IN ({listed}))), 'place': {-place}, 'code': '{code}'}}")
+    scripts = " ".join(f"WHEN regexp_matches({col}, '{p}') THEN '{code}'" for code, p in texts.SCRIPT_LANGUAGES)
+    best = f"list_max([{', '.join(parts)}]).code"
+    return f"CASE WHEN length(trim({col}, chr(9) || chr(10) || chr(13) || ' ')) < 5 THEN 'en' {scripts} ELSE {best} END", words
+
+
+_LANG_CASE, _LANG_WORDS = _language_sql("text")
+
+
+@query(
+    "detected_language",
+    f"SELECT doc_id, lang, {_LANG_CASE} AS detected FROM (SELECT *, {_LANG_WORDS} AS w FROM documents)",
+)
+def _(spark, sf):
+    return read(spark, sf, "documents").select(
+        "doc_id", "lang", texts.detect_language(F.col("text")).alias("detected")
+    )
+
+
+@query(
+    "language_groups",
+    """SELECT grp AS language_group, count(*) AS n, min(shown) AS first_text FROM (
+         SELECT CASE WHEN lang IN ('en', 'es', 'fr', 'pt', 'it', 'de', 'nl') THEN 'latin' ELSE 'other' END AS grp,
+                CASE WHEN lang IN ('en', 'es', 'fr', 'pt', 'it', 'de', 'nl') THEN '[latin] ' ELSE '[other] ' END
+                  || md5(text) AS shown FROM documents) GROUP BY grp""",
+)
+def _(spark, sf):
+    df = read(spark, sf, "documents").select(
+        texts.language_group(F.col("lang")).alias("language_group"),
+        texts.prefix_group(F.md5("text"), F.col("lang")).alias("shown"),
+    )
+    return df.groupBy("language_group").agg(F.count("*").alias("n"), F.min("shown").alias("first_text"))
+
+
+_PROMPT_SQL = "'" + texts.PROMPT.replace("'", "''") + "'"
+
+
+@query(
+    "training_examples",
+    f"""WITH {sql.SNAPSHOTS},{sql.TEXTS}, built AS (
+          SELECT snapshot_key, coalesce(title, '') AS title,
+                 substr(trim(coalesce(description, ''), chr(9) || chr(10) || chr(13) || ' '), 1, 300) AS short FROM texts)
+        SELECT snapshot_key, md5({_PROMPT_SQL}) AS prompt, md5(short) AS description, title,
+               md5(title || CASE WHEN short <> '' THEN chr(10) || 'Description: ' || short ELSE '' END) AS response,
+               md5({_PROMPT_SQL} || title || CASE WHEN short <> '' THEN chr(10) || 'Description: ' || short ELSE '' END)
+                 AS sft_text FROM built""",
+)
+def _(spark, sf):
+    from trendspark.plans.training import build_sft, sft_text
+
+    df = build_sft(snapshots(spark, sf, texts=True), extra=["snapshot_key"])
+    return df.select(
+        "snapshot_key", F.md5("prompt").alias("prompt"), F.md5("description").alias("description"), "title",
+        F.md5("response").alias("response"), F.md5(sft_text()).alias("sft_text"),
+    )
+
+
+@query("text_keys", "SELECT doc_id, md5(trim(replace(text, chr(10), ' '), chr(9) || chr(13) || ' ')) AS text_key FROM documents")
+def _(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.md5(texts.text_key(F.col("text"))).alias("text_key"))
+
+
+# ---- Sampling and splitting ----------------------------------------------------------------------
+
+
+@query("sampled_rows", f"WITH {sql.SNAPSHOTS} SELECT snapshot_key FROM snapshots ORDER BY md5('42|' || snapshot_key) LIMIT 1000")
+def _(spark, sf):
+    return sampling.sample_n(snapshots(spark, sf), 1000, ["snapshot_key"]).select("snapshot_key")
+
+
+def _cap_sql(edges, closed: str, n: int) -> str:
+    return f"""WITH {sql.SCORED}, binned AS (
+        SELECT snapshot_key, {_bin_sql(edges, closed, 'viral_score')} AS bin FROM scored)
+      SELECT snapshot_key FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('42|' || snapshot_key)) AS rn
+        FROM binned WHERE bin IS NOT NULL) WHERE rn <= {n}"""
+
+
+@query("stratified_by_tenths", _cap_sql(DECILE_EDGES, "right", 2500))
+def _(spark, sf):
+    return sampling.stratified_cap(
+        scored(spark, sf), "viral_score", DECILE_EDGES, 2500, ["snapshot_key"], closed="right"
+    ).select("snapshot_key")
+
+
+@query("stratified_by_buckets", _cap_sql(BALANCE_EDGES, "left", 8000))
+def _(spark, sf):
+    return sampling.stratified_cap(
+        scored(spark, sf), "viral_score", BALANCE_EDGES, 8000, ["snapshot_key"], closed="left"
+    ).select("snapshot_key")
+
+
+@query(
+    "rebalanced",
+    f"""WITH {sql.SCORED}, binned AS (SELECT snapshot_key, {_bin_sql(BALANCE_EDGES, 'left', 'viral_score')} AS bin FROM scored),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY bin) AS c, count(*) OVER () AS n,
+                row_number() OVER (PARTITION BY bin ORDER BY md5('42|' || snapshot_key)) AS rn FROM binned)
+      SELECT snapshot_key, bin FROM sized WHERE bin IS NOT NULL AND rn <= least(c,
+        CASE WHEN c > n * 0.15::DOUBLE THEN floor(n * 0.15::DOUBLE) ELSE greatest(least(c, 8000), 2000) END)""",
+)
+def _(spark, sf):
+    kept = sampling.rebalance(scored(spark, sf), "viral_score", ["snapshot_key"])
+    return kept.select("snapshot_key", profile.bin_index(F.col("viral_score"), BALANCE_EDGES, "left").alias("bin"))
+
+
+def _noise_sql() -> str:
+    ua, ub, uc = (sql.unit("snapshot_key", f"42{x}") for x in "abc")
+    widths = "[" + ", ".join(f"{b}::DOUBLE - {a}::DOUBLE" for a, b in zip(BALANCE_EDGES, BALANCE_EDGES[1:])) + "]"
+    return f"""WITH {sql.SCORED}, a AS (
+        SELECT snapshot_key, v, bin, {widths}[bin + 1] * (0.15::DOUBLE + {ua} * 0.15::DOUBLE) AS scale FROM (
+          SELECT snapshot_key, viral_score AS v, {_bin_sql(BALANCE_EDGES, 'left', 'viral_score')} AS bin FROM scored)),
+      m AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, v + CASE WHEN v > 0.199::DOUBLE AND v < 0.201::DOUBLE
+              THEN -{ub} * scale ELSE ({ub} - 0.5::DOUBLE) * scale * 2.0::DOUBLE END)) AS moved FROM a)
+      SELECT snapshot_key, round(CASE WHEN bin IS NULL THEN v
+        WHEN abs(moved - round(moved, 4)) < 0.0001 THEN moved + {uc} * 0.0001::DOUBLE ELSE moved END, 6) AS viral_score FROM m"""
+
+
+@query("noisy_scores", _noise_sql())
+def _(spark, sf):
+    return rounded(
+        sampling.bin_noise(scored(spark, sf), "viral_score", ["snapshot_key"]).select("snapshot_key", "viral_score")
+    )
+
+
+@query(
+    "exact_split",
+    f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key, CASE WHEN row_number() OVER (ORDER BY md5('42|' || snapshot_key))
+        <= ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM snapshots""",
+)
+def _(spark, sf):
+    return sampling.train_test_split(snapshots(spark, sf), 0.1, ["snapshot_key"]).select("snapshot_key", "split")
+
+
+@query(
+    "split_by_video",
+    f"""WITH {sql.SNAPSHOTS} SELECT "videoId", CASE WHEN {sql.unit('"videoId"', '42')} < 0.1 THEN 'test' ELSE 'train' END
+        AS split, count(*) AS n FROM snapshots GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    df = sampling.train_test_split(snapshots(spark, sf), 0.1, ["videoId"], exact=False)
+    return df.groupBy("videoId", "split").agg(F.count("*").alias("n"))
+
+
+@query(
+    "tail_holdout",
+    f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key FROM (SELECT snapshot_key, count(*) OVER () AS n,
+          {sql.ordinal_rank('"viewCount"', 'snapshot_key')} - 1 AS pos FROM snapshots)
+        WHERE pos >= floor(n * (1 - 0.1::DOUBLE))""",
+)
+def _(spark, sf):
+    return sampling.tail_holdout(snapshots(spark, sf), 0.1, "viewCount", ["snapshot_key"]).where("holdout").select(
+        "snapshot_key"
+    )
+
+
+@query(
+    "inverse_frequency_weights",
+    """SELECT doc_id, round(1.0::DOUBLE / (count(*) OVER (PARTITION BY lang) + 1), 9) AS weight FROM documents""",
+)
+def _(spark, sf):
+    return rounded(sampling.inverse_freq_weight(read(spark, sf, "documents"), "lang").select("doc_id", "weight"), 9)
+
+
+@query(
+    "weighted_resample",
+    """WITH w AS (SELECT doc_id, lang, md5('42|' || doc_id) AS h,
+          CAST(floor((1.0::DOUBLE / (count(*) OVER (PARTITION BY lang) + 1)) * 1e12::DOUBLE) AS BIGINT) AS weight
+        FROM documents),
+      line AS (SELECT doc_id, lang, sum(weight) OVER (ORDER BY h) - weight AS lo, sum(weight) OVER (ORDER BY h) AS hi FROM w),
+      draws AS (SELECT md5('42n|' || doc_id) AS draw FROM documents),
+      spots AS (SELECT draw, CAST(('0x' || substr(md5('42draw|' || draw), 1, 15)) AS BIGINT)
+                  % (SELECT CAST(max(hi) AS BIGINT) FROM line) AS spot FROM draws)
+      SELECT draw, doc_id, lang FROM spots JOIN line ON spot >= lo AND spot < hi""",
+)
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "lang")
+    weighted = sampling.inverse_freq_weight(docs, "lang")
+    return sampling.weighted_resample(weighted, "weight", None, ["doc_id"]).select("draw", "doc_id", "lang")
+
+
+# ---- Ranks, blends, evaluation -------------------------------------------------------------------
+
+
+@query(
+    "percentiles",
+    f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key,
+        round(({sql.ordinal_rank('"commentCount"', 'snapshot_key')} - 1)::DOUBLE / (count(*) OVER () - 1), 9) AS ordinal,
+        round({sql.average_rank('"commentCount"')} / count(*) OVER () * 100, 9) AS average,
+        round(percent_rank() OVER (ORDER BY "commentCount"), 9) AS minimum FROM snapshots""",
+)
+def _(spark, sf):
+    df = snapshots(spark, sf).select("snapshot_key", "commentCount")
+    kinds = {"ordinal": "ordinal", "average": "average", "minimum": "min"}
+    df = rank.pct_ranks(df, [rank.Rank("commentCount", out, t) for out, t in kinds.items()], tie_key=["snapshot_key"])
+    df = df.withColumn("average", F.col("average") * 100)
+    return rounded(df.select("snapshot_key", "ordinal", "average", "minimum"), 9)
+
+
+@query(
+    "percentiles_by_region",
+    f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key, region,
+        round({sql.average_rank('"viewCount"', 'region')} / count(*) OVER (PARTITION BY region), 9) AS pct FROM snapshots""",
+)
+def _(spark, sf):
+    df = snapshots(spark, sf).select("snapshot_key", "region", "viewCount")
+    return rounded(rank.pct_rank(df, "viewCount", "pct", by=["region"]).select("snapshot_key", "region", "pct"), 9)
+
+
+@query(
+    "weighted_blend",
+    f"""WITH {sql.PREDICTIONS} SELECT id, round(p1 * (3.0::DOUBLE / 6) + p2 * (2.0::DOUBLE / 6) + p3 * (1.0::DOUBLE / 6), 9)
+        + 0.0::DOUBLE AS blend FROM predictions""",
+)
+def _(spark, sf):
+    return rounded(blend.blend(predictions(spark, sf), ["p1", "p2", "p3"], [3, 2, 1]).select("id", "blend"), 9)
+
+
+@query(
+    "ranked_blend",
+    f"""WITH {sql.PREDICTIONS}, r AS (SELECT id,
+          ({sql.ordinal_rank('p1', 'id')} - 1)::DOUBLE / (count(*) OVER () - 1) AS r1,
+          ({sql.ordinal_rank('p2', 'id')} - 1)::DOUBLE / (count(*) OVER () - 1) AS r2 FROM predictions)
+        SELECT id, round(0.5::DOUBLE + 0.5::DOUBLE * tanh((0.4::DOUBLE * r1 + 0.6::DOUBLE * r2 - 0.5::DOUBLE) / 0.2::DOUBLE), 6)
+               AS blend FROM r""",
+)
+def _(spark, sf):
+    df = blend.blend(predictions(spark, sf), ["p1", "p2"], [0.4, 0.6], rank=True, tie_key=["id"], clip="soft")
+    return rounded(df.select("id", "blend"))
+
+
+@query(
+    "clipped_predictions",
+    f"""WITH {sql.PREDICTIONS} SELECT id, round(0.5::DOUBLE + 0.5::DOUBLE * tanh((p1 - 0.5::DOUBLE) / 0.2::DOUBLE), 6) AS soft,
+        round(0.5::DOUBLE + 0.5::DOUBLE * tanh((p1 - 0.5::DOUBLE) / 0.4::DOUBLE), 6) AS soft_wide,
+        round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (p1 - 0.05::DOUBLE) / 0.9::DOUBLE)), 6) AS linear FROM predictions""",
+)
+def _(spark, sf):
+    p = F.col("p1")
+    return rounded(
+        predictions(spark, sf).select(
+            "id", clipping.soft_clip(p).alias("soft"), clipping.soft_clip(p, 0.4).alias("soft_wide"),
+            clipping.linear_clip(p).alias("linear"),
+        )
+    )
+
+
+@query(
+    "spread_scores",
+    f"""WITH {sql.PREDICTIONS} SELECT id, round(1 / (1 + exp(-5.0::DOUBLE * ((p1 - min(p1) OVER ())
+        / (max(p1) OVER () - min(p1) OVER ()) - 0.5::DOUBLE))), 6) AS spread FROM predictions""",
+)
+def _(spark, sf):
+    return rounded(scale.sigmoid_spread(predictions(spark, sf), "p1", "spread").select("id", "spread"))
+
+
+@query(
+    "standardized_labels",
+    f"""WITH {sql.PREDICTIONS}, s AS (SELECT avg(y) AS m, stddev_pop(y) AS d FROM predictions WHERE fold <> 0)
+        SELECT id, round((y - m) / d, 6) + 0.0::DOUBLE AS z, round((y - m) / d * d + m, 6) + 0.0::DOUBLE AS back
+        FROM predictions, s""",
+)
+def _(spark, sf):
+    df = predictions(spark, sf)
+    fitted = scale.fit_standardizer(df.where("fold <> 0"), "y")
+    done = scale.unstandardize(scale.standardize(df, "y", fitted, "z"), "z", fitted, "back")
+    return rounded(done.select("id", "z", "back"))
+
+
+@query("mean_squared_error", f"WITH {sql.PREDICTIONS} SELECT fold, round(avg(pow(y - p1, 2)), 6) AS mse FROM predictions GROUP BY fold")
+def _(spark, sf):
+    return rounded(evaluate.mse(predictions(spark, sf), "y", "p1", ["fold"]))
+
+
+@query(
+    "spearman",
+    f"""WITH {sql.PREDICTIONS}, r AS (SELECT {sql.average_rank('y')} AS ry, {sql.average_rank('p3')} AS rp FROM predictions)
+        SELECT count(*) AS n, round(corr(ry, rp), 6) AS spearman FROM r""",
+)
+def _(spark, sf):
+    return rounded(evaluate.spearman(predictions(spark, sf), "y", "p3"))
+
+
+def _metrics_by_sql(by: str) -> str:
+    return f"""r AS (SELECT {by} AS g, y, p1, {sql.average_rank('y', by)} AS ry, {sql.average_rank('p1', by)} AS rp FROM predictions)
+        SELECT g AS "{by}", count(*) AS n, round(avg(pow(y - p1, 2)), 6) AS mse, round(corr(ry, rp), 6) AS spearman
+        FROM r GROUP BY g HAVING count(*) >= 10"""
+
+
+@query("metrics_by_language", f"WITH {sql.PREDICTIONS}, {_metrics_by_sql('lang')}")
+def _(spark, sf):
+    return rounded(evaluate.metrics_by(predictions(spark, sf), "y", "p1", "lang"))
+
+
+GRID = [(1.0 - i / 20, i / 20) for i in range(21)]
+
+
+def _search_sql(cols, weights, table: str = "held") -> str:
+    values = ", ".join(f"({i}, {', '.join(f'{w!r}::DOUBLE' for w in ws)})" for i, ws in enumerate(weights))
+    names = ", ".join(f"w_{c}" for c in cols)
+    mix = " + ".join(f"w_{c} * {c}" for c in cols)
+    return f"""grid(grid_id, {names}) AS (VALUES {values}),
+      b AS (SELECT grid_id, {names}, y, {mix} AS p FROM {table}, grid),
+      r AS (SELECT grid_id, {names}, {sql.average_rank('y', 'grid_id')} AS ry, {sql.average_rank('p', 'grid_id')} AS rp FROM b),
+      found AS (SELECT grid_id, {', '.join(f'any_value(w_{c}) AS w_{c}' for c in cols)}, corr(ry, rp) AS spearman
+                FROM r GROUP BY grid_id)"""
+
+
+@query(
+    "blend_grid",
+    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions WHERE fold = 0), {_search_sql(['p1', 'p2'], GRID)}
+        SELECT grid_id, {r6('w_p1', 'w_p2')}, round(spearman, 6) AS spearman FROM found""",
+)
+def _(spark, sf):
+    held = predictions(spark, sf).where("fold = 0")
+    return rounded(blend.grid_search_blend(held, "p1", "p2", "y"))
+
+
+@query(
+    "best_blend",
+    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions WHERE fold = 0), {_search_sql(['p2', 'p3'], GRID)}
+        SELECT grid_id, {r6('w_p2', 'w_p3')}, round(spearman, 6) AS spearman FROM found ORDER BY spearman DESC, grid_id LIMIT 1""",
+)
+def _(spark, sf):
+    held = predictions(spark, sf).where("fold = 0")
+    return rounded(blend.best_blend(blend.grid_search_blend(held, "p2", "p3", "y", clip="soft", margin=0.4)))
+
+
+@query(
+    "simplex_search",
+    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions WHERE fold = 0),
+        {_search_sql(['p1', 'p2', 'p3'], blend.simplex_weights(3))}
+        SELECT grid_id, {r6('w_p1', 'w_p2', 'w_p3')}, round(spearman, 6) AS spearman FROM found""",
+)
+def _(spark, sf):
+    held = predictions(spark, sf).where("fold = 0")
+    return rounded(blend.simplex_search(held, ["p1", "p2", "p3"], "y"))
+
+
+@query(
+    "fixed_inversion",
+    f"""WITH {sql.PREDICTIONS}, i AS (SELECT id, y, p2, 1 - p1 AS q FROM predictions),
+        s AS (SELECT corr(ry, rq) AS a, corr(ry, rp) AS b FROM (SELECT {sql.average_rank('y')} AS ry,
+              {sql.average_rank('q')} AS rq, {sql.average_rank('p2')} AS rp FROM i))
+        SELECT id, round(CASE WHEN a < 0 THEN 1 - q ELSE q END, 6) + 0.0::DOUBLE AS turned,
+               round(CASE WHEN b < 0 THEN 1 - p2 ELSE p2 END, 6) + 0.0::DOUBLE AS kept FROM i, s""",
+)
+def _(spark, sf):
+    df = predictions(spark, sf).select("id", "y", "p2", (F.lit(1.0) - F.col("p1")).alias("q"))
+    df = blend.fix_inversion(blend.fix_inversion(df, "y", "q", "turned"), "y", "p2", "kept")
+    return rounded(df.select("id", "turned", "kept"))
+
+
+@query(
+    "distinct_predictions",
+    f"""WITH {sql.PREDICTIONS}, u AS (
+          SELECT 'p1' AS model, count(DISTINCT p1) AS n_unique FROM predictions
+          UNION ALL SELECT 'few', count(DISTINCT round(p1 * 5)) FROM predictions
+          UNION ALL SELECT 'binary', count(DISTINCT p1 > 0.5) FROM predictions)
+        SELECT *, CASE WHEN n_unique <= 2 THEN 'binary' WHEN n_unique < 10 THEN 'few' ELSE 'ok' END AS verdict FROM u""",
+)
+def _(spark, sf):
+    df = predictions(spark, sf).select(
+        "p1", F.round(F.col("p1") * 5).alias("few"), (F.col("p1") > 0.5).alias("binary")
+    )
+    return evaluate.cardinality_check(df, ["p1", "few", "binary"])
+
+
+_FINAL_SQL = f"""r AS (SELECT id, y, ({sql.ordinal_rank('p1', 'id')} - 1)::DOUBLE / (count(*) OVER () - 1) AS p1,
+          ({sql.ordinal_rank('p2', 'id')} - 1)::DOUBLE / (count(*) OVER () - 1) AS p2 FROM predictions),
+        f AS (SELECT *, 0.5::DOUBLE + 0.5::DOUBLE * tanh((0.4::DOUBLE * p1 + 0.6::DOUBLE * p2 - 0.5::DOUBLE) / 0.2::DOUBLE)
+              AS final FROM r)"""
+
+
+@query("final_blend", f"WITH {sql.PREDICTIONS}, {_FINAL_SQL} SELECT id, {r6('p1', 'p2', 'final')} FROM f")
+def _(spark, sf):
+    df = blend.final_blend(predictions(spark, sf), "p1", "p2", ["id"])
+    return rounded(df.select("id", "p1", "p2", "final"))
+
+
+@query(
+    "final_blend_report",
+    f"WITH {sql.PREDICTIONS}, {_FINAL_SQL}, k AS (SELECT *, {sql.average_rank('y')} AS ry, "
+    + ", ".join(f"{sql.average_rank(c)} AS r_{c}" for c in ("p1", "p2", "final"))
+    + " FROM f) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS model, round(avg(pow(y - {c}, 2)), 6) AS mse, round(corr(ry, r_{c}), 5) AS spearman FROM k"
+        for c in ("p1", "p2", "final")
+    ),
+)
+def _(spark, sf):
+    df = blend.final_blend(predictions(spark, sf), "p1", "p2", ["id"])
+    return rounded(blend.blend_report(df, "y", ["p1", "p2", "final"])).withColumn("spearman", F.round("spearman", 5))
+
+
+@query(
+    "progress_to_goal",
+    f"""WITH {sql.PREDICTIONS}, r AS (SELECT fold, {sql.average_rank('y', 'fold')} AS ry,
+          {sql.average_rank('p3', 'fold')} AS rp FROM predictions),
+        m AS (SELECT fold AS model, corr(ry, rp) AS s FROM r GROUP BY fold)
+        SELECT model, round(s, 6) AS spearman, round(s - 0.7161::DOUBLE, 6) AS improvement,
+               round((s - 0.7161::DOUBLE) / 0.7161::DOUBLE * 100, 6) AS improvement_pct,
+               round((s - 0.7161::DOUBLE) / 0.0839::DOUBLE * 100, 6) AS progress_pct, s >= 0.8 AS reached FROM m""",
+)
+def _(spark, sf):
+    found = evaluate.spearman(predictions(spark, sf), "y", "p3", ["fold"], known_groups=5)
+    return rounded(blend.progress_table(found.withColumnRenamed("fold", "model")))
+
+
+def _pair_sql(loss: str) -> str:
+    return f"""WITH {sql.PREDICTIONS}, b AS (SELECT *, ({sql.ordinal_rank('y', 'id')} - 1) // 32 AS batch FROM predictions),
+      pairs AS (SELECT i.batch, i.p2 - j.p2 AS gap, greatest((i.y - j.y) * 2.0::DOUBLE, 0.1::DOUBLE) AS margin
+                FROM b i JOIN b j ON i.batch = j.batch AND i.y > j.y),
+      losses AS (SELECT batch, count(*) AS n_pairs, avg({loss}
+                   * least(1 + exp(-10.0::DOUBLE * (gap - 0.5::DOUBLE * margin) / margin), 5.0::DOUBLE)) AS loss
+                 FROM pairs GROUP BY batch),
+      plain AS (SELECT batch, count(*) AS n, avg(pow(y - p2, 2)) AS mse FROM b GROUP BY batch)
+      SELECT CAST(batch AS BIGINT) AS batch, n, coalesce(n_pairs, 0) AS n_pairs, round(coalesce(loss, mse), 6) AS loss
+      FROM plain LEFT JOIN losses USING (batch)"""
+
+
+@query("pairwise_hinge_loss", _pair_sql("greatest(margin - gap, 0.0::DOUBLE)"))
+def _(spark, sf):
+    return rounded(evaluate.pairwise_rank_loss(predictions(spark, sf), "y", "p2", "y", ["id"]))
+
+
+@query("pairwise_soft_loss", _pair_sql("(1 / (1 + exp(gap)))"))
+def _(spark, sf):
+    return rounded(evaluate.pairwise_rank_loss(predictions(spark, sf), "y", "p2", "y", ["id"], kind="soft"))
+
+
+@query(
+    "preference_pairs",
+    f"""WITH {sql.EXAMPLES}, b AS (SELECT *, (pos - 1) // 32 AS batch FROM (
+          SELECT *, row_number() OVER (ORDER BY length(response), md5('42|' || ex_id)) AS pos FROM examples)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY score DESC, pos) - 1 AS rn FROM b)
+        SELECT CAST(batch AS BIGINT) AS batch, CAST(rn // 2 AS BIGINT) AS pair,
+               max(CASE WHEN rn % 2 = 0 THEN md5(prompt || response) END) AS chosen,
+               max(CASE WHEN rn % 2 = 1 THEN md5(prompt || response) END) AS rejected
+        FROM n GROUP BY 1, 2 HAVING count(*) = 2""",
+)
+def _(spark, sf):
+    df = examples(spark, sf).select(
+        "ex_id", "score", F.length("response").alias("size"), F.concat("prompt", "response").alias("text")
+    )
+    pairs = evaluate.preference_pairs(df, "score", "text", "size", ["ex_id"])
+    return pairs.select("batch", "pair", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
+
+
+@query(
+    "reversed_pairs",
+    f"""WITH {sql.EXAMPLES} SELECT md5(prompt) AS prompt, md5(response) AS chosen, md5(reverse(response)) AS rejected
+        FROM examples WHERE split = 'train'""",
+)
+def _(spark, sf):
+    df = evaluate.reversed_pairs(examples(spark, sf).where("split = 'train'"))
+    return df.select(*[F.md5(c).alias(c) for c in df.columns])
+
+
+@query(
+    "rank_report",
+    f"""WITH {sql.PREDICTIONS}, c AS (SELECT id, p1, 0.5::DOUBLE + 0.5::DOUBLE * tanh((p1 - 0.5::DOUBLE) / 0.2::DOUBLE) AS s
+          FROM predictions WHERE fold = 1)
+        SELECT id AS text, round(p1, 6) + 0.0::DOUBLE AS raw_score, round(s, 6) AS score,
+               round({sql.average_rank('s')} / count(*) OVER () * 100, 6) AS percentile,
+               round(1 / (1 + exp(-5.0::DOUBLE * ((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) - 0.5::DOUBLE))), 6)
+                 AS spread_score FROM c""",
+)
+def _(spark, sf):
+    return rounded(blend.rank_report(predictions(spark, sf).where("fold = 1"), "p1", "id", k=5.0))
