@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from trendspark.functions import clipping, scoring, text as texts
+from trendspark.functions import clipping, text as texts
+from trendspark.functions.hashing import uniform
 from trendspark.operators import blend, dedup, embeddings, evaluate, filters, normalize, profile, rank, sampling, scale
-from trendspark.plans import score as plan
+from trendspark.plans import meta, score as plan, training
 from trendspark.schema import BALANCE_EDGES, BIAS_EDGES, DECILE_EDGES, REPORT_EDGES, FEATURE_CONFIGS, feature_config
 
+from trendspark.session import new_folder
+from trendspark.sources.ragged_csv import (
+    file_load_report, load_totals, read_ragged_csv, with_path_category, with_provenance,
+)
+from trendspark.sources.trending_json import parse_trending_json
+from trendspark.sources.warehouse import (
+    append_aligned, evolve_schema, export_sample, load_summary, load_training_rows, read_table, write_predictions,
+    write_splits,
+)
+from trendspark.streaming.ingest import coverage_stream, file_stream, ingest_stream, run_to_table
+
 from . import oracle_parts as sql
 from .tables import AS_OF, KEEP, examples, now, predictions, read, scored, snapshots, with_texts
 
@@ -581,12 +593,10 @@ _PROMPT_SQL = "'" + texts.PROMPT.replace("'", "''") + "'"
                  AS sft_text FROM built""",
 )
 def _(spark, sf):
-    from trendspark.plans.training import build_sft, sft_text
-
-    df = build_sft(snapshots(spark, sf, texts=True), extra=["snapshot_key"])
+    df = training.build_sft(snapshots(spark, sf, texts=True), extra=["snapshot_key"])
     return df.select(
         "snapshot_key", F.md5("prompt").alias("prompt"), F.md5("description").alias("description"), "title",
-        F.md5("response").alias("response"), F.md5(sft_text()).alias("sft_text"),
+        F.md5("response").alias("response"), F.md5(training.sft_text()).alias("sft_text"),
     )
 
 
@@ -1001,3 +1011,395 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rounded(blend.rank_report(predictions(spark, sf).where("fold = 1"), "p1", "id", k=5.0))
+
+
+# ---- Sources and sinks ---------------------------------------------------------------------------
+
+
+def _csv_folder(df: DataFrame, label: str, partition: str | None = None) -> str:
+    """Write ``df`` as CSV with headers below the shared folder and return the path."""
+    path = new_folder(df.sparkSession, label)
+    writer = df.write.option("header", "true").option("escape", '"')
+    (writer.partitionBy(partition) if partition else writer).csv(path)
+    return path
+
+
+@query(
+    "ragged_csv_documents",
+    "SELECT doc_id, md5(text) AS text, lang, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents",
+)
+def _(spark, sf):
+    # Two headers, texts with line breaks, commas and quotes.
+    docs = read(spark, sf, "documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    wide = _csv_folder(docs.where("doc_id % 2 = 0").select("doc_id", "lang", "text", "source"), "csv")
+    slim = _csv_folder(docs.where("doc_id % 2 = 1").select("text", "doc_id", "lang"), "csv")
+    back = read_ragged_csv(spark, [wide, slim])
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text"), "lang", "source")
+
+
+@query("csv_load_totals", "SELECT 5 AS n_files, 5 AS loaded, 0 AS empty, 0 AS error, count(*) AS rows FROM events")
+def _(spark, sf):
+    events = read(spark, sf, "events").select("event_id", "event_type", F.col("value").cast("string").alias("value"))
+    path = _csv_folder(events.repartition("event_type"), "csv", "event_type")
+    report = file_load_report(spark, path, read_ragged_csv(spark, path))
+    # Spark may split a partition folder over several files, so folders are what is counted.
+    folders = report.groupBy(F.regexp_extract("file", "event_type=([a-z]+)", 1)).agg(
+        F.max("status").alias("status"), F.sum("rows").alias("rows")
+    )
+    return load_totals(folders.withColumn("bytes", F.lit(1)))
+
+
+@query(
+    "csv_provenance",
+    """SELECT 'feed' AS source, 'feed_event_type=' || event_type AS folder,
+              CASE WHEN event_type = 'click' THEN 'click' WHEN event_type = 'error' THEN 'error' END AS category,
+              count(*) AS n FROM events GROUP BY event_type""",
+)
+def _(spark, sf):
+    events = read(spark, sf, "events").select("event_id", "event_type", "value")
+    path = _csv_folder(events, "csv", "event_type")
+    df = with_path_category(with_provenance(read_ragged_csv(spark, path), "feed", path), ("click", "error"))
+    folder = F.regexp_extract("data_source", "^([^/]*)/", 1)
+    return df.groupBy("source", folder.alias("folder"), "category").agg(F.count("*").alias("n"))
+
+
+@query("csv_rows_capped_per_file", "SELECT event_type, least(count(*), 500) AS n FROM events GROUP BY event_type")
+def _(spark, sf):
+    events = read(spark, sf, "events").select("event_id", "event_type", "value").repartition(1, "event_type")
+    path = _csv_folder(events, "csv", "event_type")
+    df = read_ragged_csv(spark, path, max_rows_per_file=500)
+    return df.groupBy(F.regexp_extract("_file", "event_type=([a-z]+)", 1).alias("event_type")).agg(
+        F.count("*").alias("n")
+    )
+
+
+@query(
+    "trending_responses",
+    """SELECT 'v' || event_id AS "videoId", event_type AS title, epoch_us(date_trunc('second', ts)) // 1000000 AS published,
+              'US' AS region, CAST(floor(value) AS BIGINT) AS "viewCount",
+              CASE WHEN event_id % 2 = 0 THEN user_id ELSE 0 END AS "likeCount", 0 AS "commentCount",
+              CAST(NULL AS BIGINT) AS "rank", 'api_US_2024-02-01' AS data_source FROM events""",
+)
+def _(spark, sf):
+    statistics = F.concat(
+        F.lit('{"viewCount":"'), F.floor("value").cast("string"), F.lit('"'),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"likeCount":"'), F.col("user_id").cast("string"), F.lit('"')))
+        .otherwise(""), F.lit("}"),
+    )
+    item = F.concat(
+        F.lit('{"id":"v'), F.col("event_id").cast("string"), F.lit('","snippet":{"title":"'), "event_type",
+        F.lit('","description":"","publishedAt":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit('"},"statistics":'), statistics, F.lit("}"),
+    )
+    # Fifty items to a response, as the service pages them.
+    pages = (
+        read(spark, sf, "events")
+        .select(F.floor(F.col("event_id") / 50).alias("page"), item.alias("item"))
+        .groupBy("page")
+        .agg(F.concat(F.lit('{"items":['), F.concat_ws(",", F.collect_list("item")), F.lit("]}")).alias("body"))
+    )
+    df = parse_trending_json(pages, "body", F.lit("US"), F.lit("2024-02-01"))
+    return df.select(
+        "videoId", "title", F.unix_seconds("publishedAt").alias("published"), "region", "viewCount", "likeCount",
+        "commentCount", "rank", "data_source",
+    )
+
+
+@query(
+    "appended_table",
+    """SELECT c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS data_source FROM customer
+       UNION ALL SELECT s_suppkey, s_name, 'suppliers' FROM supplier""",
+)
+def _(spark, sf):
+    # The second frame has its columns in another order, one the table lacks, and one that widens it.
+    path = new_folder(spark, "table")
+    first = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    second = read(spark, sf, "supplier").select(
+        F.lit("suppliers").alias("data_source"), F.col("s_name").alias("name"),
+        F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("id"),
+    )
+    append_aligned(first, path)
+    append_aligned(second, path)
+    return read_table(spark, path)
+
+
+@query(
+    "evolved_schema",
+    "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS data_source FROM nation",
+)
+def _(spark, sf):
+    df = read(spark, sf, "nation").select("n_nationkey", "n_name")
+    return evolve_schema(df, T.StructType([T.StructField("data_source", T.StringType())]))
+
+
+@query(
+    "training_rows",
+    f"""WITH {sql.SNAPSHOTS},{sql.TEXTS}, good AS (SELECT * FROM texts WHERE title IS NOT NULL AND description IS NOT NULL
+          AND "publishedAt" IS NOT NULL AND "viewCount" >= 20000)
+        SELECT snapshot_key, "videoId", title, md5(description) AS description, "viewCount", "likeCount", "rank", region
+        FROM good ORDER BY md5('42|' || snapshot_key) LIMIT 5000""",
+)
+def _(spark, sf):
+    df = load_training_rows(snapshots(spark, sf, texts=True), 20000, 5000, ["snapshot_key"])
+    return df.select(
+        "snapshot_key", "videoId", "title", F.md5("description").alias("description"), "viewCount", "likeCount",
+        "rank", "region",
+    )
+
+
+@query(
+    "training_row_ranges",
+    f"""WITH {sql.SNAPSHOTS} SELECT count(*) AS n_rows, epoch_us(min("publishedAt")) // 1000000 AS first_date,
+        epoch_us(max("publishedAt")) // 1000000 AS last_date, min("viewCount") AS min_views, max("viewCount") AS max_views
+        FROM snapshots""",
+)
+def _(spark, sf):
+    df = load_summary(snapshots(spark, sf))
+    return df.withColumns({c: F.unix_seconds(c) for c in ("first_date", "last_date")})
+
+
+@query(
+    "written_splits",
+    f"""WITH {sql.SCORED}, s AS (SELECT snapshot_key, viral_score, row_number() OVER (ORDER BY md5('42|' || snapshot_key))
+          <= ceil(count(*) OVER () * 0.1::DOUBLE) AS t FROM scored)
+        SELECT CASE WHEN t THEN 'test' ELSE 'train' END AS split, count(*) AS n, round(sum(viral_score), 3) AS total
+        FROM s GROUP BY 1""",
+)
+def _(spark, sf):
+    path = new_folder(spark, "splits")
+    labelled = sampling.train_test_split(scored(spark, sf), 0.1, ["snapshot_key"])
+    write_splits(labelled.select("snapshot_key", "viral_score", "split"), path)
+    return spark.read.parquet(path).groupBy("split").agg(
+        F.count("*").alias("n"), F.round(F.sum("viral_score"), 3).alias("total")
+    )
+
+
+@query(
+    "exported_sample",
+    f"""WITH {sql.SCORED} SELECT "videoId", title, "viewCount", "likeCount", "commentCount" FROM scored
+        ORDER BY md5('42|' || snapshot_key) LIMIT 1000""",
+)
+def _(spark, sf):
+    path = new_folder(spark, "sample")
+    export_sample(scored(spark, sf), path, 1000, ["snapshot_key"])
+    back = read_ragged_csv(spark, path)
+    counts = {c: F.col(c).cast("bigint") for c in ("viewCount", "likeCount", "commentCount")}
+    return back.withColumns(counts).select("videoId", "title", *counts)
+
+
+@query(
+    "written_predictions",
+    f"WITH {sql.PREDICTIONS}, {_FINAL_SQL} SELECT id, {r6('p1', 'p2', 'final')}, 3 AS n_models FROM f",
+)
+def _(spark, sf):
+    path = new_folder(spark, "results")
+    df = blend.final_blend(predictions(spark, sf), "p1", "p2", ["id"])
+    models = ["p1", "p2", "final"]
+    weights = spark.createDataFrame([("p1", 0.4), ("p2", 0.6)], "model string, weight double")
+    write_predictions(df.select("id", "y", *models), blend.blend_report(df, "y", models), weights, path)
+    n = spark.read.parquet(f"{path}/metrics").agg(F.count("*").cast("int").alias("n")).scalar()
+    return rounded(spark.read.parquet(f"{path}/predictions").select("id", *models)).withColumn("n_models", n)
+
+
+# ---- Whole preparation runs ----------------------------------------------------------------------
+
+
+@query(
+    "prepared_examples",
+    f"""WITH {sql.SNAPSHOTS},{sql.TEXTS}, u AS (SELECT min(snapshot_key) AS k, title, description FROM texts
+          WHERE title IS NOT NULL AND description IS NOT NULL GROUP BY title, description)
+        SELECT k AS snapshot_key, title, CASE WHEN row_number() OVER (ORDER BY md5('42|' || k))
+          <= ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM u""",
+)
+def _(spark, sf):
+    return training.prepare_sft(snapshots(spark, sf, texts=True), "snapshot_key").select("snapshot_key", "title", "split")
+
+
+@query(
+    "prepared_regression_set",
+    f"""WITH {sql.SCORED}, b AS (SELECT snapshot_key, title, text AS description,
+          {_bin_sql(BALANCE_EDGES, 'left', 'viral_score')} AS bin
+          FROM scored JOIN documents ON doc_ref = doc_id WHERE title IS NOT NULL),
+        c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('42|' || snapshot_key)) AS rn
+              FROM b WHERE bin IS NOT NULL) WHERE rn <= 3000),
+        u AS (SELECT min(snapshot_key) AS k FROM c GROUP BY title, description)
+        SELECT k AS snapshot_key, CASE WHEN row_number() OVER (ORDER BY md5('42|' || k))
+          <= ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM u""",
+)
+def _(spark, sf):
+    df = with_texts(spark, sf, scored(spark, sf))
+    return training.prepare_regression(df, "snapshot_key", per_bucket=3000).select("snapshot_key", "split")
+
+
+@query(
+    "regression_examples",
+    f"""WITH {sql.SCORED}, e AS (SELECT coalesce(title, '') AS text, viral_score FROM scored),
+        l AS (SELECT text, viral_score, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM e)
+        SELECT text, round(viral_score, 6) AS labels, {_LANG_CASE} AS language FROM l""",
+)
+def _(spark, sf):
+    return rounded(training.regression_examples(scored(spark, sf), "title", with_language=True))
+
+
+# ---- Embeddings and the meta-model ---------------------------------------------------------------
+
+
+def _cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of seven documents in ten, under the key of their text."""
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    docs = read(spark, sf, "documents").select("doc_id", texts.text_key(F.col("text")).alias("text_key"))
+    joined = docs.join(vectors, F.col("doc_id") == F.col("vec_id")).where(uniform("doc_id", "cache") < 0.7)
+    return dedup.dedup_text(joined, ["text_key"], "doc_id").select("text_key", "embedding")
+
+
+_KEY_SQL = "trim(replace(text, chr(10), ' '), chr(9) || chr(13) || ' ')"
+_CACHE_SQL = f"""docs AS (SELECT doc_id, {_KEY_SQL} AS text_key FROM documents),
+      cache AS (SELECT text_key, arg_min(embedding, doc_id) AS embedding FROM docs JOIN embeddings ON doc_id = vec_id
+                WHERE {sql.unit('doc_id', 'cache')} < 0.7 GROUP BY text_key)"""
+
+
+@query("missing_embeddings", f"WITH {_CACHE_SQL} SELECT DISTINCT md5(text_key) AS text_key FROM docs WHERE text_key NOT IN (SELECT text_key FROM cache)")
+def _(spark, sf):
+    missing = embeddings.missing_keys(read(spark, sf, "documents"), _cache(spark, sf))
+    return missing.select(F.md5("text_key").alias("text_key"))
+
+
+def _vector_sql(v: str) -> str:
+    return f"list_avg({v}::DOUBLE[])"
+
+
+@query(
+    "attached_embeddings",
+    f"""WITH {_CACHE_SQL} SELECT doc_id, 64 AS size,
+        round(CASE WHEN embedding IS NULL THEN 0.0 ELSE list_avg(embedding::DOUBLE[]) END, 6) + 0.0::DOUBLE AS mean,
+        round(CASE WHEN embedding IS NULL THEN 0.0 ELSE list_stddev_pop(embedding::DOUBLE[]) END, 6) + 0.0::DOUBLE AS std
+        FROM docs LEFT JOIN cache USING (text_key)""",
+)
+def _(spark, sf):
+    df = embeddings.attach_embeddings(read(spark, sf, "documents"), _cache(spark, sf), 64)
+    stats = embeddings.vector_stats(df, "embedding")
+    return rounded(
+        stats.select(
+            "doc_id", F.size("embedding").alias("size"), F.col("embedding_mean").alias("mean"),
+            F.col("embedding_std").alias("std"),
+        )
+    )
+
+
+@query(
+    "upserted_cache",
+    f"""WITH {_CACHE_SQL}, fresh AS (SELECT text_key, arg_min(embedding, doc_id) AS embedding
+          FROM docs JOIN embeddings ON doc_id + 1 = vec_id GROUP BY text_key),
+        merged AS (SELECT text_key, embedding FROM fresh
+                   UNION ALL SELECT text_key, embedding FROM cache WHERE text_key NOT IN (SELECT text_key FROM fresh))
+        SELECT md5(text_key) AS text_key, round(embedding[1]::DOUBLE, 6) AS first FROM merged""",
+)
+def _(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", texts.text_key(F.col("text")).alias("text_key"))
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    fresh = docs.join(vectors, F.col("doc_id") + 1 == F.col("vec_id"))
+    fresh = dedup.dedup_text(fresh, ["text_key"], "doc_id").select("text_key", "embedding")
+    merged = embeddings.upsert_cache(_cache(spark, sf), fresh)
+    return rounded(merged.select(F.md5("text_key").alias("text_key"), F.get("embedding", F.lit(0)).cast("double").alias("first")))
+
+
+@query(
+    "scaled_embeddings",
+    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+       z AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_pop(x) OVER (PARTITION BY i) AS z FROM e)
+       SELECT vec_id, round(sum(z), 5) + 0.0::DOUBLE AS total, round(max(z), 5) AS highest FROM z GROUP BY vec_id""",
+)
+def _(spark, sf):
+    df = embeddings.scale_vectors(read(spark, sf, "embeddings"), "embedding", 64, "z")
+    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + x)
+    return rounded(df.select("vec_id", total.alias("total"), F.array_max("z").alias("highest")), 5)
+
+
+def _vector_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of the vectors with two noisy predictions and a fold."""
+    y = F.col("label") / F.lit(9.0)
+    return read(spark, sf, "embeddings").select(
+        "vec_id", "embedding", y.alias("y"),
+        (y + uniform("vec_id", "p1") * 0.4 - 0.2).alias("p1"),
+        (y + uniform("vec_id", "p2") * 0.8 - 0.4).alias("p2"),
+        F.floor(uniform("vec_id", "fold") * 5).cast("int").alias("fold"),
+    )
+
+
+_FEATURES = ["p1", "p2", "e0", "e1", "e2", "e3"]
+
+
+@query(
+    "feature_f_scores",
+    f"""WITH v AS (SELECT label / 9.0::DOUBLE AS y, label / 9.0::DOUBLE + {sql.unit('vec_id', 'p1')} * 0.4 - 0.2 AS p1,
+          label / 9.0::DOUBLE + {sql.unit('vec_id', 'p2')} * 0.8 - 0.4 AS p2, embedding AS e FROM embeddings),
+        r AS (SELECT count(*) AS n, corr(p1, y) AS p1, corr(p2, y) AS p2, """
+    + ", ".join(f"corr(e[{i + 1}]::DOUBLE, y) AS e{i}" for i in range(4))
+    + " FROM v) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round({c} * {c} / (1 - {c} * {c}) * (n - 2), 6) AS f_score FROM r" for c in _FEATURES
+    ),
+)
+def _(spark, sf):
+    df = _vector_examples(spark, sf)
+    df = df.withColumns({f"e{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(4)})
+    return rounded(meta.f_scores(df, _FEATURES, "y"))
+
+
+@query("meta_model_scores")
+def _(spark, sf):
+    df = _vector_examples(spark, sf)
+    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64)
+    rows = [(name, mean, std, name == fitted.chosen) for name, (mean, std) in fitted.scores.items()]
+    return spark.createDataFrame(rows, "model string, spearman double, deviation double, chosen boolean")
+
+
+@query("meta_model_predictions")
+def _(spark, sf):
+    df = _vector_examples(spark, sf)
+    n = df.count()
+    fitted = meta.fit_meta_model(
+        df, "y", ["p1", "p2"], "fold", "embedding", 64, models={"Ridge": meta.ridge(10.0, n)}
+    )
+    path = new_folder(spark, "meta")
+    fitted.save(path)
+    again = meta.MetaModel.load(path, ["p1", "p2"], "embedding")
+    return again.predict(df).select("vec_id", "y", "prediction")
+
+
+# ---- Streams -------------------------------------------------------------------------------------
+
+
+@query(
+    "ingested_events",
+    "SELECT DISTINCT user_id, event_type, CAST(date_trunc('day', ts) AS DATE) AS day FROM events WHERE event_type <> 'error'",
+)
+def _(spark, sf):
+    schema = read(spark, sf, "events").schema
+    rows = file_stream(spark, sf, schema, pattern="events.parquet").select(
+        F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.to_date("ts").alias("day")
+    )
+    sink = new_folder(spark, "sink")
+    ingest_stream(
+        rows, sink, new_folder(spark, "progress"), ["user_id", "event_type", "day"], "ts", "31 days",
+        keep=lambda df: df.where("event_type <> 'error'"),
+    )
+    return spark.read.parquet(sink).select("user_id", "event_type", "day")
+
+
+@query(
+    "streamed_coverage",
+    """SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS day, event_type, count(*) AS total, count(value) AS with_value,
+        count(*) FILTER (value >= 5) AS ge_5, count(*) FILTER (value >= 50) AS ge_50 FROM events
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    schema = read(spark, sf, "events").schema
+    rows = file_stream(spark, sf, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    sink = new_folder(spark, "sink")
+    run_to_table(
+        coverage_stream(rows, "ts", "event_type", "value", (5, 50), delay="0 seconds"), sink,
+        new_folder(spark, "progress"),
+    )
+    df = spark.read.parquet(sink)
+    return df.select(F.unix_seconds("window_start").alias("day"), "event_type", "total", "with_value", "ge_5", "ge_50")
