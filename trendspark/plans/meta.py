@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clipping import clipped
 from ..functions.text import text_features
 from ..operators.evaluate import safe_corr, spearman
+from ..operators.normalize import union_sources
 from ..session import stage
 
 FEATURES = "meta_features"
@@ -25,22 +26,6 @@ LABEL = "_label"
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 50.0, 100.0)
 
 
-class SpearmanEvaluator(Evaluator):
-    """Spearman correlation of label and prediction, larger is better."""
-
-    def __init__(self, label: str = LABEL, prediction: str = "prediction"):
-        super().__init__()
-        self.label = label
-        self.prediction = prediction
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        rho = spearman(dataset, self.label, self.prediction).first()["spearman"]
-        return float("-inf") if rho is None or rho != rho else float(rho)
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def meta_inputs(
     df: DataFrame, predictions: Sequence[str], embedding: str | None = None, text: str | None = None
 ) -> tuple[DataFrame, list[str]]:
@@ -90,18 +75,84 @@ def ridge(alpha: float, n_rows: int) -> LinearRegression:
     )
 
 
-def candidates(n_rows: int, fold_col: str) -> dict[str, Estimator]:
-    """The models to choose from."""
-    base = ridge(10.0, n_rows)
-    grid = ParamGridBuilder().addGrid(base.regParam, [a / n_rows for a in RIDGE_ALPHAS]).build()
-    tuned = CrossValidator(
-        estimator=base, estimatorParamMaps=grid, foldCol=fold_col, numFolds=5, parallelism=5,
-        evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
+def _fold_products(df: DataFrame, folds: int) -> np.ndarray:
+    """For each of ``folds`` keyed parts of the rows the matrix Z'Z of Z = (1, features, label).
+
+    One pass: each task adds up its rows, Spark adds up the tasks. What reaches the driver are
+    ``folds`` matrices whose size is set by the number of features.
+    """
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.empty((0, 0))
+            z = np.column_stack([np.ones(len(batch)), x, batch["y"]]) if len(batch) else x
+            for part in np.unique(batch["part"]):
+                rows = z[(batch["part"] == part).to_numpy()]
+                sums[int(part)] = sums.get(int(part), 0.0) + rows.T @ rows
+        for part, total in sums.items():
+            yield pd.DataFrame({"part": [part], "m": [total.ravel()]})
+
+    rows = df.select(
+        F.pmod(F.xxhash64(FEATURES), F.lit(folds)).cast("int").alias("part"),
+        vector_to_array(FEATURES).alias("x"),
+        F.col(LABEL).alias("y"),
     )
+    partial = rows.mapInPandas(products, "part int, m array<double>")
+    cells = partial.select("part", F.posexplode("m").alias("at", "v")).groupBy("part", "at").agg(F.sum("v").alias("v"))
+    found = cells.toPandas()
+    side = int(round((int(found["at"].max()) + 1) ** 0.5))
+    out = np.zeros((folds, side * side))
+    out[found["part"].to_numpy(), found["at"].to_numpy()] = found["v"].to_numpy()
+    return out.reshape(folds, side, side)
+
+
+def _solve_ridge(m: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the ridge regression on the rows summed up in ``m``."""
+    n, mean = m[0, 0], m[0] / m[0, 0]
+    centered = m - n * np.outer(mean, mean)
+    weights = np.linalg.solve(centered[1:-1, 1:-1] + alpha * np.eye(len(m) - 2), centered[1:-1, -1])
+    return weights, mean[-1] - mean[1:-1] @ weights
+
+
+def _r2(m: np.ndarray, weights: np.ndarray, intercept: float) -> float:
+    """Share of variance explained on the rows summed up in ``m``."""
+    w = np.concatenate([[-intercept], -weights, [1.0]])
+    spread = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+    return 1.0 - float(w @ m @ w) / spread if spread > 0 else 0.0
+
+
+@dataclass
+class RidgeCV:
+    """Ridge regression whose strength is the best of ``alphas`` by mean R2 over ``folds`` folds.
+
+    All folds and strengths are solved from one pass over the rows.
+    """
+
+    alphas: Sequence[float] = RIDGE_ALPHAS
+    folds: int = 5
+
+    def best_alpha(self, df: DataFrame) -> tuple[float, int]:
+        """The chosen strength and the number of rows."""
+        parts = _fold_products(df, self.folds)
+        whole = parts.sum(axis=0)
+        used = [m for m in parts if m[0, 0] > 1 and whole[0, 0] - m[0, 0] > 1]
+
+        def quality(alpha: float) -> float:
+            return float(np.mean([_r2(m, *_solve_ridge(whole - m, alpha)) for m in used])) if used else 0.0
+
+        return max(self.alphas, key=quality), int(whole[0, 0])
+
+    def fit(self, df: DataFrame) -> LinearRegressionModel:
+        return ridge(*self.best_alpha(df)).fit(df)
+
+
+def candidates(n_rows: int) -> dict[str, Estimator | RidgeCV]:
+    """The models to choose from."""
     names = {"featuresCol": FEATURES, "labelCol": LABEL, "seed": 42}
     return {
-        "Ridge": base,
-        "RidgeCV": tuned,
+        "Ridge": ridge(10.0, n_rows),
+        "RidgeCV": RidgeCV(),
         "ElasticNet": LinearRegression(
             featuresCol=FEATURES, labelCol=LABEL, regParam=0.1, elasticNetParam=0.5,
             standardization=False, maxIter=1000,
@@ -111,16 +162,28 @@ def candidates(n_rows: int, fold_col: str) -> dict[str, Estimator]:
     }
 
 
-def cross_validate(df: DataFrame, model: Estimator, fold_col: str, folds: int) -> list[float]:
-    """Spearman correlation on each held-out fold."""
-    scores = []
-    for k in range(folds):
-        rest = df.where(F.col(fold_col) != k)
-        if isinstance(model, CrossValidator):
-            # The inner folds are cut anew from the rows that are left.
-            rest = rest.withColumn(fold_col, F.pmod(F.xxhash64(F.col(FEATURES)), F.lit(folds)).cast("int"))
-        scores.append(SpearmanEvaluator().evaluate(model.fit(rest).transform(df.where(F.col(fold_col) == k))))
-    return scores
+def cross_validate(
+    df: DataFrame, models: Mapping[str, Estimator | RidgeCV], fold_col: str, folds: int
+) -> dict[str, tuple[float, float]]:
+    """Per model the mean and the deviation over the folds of the Spearman correlation on the held-out fold.
+
+    The held-out predictions of all models and folds are written as one narrow table and ranked
+    together.
+    """
+    parts = []
+    for name, model in models.items():
+        for k in range(folds):
+            held = model.fit(df.where(F.col(fold_col) != k)).transform(df.where(F.col(fold_col) == k))
+            parts.append(held.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), LABEL, "prediction"))
+    table = stage(union_sources(*parts), "held_out")
+    rho = spearman(table, LABEL, "prediction", ["model", "fold"], known_groups=len(parts))
+    # A fold without a correlation counts as none at all.
+    per_model = rho.groupBy("model").agg(
+        F.avg(F.coalesce("spearman", F.lit(0.0))).alias("mean"),
+        F.stddev_pop(F.coalesce("spearman", F.lit(0.0))).alias("std"),
+    )
+    found = {r["model"]: (r["mean"], r["std"]) for r in per_model.collect()}
+    return {name: found.get(name, (float("-inf"), 0.0)) for name in models}
 
 
 @dataclass
@@ -159,7 +222,7 @@ def fit_meta_model(
     embedding: str | None = None,
     dim: int | None = None,
     text: str | None = None,
-    models: Mapping[str, Estimator] | None = None,
+    models: Mapping[str, Estimator | RidgeCV] | None = None,
     folds: int = 5,
 ) -> MetaModel:
     """Fit the features, choose the model with the best mean Spearman over ``folds``, refit it on all rows.
@@ -174,15 +237,10 @@ def fit_meta_model(
     # Every fold of every model reads the features, so they are computed once.
     table = stage(features.transform(labelled).select(FEATURES, LABEL, fold_col), "meta_features")
 
-    tried = dict(models) if models is not None else candidates(n, fold_col)
-    scores: dict[str, tuple[float, float]] = {}
-    for name, model in tried.items():
-        got = cross_validate(table, model, fold_col, folds)
-        center = sum(got) / len(got)
-        scores[name] = (center, (sum((x - center) ** 2 for x in got) / len(got)) ** 0.5)
+    tried = dict(models) if models is not None else candidates(n)
+    scores = cross_validate(table, tried, fold_col, folds)
     chosen = max(scores, key=lambda name: scores[name][0])
-    fitted = tried[chosen].fit(table)
-    last = fitted.bestModel if hasattr(fitted, "bestModel") else fitted
+    last = tried[chosen].fit(table)
     back = SQLTransformer(statement=f"SELECT *, prediction * {std or 1.0!r} + {mean!r} AS _final FROM __THIS__")
     whole = PipelineModel(stages=[*features.stages, last, back])
     return MetaModel(whole, list(predictions), embedding, text, chosen, scores)

@@ -21,15 +21,16 @@ from ..session import stage
 RATES = {"viewsPerHr": "viewCount", "likesPerHr": "likeCount", "commentsPerHr": "commentCount"}
 
 
-def rates(df: DataFrame, now: Column) -> DataFrame:
+def rates(df: DataFrame, now: str | Column) -> DataFrame:
     """Add the age and the three rates per hour, the rates lifted to 0 and their logarithms."""
-    aged = df.withColumn("_age", age_hours(F.col("publishedAt"), F.col("trendingDate"), now))
+    clock = F.lit(now) if isinstance(now, str) else now
+    aged = df.withColumn("_age", age_hours(F.col("publishedAt"), F.col("trendingDate"), clock))
     raw = aged.withColumns({out: rate(F.col(count), F.col("_age")) for out, count in RATES.items()})
     lifted = {out: F.when(F.col(out) < 0, F.lit(0.0)).otherwise(F.col(out)) for out in RATES}
     return raw.withColumns(lifted).withColumns({f"{out}_log": log_rate(F.col(out)) for out in RATES})
 
 
-def metrics(df: DataFrame, now: Column, stats: Stats | None = None) -> DataFrame:
+def metrics(df: DataFrame, now: str | Column, stats: Stats | None = None) -> DataFrame:
     """Add the seven normalised metrics. ``stats`` freezes the scale of the rates.
 
     The rows with their rates are written once: finding the quartiles and the ranks reads them
@@ -49,7 +50,7 @@ def metrics(df: DataFrame, now: Column, stats: Stats | None = None) -> DataFrame
 
 def score(
     df: DataFrame,
-    now: Column,
+    now: str | Column,
     key: Sequence[str],
     cfg: FeatureConfig | None = None,
     seed: int | str = 42,
@@ -57,7 +58,7 @@ def score(
 ) -> DataFrame:
     """Add all derived columns up to ``viral_score``.
 
-    ``now`` stands in for a missing trending date. ``key`` identifies a row and drives its noise.
+    ``now``, a UTC time, stands in for a missing trending date. ``key`` identifies a row and drives its noise.
     Scores are percentiles of the given rows: to score appended rows on the scale of earlier ones
     pass the ``robust_stats`` of those as ``stats``.
     """
@@ -87,7 +88,7 @@ def clean(
 
 def clean_and_score(
     df: DataFrame,
-    now: Column,
+    now: str | Column,
     order_col: str,
     key: Sequence[str],
     keep_regions: Sequence[str] = KEEP_REGIONS,

@@ -1348,8 +1348,11 @@ def _(spark, sf):
 
 @query("meta_model_scores")
 def _(spark, sf):
+    # Boosting is left to the tests: its hundred rounds are run one after the other.
     df = _vector_examples(spark, sf)
-    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64)
+    models = meta.candidates(df.count())
+    models.pop("GradientBoosting")
+    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64, models=models)
     rows = [(name, mean, std, name == fitted.chosen) for name, (mean, std) in fitted.scores.items()]
     return spark.createDataFrame(rows, "model string, spearman double, deviation double, chosen boolean")
 
