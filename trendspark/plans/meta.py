@@ -67,14 +67,6 @@ def feature_stages(
     ]
 
 
-def ridge(alpha: float, n_rows: int) -> LinearRegression:
-    """Ridge regression that minimises squared error plus ``alpha`` times the squared weights."""
-    return LinearRegression(
-        featuresCol=FEATURES, labelCol=LABEL, regParam=alpha / n_rows, elasticNetParam=0.0,
-        standardization=False, solver="normal",
-    )
-
-
 def _fold_products(df: DataFrame, folds: int) -> np.ndarray:
     """For each of ``folds`` keyed parts of the rows the matrix Z'Z of Z = (1, features, label).
 
@@ -123,17 +115,18 @@ def _r2(m: np.ndarray, weights: np.ndarray, intercept: float) -> float:
 
 
 @dataclass
-class RidgeCV:
-    """Ridge regression whose strength is the best of ``alphas`` by mean R2 over ``folds`` folds.
+class Ridge:
+    """Ridge regression: least squared error plus strength times squared weights.
 
-    All folds and strengths are solved from one pass over the rows.
+    Of several ``alphas`` the best by mean R2 over ``folds`` folds is taken. All folds and strengths
+    are solved from one pass over the rows; the chosen one is then fitted as a Spark ML model.
     """
 
-    alphas: Sequence[float] = RIDGE_ALPHAS
+    alphas: Sequence[float] = (10.0,)
     folds: int = 5
 
-    def best_alpha(self, df: DataFrame) -> tuple[float, int]:
-        """The chosen strength and the number of rows."""
+    def choose(self, df: DataFrame) -> tuple[float, np.ndarray]:
+        """The chosen strength and the sums over all rows."""
         parts = _fold_products(df, self.folds)
         whole = parts.sum(axis=0)
         used = [m for m in parts if m[0, 0] > 1 and whole[0, 0] - m[0, 0] > 1]
@@ -141,18 +134,26 @@ class RidgeCV:
         def quality(alpha: float) -> float:
             return float(np.mean([_r2(m, *_solve_ridge(whole - m, alpha)) for m in used])) if used else 0.0
 
-        return max(self.alphas, key=quality), int(whole[0, 0])
+        best = self.alphas[0] if len(self.alphas) == 1 else max(self.alphas, key=quality)
+        return best, whole
 
     def fit(self, df: DataFrame) -> LinearRegressionModel:
-        return ridge(*self.best_alpha(df)).fit(df)
+        alpha, m = self.choose(df)
+        n = m[0, 0]
+        # The solver measures the penalty in deviations of the label and the error per row.
+        deviation = float(np.sqrt(max(m[-1, -1] / n - (m[0, -1] / n) ** 2, 0.0)))
+        return LinearRegression(
+            featuresCol=FEATURES, labelCol=LABEL, regParam=alpha * deviation / n, elasticNetParam=0.0,
+            standardization=False, solver="normal",
+        ).fit(df)
 
 
-def candidates(n_rows: int) -> dict[str, Estimator | RidgeCV]:
+def candidates() -> dict[str, Estimator | Ridge]:
     """The models to choose from."""
     names = {"featuresCol": FEATURES, "labelCol": LABEL, "seed": 42}
     return {
-        "Ridge": ridge(10.0, n_rows),
-        "RidgeCV": RidgeCV(),
+        "Ridge": Ridge(),
+        "RidgeCV": Ridge(RIDGE_ALPHAS),
         "ElasticNet": LinearRegression(
             featuresCol=FEATURES, labelCol=LABEL, regParam=0.1, elasticNetParam=0.5,
             standardization=False, maxIter=1000,
@@ -163,7 +164,7 @@ def candidates(n_rows: int) -> dict[str, Estimator | RidgeCV]:
 
 
 def cross_validate(
-    df: DataFrame, models: Mapping[str, Estimator | RidgeCV], fold_col: str, folds: int
+    df: DataFrame, models: Mapping[str, Estimator | Ridge], fold_col: str, folds: int
 ) -> dict[str, tuple[float, float]]:
     """Per model the mean and the deviation over the folds of the Spearman correlation on the held-out fold.
 
@@ -222,7 +223,7 @@ def fit_meta_model(
     embedding: str | None = None,
     dim: int | None = None,
     text: str | None = None,
-    models: Mapping[str, Estimator | RidgeCV] | None = None,
+    models: Mapping[str, Estimator | Ridge] | None = None,
     folds: int = 5,
 ) -> MetaModel:
     """Fit the features, choose the model with the best mean Spearman over ``folds``, refit it on all rows.
@@ -237,7 +238,7 @@ def fit_meta_model(
     # Every fold of every model reads the features, so they are computed once.
     table = stage(features.transform(labelled).select(FEATURES, LABEL, fold_col), "meta_features")
 
-    tried = dict(models) if models is not None else candidates(n)
+    tried = dict(models) if models is not None else candidates()
     scores = cross_validate(table, tried, fold_col, folds)
     chosen = max(scores, key=lambda name: scores[name][0])
     last = tried[chosen].fit(table)

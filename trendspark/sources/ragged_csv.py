@@ -74,32 +74,46 @@ def header_columns(header: str) -> list[str]:
     return names
 
 
+def _name(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _read_group(spark: SparkSession, layout: Layout, files: Sequence[str]) -> DataFrame:
+    """Rows of files of one layout, with the surplus field of too long rows in ``_extra``."""
     names = header_columns(layout.header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
     reader = (
-        spark.read.schema(schema)
-        .option("header", "true")
+        spark.read.option("header", "true")
         .option("enforceSchema", "true")
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8" if layout.utf8 else "ISO-8859-1")
-        .option("multiLine", str(not layout.whole_lines and layout.quoted).lower())
     )
+    place = {FILE: F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start")}
     if layout.quoted:
-        reader = reader.option("escape", '"')
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
+        rows = (
+            reader.schema(schema).option("escape", '"').option("multiLine", str(not layout.whole_lines).lower())
+            .csv(list(files)).withColumns(place)
+        )
+        fitting = rows.where(F.col(EXTRA).isNull())
     else:
-        reader = reader.option("quote", "").option("escape", "\\")
-    rows = reader.csv(list(files)).withColumns(
-        {FILE: F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start")}
-    )
+        fitting = _split_lines(
+            reader.schema("_line string").option("sep", "\x01").option("quote", "").csv(list(files)).withColumns(place),
+            names,
+        )
+    cleared = [F.when(~_name(n).isin(*NULL_TOKENS), _name(n)).alias(n) for n in names]
+    return fitting.select(*cleared, FILE, "_at")
 
-    def quoted_name(n: str) -> Column:
-        return F.col("`" + n.replace("`", "``") + "`")
 
-    # A row with more fields than the header fills the extra column.
-    fitting = rows.where(F.col(EXTRA).isNull())
-    cleared = [F.when(~quoted_name(n).isin(*NULL_TOKENS), quoted_name(n)).alias(n) for n in names]
-    return fitting.select(*cleared, FILE, "_at")
+def _split_lines(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Fields of unquoted lines, where a backslash takes the meaning from the next character."""
+    # Escaped backslashes and commas are set aside while the line is split.
+    aside = F.replace(F.replace(F.col("_line"), F.lit("\\\\"), F.lit("\ue000")), F.lit("\\,"), F.lit("\ue001"))
+    fields = F.split(F.replace(aside, F.lit("\\"), F.lit("")), ",")
+    split = lines.withColumn("_fields", fields).where(F.size("_fields") <= len(names))
+    return split.select(
+        *[F.translate(F.get("_fields", F.lit(i)), "\ue000\ue001", "\\,").alias(n) for i, n in enumerate(names)],
+        FILE, "_at",
+    )
 
 
 def read_ragged_csv(
@@ -150,22 +164,29 @@ def _cap_per_file(df: DataFrame, limit: int) -> DataFrame:
     return joined.withColumn("_n", F.col("_before") + within).where(F.col("_n") <= limit).select(*df.columns)
 
 
+def _bare(path: Column) -> Column:
+    """The path without its scheme, which the sources write differently, and with plain blanks."""
+    return F.replace(F.regexp_replace(path, "^[a-z0-9]+:/+", "/"), F.lit("%20"), F.lit(" "))
+
+
 def file_load_report(spark: SparkSession, path: str | Sequence[str], loaded: DataFrame) -> DataFrame:
     """One row per file: bytes, rows in ``loaded``, and "loaded", "empty" or "error".
 
     A file without even a header is an error, one with a header only is empty.
     """
-    listing = (
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.{csv,csv.gz}")
         .load(path if isinstance(path, str) else list(path))
-        .select(F.col("path").alias("file"), F.col("length").alias("bytes"))
     )
-    # Paths are compared without their scheme, which the two sources write differently.
-    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    counts = loaded.groupBy(bare(F.col(FILE)).alias("_f")).agg(F.count("*").alias("rows"))
-    joined = listing.withColumn("file", bare(F.col("file"))).join(counts, F.col("file") == F.col("_f"), "left")
+    # Spark plans no task for a file without a byte, so the names come from the listing itself.
+    listing = spark.createDataFrame([(f,) for f in reader.inputFiles()], "file string")
+    listing = listing.select(_bare(F.col("file")).alias("file"))
+    sizes = reader.select(_bare(F.col("path")).alias("_p"), F.col("length").alias("bytes"))
+    counts = loaded.groupBy(_bare(F.col(FILE)).alias("_f")).agg(F.count("*").alias("rows"))
+    joined = listing.join(sizes, F.col("file") == F.col("_p"), "left")
+    joined = joined.join(counts, F.col("file") == F.col("_f"), "left").fillna({"bytes": 0})
     rows = F.coalesce(F.col("rows"), F.lit(0))
     status = F.when(rows > 0, "loaded").when(F.col("bytes") == 0, "error").otherwise("empty")
     return joined.select("file", "bytes", rows.alias("rows"), status.alias("status"))
@@ -185,7 +206,7 @@ def load_totals(report: DataFrame) -> DataFrame:
 def relative_path(file: Column, root: str) -> Column:
     """The path below ``root``, whatever the scheme."""
     bare_root = "/" + root.split(":", 1)[-1].strip("/") + "/" if root.strip("/") else "/"
-    bare = F.regexp_replace(file, "^[a-z0-9]+:/+", "/")
+    bare = _bare(file)
     return F.when(F.startswith(bare, F.lit(bare_root)), F.substr(bare, F.lit(len(bare_root) + 1))).otherwise(
         F.element_at(F.split(bare, "/"), -1)
     )

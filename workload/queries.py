@@ -1350,7 +1350,7 @@ def _(spark, sf):
 def _(spark, sf):
     # Boosting is left to the tests: its hundred rounds are run one after the other.
     df = _vector_examples(spark, sf)
-    models = meta.candidates(df.count())
+    models = meta.candidates()
     models.pop("GradientBoosting")
     fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64, models=models)
     rows = [(name, mean, std, name == fitted.chosen) for name, (mean, std) in fitted.scores.items()]
@@ -1360,10 +1360,7 @@ def _(spark, sf):
 @query("meta_model_predictions")
 def _(spark, sf):
     df = _vector_examples(spark, sf)
-    n = df.count()
-    fitted = meta.fit_meta_model(
-        df, "y", ["p1", "p2"], "fold", "embedding", 64, models={"Ridge": meta.ridge(10.0, n)}
-    )
+    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64, models={"Ridge": meta.Ridge()})
     path = new_folder(spark, "meta")
     fitted.save(path)
     again = meta.MetaModel.load(path, ["p1", "p2"], "embedding")
