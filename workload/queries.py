@@ -24,7 +24,7 @@ from trendspark.sources.warehouse import (
 from trendspark.streaming.ingest import coverage_stream, file_stream, ingest_stream, run_to_table
 
 from . import oracle_parts as sql
-from .tables import AS_OF, KEEP, examples, now, predictions, read, scored, snapshots, with_texts
+from .tables import AS_OF, KEEP, examples, map_snapshots, now, predictions, read, scored, snapshots, with_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +64,8 @@ RATE_NAMES = ("viewsPerHr", "likesPerHr", "commentsPerHr", "viewsPerHr_log", "li
 
 @query("viral_score", f"WITH {sql.SCORED} SELECT snapshot_key, {r6(*METRICS, 'viral_score')} FROM scored")
 def _(spark, sf):
-    done = plan.clean_and_score(snapshots(spark, sf), now(), "snapshot_key", ["snapshot_key"], KEEP)
+    # From the raw tables to the score, with nothing prepared beforehand.
+    done = plan.clean_and_score(map_snapshots(spark, sf), now(), "snapshot_key", ["snapshot_key"], KEEP)
     return rounded(done.select("snapshot_key", *METRICS, "viral_score"))
 
 
@@ -518,7 +519,7 @@ def _(spark, sf):
 # ---- Texts ---------------------------------------------------------------------------------------
 
 UPPER_RE2 = texts.UPPER_CLASS
-DIGIT_RE2 = texts.DIGIT_CLASS
+DIGIT_RE2 = "[" + texts.LOW_DIGIT_CLASS[1:-1] + texts.HIGH_DIGIT_CLASS[1:-1] + "]"
 
 
 def _count_re(pattern: str, col: str = "text") -> str:

@@ -1,7 +1,8 @@
 """Input tables of the registered queries, derived from the given Parquet tables.
 
-``FIXTURES.md`` describes the mapping. The scored table and the predictions are written once per
-session and folder, as a warehouse would hold them, and read by the queries that start from them.
+``FIXTURES.md`` describes the mapping. The snapshots, the scored table and the predictions are
+written once per session and folder, as a warehouse would hold them, and read by the queries that
+start from them.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def snapshots(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
-    """The snapshot table; ``texts`` adds the description, by far its widest column."""
+def map_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot rows, mapped from orders and their lines."""
     lines = read(spark, sf, "lineitem")
     orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
@@ -57,7 +58,7 @@ def snapshots(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
         )
     )
     line = F.col("l_linenumber")
-    mapped = joined.select(
+    return joined.select(
         key.alias("snapshot_key"),
         F.concat(F.lit("v"), (F.col("l_partkey") % 200).cast("string")).alias("videoId"),
         F.when(line != 5, F.col("p_name")).alias("title"),
@@ -72,7 +73,6 @@ def snapshots(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
         F.concat(F.lit("src_"), "l_returnflag").alias("source"),
         F.concat(F.lit("src_"), "l_returnflag", F.lit("_"), "l_linestatus").alias("data_source"),
     )
-    return with_texts(spark, sf, mapped) if texts else mapped
 
 
 def with_texts(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
@@ -88,6 +88,12 @@ def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return _built[key]
 
 
+def snapshots(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
+    """The snapshot table; ``texts`` adds the description, by far its widest column."""
+    table = _once(spark, sf, "snapshots", lambda: map_snapshots(spark, sf))
+    return with_texts(spark, sf, table) if texts else table
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned and scored snapshots."""
     return _once(
