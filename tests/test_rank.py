@@ -70,9 +70,10 @@ def test_position_is_a_permutation(spark):
     assert sorted(r.pos for r in df.collect()) == list(range(100))
 
 
-@pytest.mark.parametrize("small", [100_000, 10])
-def test_quantiles_match_pandas(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,crowded", [(100_000, 2_000_000), (10, 2_000_000), (10, 5)])
+def test_quantiles_match_pandas(spark, monkeypatch, small, crowded):
     monkeypatch.setattr(quantiles, "SMALL", small)
+    monkeypatch.setattr(quantiles, "CROWDED", crowded)
     rng = np.random.default_rng(3)
     n = 20_001
     pdf = pd.DataFrame({

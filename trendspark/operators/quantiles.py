@@ -8,11 +8,14 @@ back to the driver are the quantiles, a handful of numbers.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Up to this many values the built-in aggregate, which holds them all, is used.
 SMALL = 100_000
+# A bracket with more values than this is narrowed before its values are put in order.
+CROWDED = 2_000_000
 
 
 def as_number(name: str) -> Column:
@@ -43,35 +46,77 @@ def exact_quantiles(
             out[cols[i]] = list(row[k])
     large = [i for i in range(len(cols)) if sketch[i][0] > SMALL]
     if large:
-        for (i, j), value in _from_brackets(numbers, probs, {i: tuple(sketch[i]) for i in large}).items():
+        for (i, j), value in _from_brackets(numbers, probs, {i: tuple(sketch[i]) for i in large}, accuracy).items():
             out[cols[i]][j] = value
     return out
 
 
+@dataclass
+class _Region:
+    """Values of column ``col`` from ``lo`` to ``hi``, with the number of values below and inside."""
+
+    col: int
+    lo: float
+    hi: float
+    below: int = 0
+    inside: int = 0
+
+
+def _count(numbers: DataFrame, regions: Sequence[_Region]) -> None:
+    """Fill in the counts of the regions, in one scan."""
+    row = numbers.agg(
+        *[F.count_if(F.col(f"v{r.col}") < r.lo) for r in regions],
+        *[F.count_if(F.col(f"v{r.col}").between(r.lo, r.hi)) for r in regions],
+    ).first()
+    for k, r in enumerate(regions):
+        r.below, r.inside = row[k], row[len(regions) + k]
+
+
+def _narrowed(numbers: DataFrame, r: _Region, places: Sequence[float], accuracy: int) -> _Region:
+    """A smaller region that still holds the values at ``places``."""
+    slack = 3.0 / accuracy
+    first = max(0.0, (min(places) - r.below) / r.inside - slack)
+    last = min(1.0, (max(places) + 1 - r.below) / r.inside + slack)
+    values = numbers.where(F.col(f"v{r.col}").between(r.lo, r.hi))
+    lo, hi = values.agg(F.percentile_approx(f"v{r.col}", [first, last], accuracy)).first()[0]
+    return _Region(r.col, lo, hi)
+
+
 def _from_brackets(
-    numbers: DataFrame, probs: Sequence[float], sketch: dict[int, tuple[int, Sequence[float]]]
+    numbers: DataFrame, probs: Sequence[float], sketch: dict[int, tuple[int, Sequence[float]]], accuracy: int
 ) -> dict[tuple[int, int], float]:
     """Quantile j of column i from the values in the brackets that the sketch puts around it."""
-    # Overlapping brackets become one region: (column, lower edge, upper edge).
-    regions: list[tuple[int, float, float]] = []
+    # Overlapping brackets become one region.
+    regions: list[_Region] = []
     home: dict[tuple[int, int], int] = {}
     for i, (_, near) in sketch.items():
-        order = sorted(range(len(probs)), key=lambda j: near[2 * j])
-        for j in order:
+        for j in sorted(range(len(probs)), key=lambda j: near[2 * j]):
             lo, hi = near[2 * j], near[2 * j + 1]
-            if regions and regions[-1][0] == i and lo <= regions[-1][2]:
-                regions[-1] = (i, regions[-1][1], max(hi, regions[-1][2]))
+            if regions and regions[-1].col == i and lo <= regions[-1].hi:
+                regions[-1].hi = max(hi, regions[-1].hi)
             else:
-                regions.append((i, lo, hi))
+                regions.append(_Region(i, lo, hi))
             home[i, j] = len(regions) - 1
-
-    below = numbers.agg(*[F.count_if(F.col(f"v{i}") < lo) for i, lo, _ in regions]).first()
+    wanted = [(i, j, probs[j] * (sketch[i][0] - 1)) for i, j in home]
+    _count(numbers, regions)
+
+    # A crowded region is sketched again. One that stays crowded is full of equal values, which the
+    # grouping below folds up before anything is shuffled.
+    for _ in range(2):
+        crowded = [k for k, r in enumerate(regions) if r.inside > CROWDED and r.lo < r.hi]
+        if not crowded:
+            break
+        for k in crowded:
+            places = [place for i, j, place in wanted if home[i, j] == k]
+            regions[k] = _narrowed(numbers, regions[k], places, accuracy)
+        _count(numbers, [regions[k] for k in crowded])
+    below = [r.below for r in regions]
 
     def region_of(i: int) -> Column:
         out = F.lit(None).cast("int")
-        for r, (owner, lo, hi) in enumerate(regions):
-            if owner == i:
-                out = F.when(F.col(f"v{i}").between(lo, hi), F.lit(r)).otherwise(out)
+        for k, r in enumerate(regions):
+            if r.col == i:
+                out = F.when(F.col(f"v{i}").between(r.lo, r.hi), F.lit(k)).otherwise(out)
         return out
 
     tagged = numbers.select(
@@ -85,7 +130,6 @@ def _from_brackets(
         mine = (F.col("r") == r) & (F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto"))
         return F.max(F.when(mine, F.col("v")))
 
-    wanted = [(i, j, probs[j] * (sketch[i][0] - 1)) for i, j in home]
     picks = []
     for i, j, place in wanted:
         picks.append(value_at(home[i, j], int(place)))

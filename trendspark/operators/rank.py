@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hex_number, key_hash
-from ..session import shuffle_width
+from ..session import shuffle_width, stage
 from .quantiles import as_number
 
 # Helper columns start with "__rk", to stay clear of the caller's names.
@@ -79,7 +79,7 @@ def add_ranks(
     Ordinal ranks put equal values in the order of the md5 of ``tie_key``, which should be unique
     per row. Missing values get no rank and are not counted. ``by`` ranks within groups; a caller
     who knows a small bound on the number of groups says so in ``known_groups`` and the bucket
-    counts are broadcast, otherwise Spark chooses by their size. Ranking several columns at once
+    counts are broadcast, otherwise they are written and Spark chooses by their size. Ranking several columns at once
     reads ``df`` fewer times than one after the other.
     """
     by = list(by)
@@ -94,6 +94,9 @@ def add_ranks(
         cells = _cells(base, by, i)
         if not by or known_groups is not None:
             cells = F.broadcast(cells)
+        else:
+            # Once written its size is known, and Spark broadcasts it only if it is small.
+            cells = stage(cells, "cells")
         same = [F.col(c).eqNullSafe(F.col(f"__rk{i}_k{k}")) for k, c in enumerate(by)]
         same += [F.col(f"__rk{i}_b") == F.col(f"__rk{i}_kb"), F.col(f"__rk{i}_p") == F.col(f"__rk{i}_kp")]
         done = done.join(cells, reduce(Column.__and__, same), "left")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import hex_number, key_hash, uniform
 from ..schema import BALANCE_EDGES
-from ..session import shuffle_width
+from ..session import shuffle_width, stage
 from .profile import bin_index
 from .rank import add_rank
 
@@ -156,10 +156,10 @@ def tail_holdout(
 def inverse_freq_weight(df: DataFrame, col: str, out: str = "weight", default: str = "unknown") -> DataFrame:
     """Weight 1 / (rows of the same value + 1); a missing value counts as ``default``.
 
-    Spark joins the counts back and broadcasts them only if they turn out small.
+    The counts are written first: Spark then knows their size and broadcasts them only if small.
     """
     value = F.coalesce(F.col(col), F.lit(default))
-    counts = df.groupBy(value.alias("_value")).agg(F.count("*").alias("_count"))
+    counts = stage(df.groupBy(value.alias("_value")).agg(F.count("*").alias("_count")), "counts")
     joined = df.join(counts, value == F.col("_value"), "left")
     return joined.withColumn(out, F.lit(1.0) / (F.col("_count") + 1)).drop("_value", "_count")
 

@@ -90,7 +90,8 @@ def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
     """The snapshot table; ``texts`` adds the description, by far its widest column."""
-    table = _once(spark, sf, "snapshots", lambda: map_snapshots(spark, sf))
+    # The joins above need no shuffle, so the rows are dealt out evenly before they are written.
+    table = _once(spark, sf, "snapshots", lambda: map_snapshots(spark, sf).repartition("snapshot_key"))
     return with_texts(spark, sf, table) if texts else table
 
 
