@@ -9,6 +9,7 @@ themselves are then filtered where they are, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,62 +22,74 @@ from .rank import add_rank
 # Sorts after every hash: a group with this cut-off is kept whole.
 KEEP_ALL = "g"
 
+# Rows wanted of a group, from its rows and the rows of all groups.
+Quota = Callable[[int, int], int]
+
 
 def _prefix_digits(df: DataFrame) -> int:
     return 3 if shuffle_width(df.sparkSession) <= 512 else 4
 
 
 def _cut_offs(
-    df: DataFrame, group: Column, quota: Callable[[Column, Column], Column], key: Sequence[str], seed: int | str
-) -> DataFrame:
+    df: DataFrame, group: Column, quota: Quota, key: Sequence[str], seed: int | str
+) -> dict[int | None, str]:
     """Per group the highest hash that is still within the quota.
 
-    ``quota`` gets the rows of the group and the rows of all groups. The number of groups must be
-    small and known (bins, or one).
+    The number of groups must be small and known (bins, or one). Two narrow scans of ``df``: one
+    counts the rows per hash prefix, the other reads on where the cut-offs lie.
     """
     digits = _prefix_digits(df)
     hashed = df.select(group.alias("g"), key_hash(key, seed).alias("h"))
     sliced = hashed.withColumn("s", F.substring("h", 1, digits))
-    slices = sliced.groupBy("g", "s").agg(F.count("*").alias("c"))
-    in_group = Window.partitionBy("g")
-    sized = (
-        slices.withColumn("upto", F.sum("c").over(in_group.orderBy("s")))
-        .withColumn("total", F.sum("c").over(in_group))
-        .withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(0))))
-        .withColumn("q", quota(F.col("total"), F.col("n")).cast("bigint"))
-    )
-    groups = sized.select("g", "total", "q").distinct()
-    edge = sized.where((F.col("upto") - F.col("c") < F.col("q")) & (F.col("q") <= F.col("upto")))
-    edge = edge.select(F.col("g").alias("eg"), F.col("s").alias("es"), (F.col("q") - F.col("upto") + F.col("c")).alias("left"))
-    near = sliced.join(F.broadcast(edge), F.col("g").eqNullSafe(F.col("eg")) & (F.col("s") == F.col("es")))
-    nth = near.withColumn("rn", F.row_number().over(in_group.orderBy("h"))).where("rn = left")
-    found = nth.select(F.col("eg").alias("fg"), F.col("h").alias("fh"))
-    cut = F.when(F.col("q") >= F.col("total"), F.lit(KEEP_ALL)).otherwise(F.coalesce(F.col("fh"), F.lit("")))
-    return groups.join(F.broadcast(found), F.col("g").eqNullSafe(F.col("fg")), "left").select("g", cut.alias("cut"))
-
-
-def _one_cut(df: DataFrame, quota: Callable[[Column, Column], Column], key: Sequence[str], seed: int | str) -> Column:
-    cuts = _cut_offs(df, F.lit(0), quota, key, seed)
-    return F.coalesce(cuts.agg(F.max("cut").alias("c")).scalar(), F.lit(KEEP_ALL))
+    # At most 16 ** digits rows per group.
+    slices = stage(sliced.groupBy("g", "s").agg(F.count("*").alias("c")), "slices")
+    totals = {r["g"]: r["n"] for r in slices.groupBy("g").agg(F.sum("c").alias("n")).collect()}
+    n = sum(totals.values())
+    wanted = {g: quota(total, n) for g, total in totals.items()}
+    cuts = {g: KEEP_ALL if q >= totals[g] else "" for g, q in wanted.items()}
+
+    def for_group(values: dict[int | None, int], kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for g, value in values.items():
+            out = F.when(F.col("g").eqNullSafe(F.lit(g)), F.lit(value)).otherwise(out)
+        return out
+
+    inner = {g: q for g, q in wanted.items() if 0 < q < totals[g]}
+    if not inner:
+        return cuts
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("s"))
+    counted = slices.withColumn("upto", upto).withColumn("q", for_group(inner, "bigint"))
+    edges = counted.where("upto - c < q and q <= upto").selectExpr("g", "s", "q - upto + c as place").collect()
+    near = F.lit(False)
+    for r in edges:
+        near = near | (F.col("g").eqNullSafe(F.lit(r["g"])) & (F.col("s") == r["s"]))
+    placed = sliced.where(near).withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h")))
+    ends = placed.where(F.col("rn") == for_group({r["g"]: r["place"] for r in edges}, "bigint")).collect()
+    cuts.update({r["g"]: r["h"] for r in ends})
+    return cuts
+
+
+def _one_cut(df: DataFrame, quota: Quota, key: Sequence[str], seed: int | str) -> Column:
+    return F.lit(_cut_offs(df, F.lit(0), quota, key, seed).get(0, KEEP_ALL))
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int | str = 42) -> DataFrame:
     """``n`` random rows without replacement, all rows if there are fewer. ``key`` is unique per row."""
-    return df.where(key_hash(key, seed) <= _one_cut(df, lambda total, _: F.lit(n), key, seed))
+    return df.where(key_hash(key, seed) <= _one_cut(df, lambda total, _: n, key, seed))
 
 
 def cap_groups(
-    df: DataFrame, group: Column, quota: Callable[[Column, Column], Column], key: Sequence[str], seed: int | str = 42
+    df: DataFrame, group: Column, quota: Quota, key: Sequence[str], seed: int | str = 42
 ) -> DataFrame:
     """At most ``quota(rows of the group, rows of all groups)`` random rows per group.
 
     Rows of the null group are dropped. For groups whose number is small and known.
     """
-    cuts = _cut_offs(df, group, quota, key, seed).where("g is not null")
-    by_group = cuts.agg(F.map_from_entries(F.collect_list(F.struct("g", "cut"))).alias("m")).scalar()
-    marked = df.withColumn("_g", group).withColumn("_cuts", by_group)
-    kept = marked.where(F.col("_g").isNotNull() & (key_hash(key, seed) <= F.col("_cuts")[F.col("_g")]))
-    return kept.drop("_g", "_cuts")
+    limit = F.lit(None).cast("string")
+    for g, cut in _cut_offs(df, group, quota, key, seed).items():
+        if g is not None:
+            limit = F.when(group == F.lit(g), F.lit(cut)).otherwise(limit)
+    return df.where(key_hash(key, seed) <= limit)
 
 
 def stratified_cap(
@@ -84,7 +97,7 @@ def stratified_cap(
     closed: str = "right",
 ) -> DataFrame:
     """At most ``n`` random rows per bin of ``col``; rows outside all bins are dropped."""
-    return cap_groups(df, bin_index(F.col(col), edges, closed), lambda total, _: F.lit(n), key, seed)
+    return cap_groups(df, bin_index(F.col(col), edges, closed), lambda total, _: n, key, seed)
 
 
 def rebalance(
@@ -98,10 +111,10 @@ def rebalance(
     count in the total and are dropped.
     """
 
-    def quota(total: Column, n: Column) -> Column:
-        share = F.floor(n * F.lit(dominant))
-        usual = F.greatest(F.least(total, F.lit(cap)), F.lit(at_least))
-        return F.least(F.when(total > n * F.lit(dominant), share).otherwise(usual), total)
+    def quota(total: int, n: int) -> int:
+        if total > n * dominant:
+            return int(n * dominant)
+        return max(min(total, cap), at_least)
 
     return cap_groups(df, bin_index(F.col(col), edges, "left"), quota, key, seed)
 
@@ -137,7 +150,7 @@ def train_test_split(
     (a title, a video) they stay together.
     """
     if exact:
-        cut = _one_cut(df, lambda total, _: F.ceil(total * F.lit(test)), key, seed)
+        cut = _one_cut(df, lambda total, _: ceil(total * test), key, seed)
         in_test = key_hash(key, seed) <= cut
     else:
         in_test = uniform(key, seed) < test
