@@ -19,14 +19,18 @@ def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return marked.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_kh")
 
 
-def dedup_keep_last(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """Of the rows with equal keys keep the last in ``order_col``."""
-    return _one_per_key(df, keys, [F.col(order_col).desc_nulls_last()])
+def _names(order: str | Sequence[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
 
 
-def dedup_text(df: DataFrame, cols: Sequence[str], order_col: str) -> DataFrame:
-    """Of the rows with exactly equal texts keep the first in ``order_col``."""
-    return _one_per_key(df, cols, [F.col(order_col).asc_nulls_last()])
+def dedup_keep_last(df: DataFrame, keys: Sequence[str], order_col: str | Sequence[str]) -> DataFrame:
+    """Of the rows with equal keys keep the last in the order of one or more columns."""
+    return _one_per_key(df, keys, [F.col(c).desc_nulls_last() for c in _names(order_col)])
+
+
+def dedup_text(df: DataFrame, cols: Sequence[str], order_col: str | Sequence[str]) -> DataFrame:
+    """Of the rows with exactly equal texts keep the first in the order of one or more columns."""
+    return _one_per_key(df, cols, [F.col(c).asc_nulls_last() for c in _names(order_col)])
 
 
 def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -110,7 +110,7 @@ def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: Sequence[float]) -> DataF
     v, at, b, p = (F.col(f"__rk{i}_{x}") for x in ("v", "at", "b", "p"))
     base = df.withColumn(f"__rk{i}_v", as_number(r.col))
     if cuts:
-        edges = F.lit([float(c) for c in cuts])
+        edges = F.expr(f"array({', '.join(f'{float(c)!r}D' for c in cuts)})")
         base = base.withColumn(f"__rk{i}_at", _place(edges, v, len(cuts)))
         on_cut = F.coalesce(F.get(edges, at) == v, F.lit(False))
     else:
@@ -148,17 +148,16 @@ def _ranked_in_buckets(df: DataFrame, by: Sequence[str], i: int, r: Rank) -> Dat
     idle = b == -1 if r.ties == "ordinal" else b % 2 != 0
     df = df.withColumn(f"__rk{i}_salt", F.when(idle, F.spark_partition_id()).otherwise(F.lit(-1)))
     df = df.withColumn(f"__rk{i}_wv", F.when(~idle, F.col(f"__rk{i}_v")))
-    cell_cols = [*by, f"__rk{i}_b", f"__rk{i}_p", f"__rk{i}_salt"]
-    cell = Window.partitionBy(*cell_cols)
+    cell = Window.partitionBy(*by, f"__rk{i}_b", f"__rk{i}_p", f"__rk{i}_salt")
     if r.ties == "ordinal":
         rank = before + F.row_number().over(cell.orderBy(wv, "__rk_h"))
     elif r.ties == "min":
         rank = before + F.when(idle, F.lit(1)).otherwise(F.rank().over(cell.orderBy(wv)))
     else:
-        alike = F.count("*").over(Window.partitionBy(*cell_cols, f"__rk{i}_wv"))
-        equal = F.when(idle, F.col(f"__rk{i}_cc")).otherwise(alike)
+        # The mean of the first and the last place that equal values take.
         first = F.when(idle, F.lit(1)).otherwise(F.rank().over(cell.orderBy(wv)))
-        rank = before.cast("double") + first + (equal - 1) / F.lit(2.0)
+        last = F.when(idle, F.col(f"__rk{i}_cc")).otherwise(F.count("*").over(cell.orderBy(wv)))
+        rank = before.cast("double") + (first + last) / F.lit(2.0)
     return df.withColumn(r.out, F.when(b >= 0, rank)).withColumn(f"{r.out}_n", F.col(f"__rk{i}_n"))
 
 

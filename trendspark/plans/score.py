@@ -72,7 +72,7 @@ def score(
 
 def clean(
     df: DataFrame,
-    order_col: str,
+    order_col: str | Sequence[str],
     keep_regions: Sequence[str] = KEEP_REGIONS,
     keep_missing_rank: bool = False,
 ) -> DataFrame:
@@ -89,7 +89,7 @@ def clean(
 def clean_and_score(
     df: DataFrame,
     now: str | Column,
-    order_col: str,
+    order_col: str | Sequence[str],
     key: Sequence[str],
     keep_regions: Sequence[str] = KEEP_REGIONS,
     cfg: FeatureConfig | None = None,
