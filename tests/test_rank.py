@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from trendspark.operators import quantiles
 from trendspark.operators.evaluate import (

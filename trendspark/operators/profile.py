@@ -170,10 +170,17 @@ def describe_metrics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns, over the rows where both are known."""
     pairs = list(combinations(range(len(cols)), 2))
-    wide = df.agg(
-        *[safe_corr(as_number(cols[i]), as_number(cols[j])).alias(f"r{i}_{j}") for i, j in pairs],
-        *[safe_corr(as_number(c), as_number(c)).alias(f"r{i}_{i}") for i, c in enumerate(cols)],
-    )
+    v = [as_number(c) for c in cols]
+    gaps = df.agg(*[F.count_if(x.isNull()) for x in v]).first()
+
+    def both(i: int, j: int) -> Column:
+        if gaps[i] or gaps[j]:
+            return safe_corr(v[i], v[j])
+        # Without gaps the deviations are those of the whole columns, shared by all pairs.
+        return F.try_divide(F.covar_pop(v[i], v[j]), F.stddev_pop(v[i]) * F.stddev_pop(v[j]))
+
+    own = [F.when(F.stddev_pop(x) > 0, F.lit(1.0)).alias(f"r{i}_{i}") for i, x in enumerate(v)]
+    wide = df.agg(*[both(i, j).alias(f"r{i}_{j}") for i, j in pairs], *own)
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -278,6 +285,17 @@ def peek(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 def describe_table(df: DataFrame) -> DataFrame:
-    """One row per column: position, name and type."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, data_type string")
+    """One row per column: position, name, type, rows of the table and rows with a value."""
+    fields = df.schema.fields
+    wide = df.agg(F.count("*").alias("n"), *[F.count(F.col(f.name)).alias(f"k{i}") for i, f in enumerate(fields)])
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.col("n").alias("n_rows"),
+            F.col(f"k{i}").alias("n_known"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    return wide.select(F.inline(F.array(*rows)))

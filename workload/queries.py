@@ -504,9 +504,24 @@ def _(spark, sf):
     return profile.peek(snapshots(spark, sf), 3)
 
 
-@query("described_columns")
+SNAPSHOT_TYPES = {
+    "snapshot_key": "string", "videoId": "string", "title": "string", "doc_ref": "bigint", "publishedAt": "timestamp",
+    "trendingDate": "timestamp", "region": "string", "viewCount": "bigint", "likeCount": "bigint",
+    "commentCount": "bigint", "rank": "bigint", "source": "string", "data_source": "string",
+}
+
+
+@query(
+    "described_columns",
+    f"WITH {sql.SNAPSHOTS} "
+    + " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count("{c}") AS n_known
+            FROM snapshots"""
+        for i, (c, t) in enumerate(SNAPSHOT_TYPES.items())
+    ),
+)
 def _(spark, sf):
-    return profile.describe_table(scored(spark, sf))
+    return profile.describe_table(snapshots(spark, sf))
 
 
 @query("feature_version", f"WITH {sql.SNAPSHOTS},{sql.DEDUPED} SELECT '1.0.0' AS feature_version, count(*) AS n FROM deduped")
@@ -1126,10 +1141,10 @@ def _(spark, sf):
 
 @query(
     "evolved_schema",
-    "SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS data_source FROM nation",
+    "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS data_source FROM orders",
 )
 def _(spark, sf):
-    df = read(spark, sf, "nation").select("n_nationkey", "n_name")
+    df = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return evolve_schema(df, T.StructType([T.StructField("data_source", T.StringType())]))
 
 
@@ -1265,10 +1280,6 @@ def _(spark, sf):
     return missing.select(F.md5("text_key").alias("text_key"))
 
 
-def _vector_sql(v: str) -> str:
-    return f"list_avg({v}::DOUBLE[])"
-
-
 @query(
     "attached_embeddings",
     f"""WITH {_CACHE_SQL} SELECT doc_id, 64 AS size,
