@@ -18,7 +18,7 @@ def canonicalize(
     """Rename to canonical columns: of each ladder the first raw name that is present wins.
 
     The names in ``extra_aliases`` are tried only where the ladder gives nothing; pass None to
-    leave them unread, as the reference's own daily feed does with its raw like counts.
+    leave them unread.
     """
     present = set(df.columns)
     chosen: dict[str, str] = {}
