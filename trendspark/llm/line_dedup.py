@@ -185,7 +185,8 @@ def without_repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = docs.withColumn("__key", row_key("doc_id", text))
     runs = repeated_runs(keyed.select(F.col("__key").alias("key"), "doc_id", raw(text).alias("text")))
     named = stage(runs.select(F.col("key").alias("__key"), F.col("runs").alias("__runs")), "runs")
-    joined = keyed.join(named, "__key", "left").withColumn(text, F.col(text).cast("binary"))
+    # The same plan at every size: a broadcast of few runs would only hide what the texts cost to move.
+    joined = keyed.hint("merge").join(named, "__key", "left").withColumn(text, F.col(text).cast("binary"))
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
     schema = docs.select(*rest, text, F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed")).schema
 
