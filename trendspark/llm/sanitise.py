@@ -169,14 +169,14 @@ def find_personal_data(docs: DataFrame, carry: tuple[str, ...] = (), text: str =
     identifier, of terms that disclose it. Null counts as the empty text. Rows that agree in doc_id and text share
     their spans. All statistics cover all documents.
     """
-    rows = docs.select("doc_id", *carry, row_key("doc_id", text).alias("key"), F.col(text).cast("binary").alias("text"))
-    near = stage(rows.select("key", "text").mapInArrow(_find_near, "key bigint, entity string, term string, around bigint, places string"), "near")
+    rows = docs.select("doc_id", *carry, row_key("doc_id", text).alias("__key"), F.col(text).cast("binary").alias("text"))
+    near = stage(rows.select(F.col("__key").alias("key"), "text").mapInArrow(_find_near, "key bigint, entity string, term string, around bigint, places string"), "near")
     revealing = stage(revealing_terms(rows, near, threshold), "revealing")
     told = near.join(revealing.select("entity", "term"), ["entity", "term"])
-    terms = told.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("places")), ",").alias("terms"))
+    terms = told.groupBy(F.col("key").alias("__key")).agg(F.array_join(F.sort_array(F.collect_set("places")), ",").alias("terms"))
     rest = ["doc_id", *carry]
     numbers = [F.lit(0).cast("bigint").alias(f"n_{kind}") for kind in KINDS[:4]]
-    schema = rows.select(*rest, "key", *numbers, F.lit("").alias("base_sha256"), F.lit("").alias("base")).schema
+    schema = rows.select(*rest, "__key", *numbers, F.lit("").alias("base_sha256"), F.lit("").alias("base")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +186,8 @@ def find_personal_data(docs: DataFrame, carry: tuple[str, ...] = (), text: str =
             digests = pa.array([hashlib.sha256(s.encode()).hexdigest() for s in shown], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, digests, pa.array(shown, pa.string())], names=schema.names)
 
-    based = rows.select(*rest, "key", "text").mapInArrow(work, schema)
-    joined = based.join(stage(terms, "terms"), "key", "left")
+    based = rows.select(*rest, "__key", "text").mapInArrow(work, schema)
+    joined = based.join(stage(terms, "terms"), "__key", "left")
     term_list = F.filter(F.array_distinct(F.split(F.coalesce("terms", F.lit("")), ",")), lambda s: s != "")
     all_spans = F.filter(F.concat(F.split("base", ","), term_list), lambda s: s != "")
     place = lambda s: F.struct(
