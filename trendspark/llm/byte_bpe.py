@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -14,14 +15,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendspark.llm.common import raw
 
-CACHE = 1 << 18  # entries a memo may hold before it starts anew; it bounds memory, not results
+CACHE = 1 << 16  # entries a memo may hold before it starts anew; it bounds memory, not results
+ROWS = 512  # rows whose ids are held at once
+
+
+class Memo(dict):
+    """What a function gave for its latest arguments; when full, its entries are kept aside for another round."""
+
+    def __init__(self, work: Callable):
+        super().__init__()
+        self.work, self.older = work, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class BytePairCodec:
     """Encodes as merging the best-ranked neighbours again and again would, in linear time.
 
     Bytes are mapped to the characters 0 to 255, so an Aho-Corasick automaton over the vocabulary
-    finds all tokens of a piece in one pass. A prefix of an encoding is the encoding of that prefix
+    finds the longest token from a place on. A prefix of an encoding is the encoding of that prefix
     exactly if all its neighbours are compatible, that is, no merge would have crossed their border.
     So the encoder takes the longest token that is compatible with the one before, and
     falls back to shorter tokens, or one token back, never visiting a dead end twice.
@@ -35,14 +55,15 @@ class BytePairCodec:
         missing = [b for b in range(256) if chr(b) not in self.ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.shown: dict[str, str] = {}
+        self.compatible = Memo(lambda pair: self._fits(*pair))
+        self.shown = Memo(self._show)
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int | None] = {}
+        self.sizes = {rank: len(token) for rank, token in self.tokens.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            self.automaton.add_word(token, (rank, len(token)))
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
         for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
             self._learn(token, rank)
@@ -78,54 +99,48 @@ class BytePairCodec:
             else:
                 limit, right = right + 1, b[0]
 
-    def _side_by_side(self, left: int, right: int) -> bool:
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) >= CACHE:
-                self.compatible.clear()
-            known = self.compatible[left, right] = self._fits(left, right)
-        return known
-
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of one match of the pattern, given as Latin-1 characters."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        longest = [0] * len(piece)
-        for end, (rank, size) in self.automaton.iter(piece):
-            longest[end - size + 1] = rank  # of the tokens that start here the longest ends last
-        dead = bytearray(len(piece) + 1)
-        ids: list[int] = []
-        at, token = 0, longest[0]
+        compatible, longest = self.compatible, self.automaton.iter_long
+        # The longest token from the start, then from its end, and so on; mostly that is the answer.
+        ids = [rank for _, rank in longest(piece)]
+        good = 1
+        for pair in zip(ids, ids[1:]):
+            if not compatible[pair]:
+                break
+            good += 1
+        else:
+            return ids
+        sizes, shorter = self.sizes, self.shorter
+        dead = set()
+        token = ids[good]
+        del ids[good:]
+        at = sum(map(sizes.__getitem__, ids))
         while True:
-            end = at + len(self.tokens[token])
-            if not dead[end] and (not ids or self._side_by_side(ids[-1], token)):
+            end = at + sizes[token]
+            if end not in dead and (not ids or compatible[ids[-1], token]):
                 ids.append(token)
                 at = end
                 if at == len(piece):
                     return ids
-                token = longest[at]
+                token = next(longest(piece, at))[1]
                 continue
-            token = self.shorter[token]
+            token = shorter[token]
             while token is None:
-                dead[at] = 1
+                dead.add(at)
                 last = ids.pop()
-                at -= len(self.tokens[last])
-                token = self.shorter[last]
-
-    def _ids_of(self, match: str) -> str:
-        shown = self.shown.get(match)
-        if shown is None:
-            shown = " ".join(map(str, self.encode_piece(match.encode("utf-8").decode("latin-1"))))
-            if len(match) <= 64:
-                if len(self.shown) >= CACHE:
-                    self.shown.clear()
-                self.shown[match] = shown
-        return shown
+                at -= sizes[last]
+                token = shorter[last]
+
+    def _show(self, match: str) -> str:
+        return " ".join(map(str, self.encode_piece(match.encode("utf-8").decode("latin-1"))))
 
     def encode(self, text: str) -> str:
         """The ids of a text in decimal, one space between."""
-        return " ".join(map(self._ids_of, self.pattern.findall(text)))
+        return " ".join(map(self.shown.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: str) -> bytes:
         """The bytes that decimal ids stand for."""
@@ -171,7 +186,7 @@ def with_tokens(docs: DataFrame, shared: Broadcast, pattern: str, text: str = "t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern, key)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             counts, digests, decoded, numbers = [], [], [], []
             for value in batch.column(batch.num_columns - 1):
                 shown = codec.encode(value.as_py().decode("utf-8", "replace"))
@@ -179,7 +194,7 @@ def with_tokens(docs: DataFrame, shared: Broadcast, pattern: str, text: str = "t
                 digests.append(hashlib.sha256(shown.encode("ascii")).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(shown)).hexdigest())
                 if ids:
-                    numbers.append(list(map(int, shown.split())))
+                    numbers.append(np.fromstring(shown, np.int32, sep=" "))
             columns = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if ids:
                 columns.append(pa.array(numbers, pa.list_(pa.int32())))
