@@ -132,12 +132,12 @@ def test_bin_noise(spark):
 
 def test_weighted_resample(spark):
     df = spark.createDataFrame([(i, 1000.0 if i == 3 else 1.0 if i % 2 else 0.0) for i in range(200)], "id int, w double")
-    drawn = sampling.weighted_resample(df, "w", 3000, ["id"], scale=1e6).toPandas()
+    drawn = sampling.weighted_resample(df, "w", 3000, ["id"]).toPandas()
     assert len(drawn) == 3000 and drawn.draw.nunique() == 3000
     counts = Counter(drawn.id)
     assert all(i % 2 for i in counts)
     assert abs(counts[3] / 3000 - 1000 / 1099) < 0.02
-    again = sampling.weighted_resample(df.repartition(7), "w", 3000, ["id"], scale=1e6).toPandas()
+    again = sampling.weighted_resample(df.repartition(7), "w", 3000, ["id"]).toPandas()
     assert sorted(zip(drawn.draw, drawn.id)) == sorted(zip(again.draw, again.id))
     assert sampling.weighted_resample(df, "w", None, ["id"]).count() == 200
 
@@ -191,3 +191,21 @@ def test_training_sets(spark):
     assert 0 < reg.count() <= 9 * 50
     fixed = fix_bias(reg, ["k"])
     assert fixed.where("split = 'test'").count() == reg.where("split = 'test'").count()
+
+
+@pytest.mark.parametrize("weights", [[1e-13] * 1000, [9000.0] * 1000, [1e15] * 1000])
+def test_resample_reaches_all_rows_whatever_the_unit(spark, weights):
+    df = spark.createDataFrame(list(enumerate(weights)), "id bigint, w double")
+    drawn = sampling.weighted_resample(df, "w", 20_000, ["id"]).toPandas()
+    assert len(drawn) == 20_000 and drawn.id.nunique() == 1000
+
+
+def test_resample_of_mixed_weights(spark):
+    rows = [(i, 1e6) for i in range(10)] + [(10 + i, 3e6) for i in range(10)] + [(30, 1e-9), (31, 0.0), (32, -1.0), (33, None), (34, float("nan"))]
+    df = spark.createDataFrame(rows, "id bigint, w double")
+    drawn = sampling.weighted_resample(df, "w", 40_000, ["id"]).toPandas()
+    assert set(drawn.id) == set(range(20))
+    assert (drawn.id >= 10).mean() == pytest.approx(0.75, abs=0.01)
+    for bad in ([0.0, None], [float("inf")]):
+        with pytest.raises(ValueError):
+            sampling.weighted_resample(spark.createDataFrame([(1, x) for x in bad], "id bigint, w double"), "w", 5, ["id"])

@@ -177,13 +177,33 @@ def inverse_freq_weight(df: DataFrame, col: str, out: str = "weight", default: s
     return joined.withColumn(out, F.lit(1.0) / (F.col("_count") + 1)).drop("_value", "_count")
 
 
+def _line_units(df: DataFrame, weight: str) -> Column:
+    """The length of a row's stretch: its share of 2^58 units, at least one, null without a positive weight.
+
+    The weights are first summed as whole numbers relative to the largest, so the total does not
+    depend on the order of the rows; two short passes over one column.
+    """
+    value = F.col(weight).cast("double")
+    usable = (value > 0) & ~F.isnan(value)
+    n, most = df.where(usable).agg(F.count("*"), F.max(value)).first()
+    if not n or most == float("inf"):
+        raise ValueError(f"{weight} holds no positive finite total")
+    unit = float(1 << 58 - (n - 1).bit_length())
+    whole = F.greatest(F.lit(1).cast("bigint"), F.floor(value / F.lit(most) * F.lit(unit)).cast("bigint"))
+    total = df.where(usable).agg(F.sum(whole)).first()[0]
+    share = value / F.lit(most) * F.lit(unit) / F.lit(float(total)) * F.lit(float(1 << 58))
+    return F.when(usable, F.greatest(F.lit(1).cast("bigint"), F.floor(share).cast("bigint")))
+
+
 def weighted_resample(
-    df: DataFrame, weight: str, n: int | None, key: Sequence[str], seed: int | str = 42, scale: float = 1e12
+    df: DataFrame, weight: str, n: int | None, key: Sequence[str], seed: int | str = 42
 ) -> DataFrame:
     """Draw ``n`` rows (None: as many as there are) with replacement, in proportion to ``weight``.
 
-    Each row owns a stretch of a line, as long as its weight in units of 1 / ``scale``. Each draw
-    is a keyed point on the line. The line is cut into slots of equal length; a row's stretch is
+    Each row owns a stretch of a line of about 2^58 units, as long as its share of all weight and at
+    least one unit if its weight is positive; rows of other weights (zero, negative, null, NaN) are never drawn.
+    Without a positive weight, or with an infinite one, nothing can be drawn and a ValueError is raised.
+    Each draw is a keyed point on the line, taken from 60 bits without favouring a part of it. The line is cut into slots of equal length; a row's stretch is
     handed to every slot it reaches, so even a row that is drawn very often is met in many tasks.
     Within a slot the row of a draw is the last stretch that begins at or before it. The result has
     the name of the draw in ``draw`` and the columns of ``df``.
@@ -192,7 +212,7 @@ def weighted_resample(
     slots = max(64, 4 * shuffle_width(df.sparkSession))
     lined = (
         df.withColumn("_h", key_hash(key, seed))
-        .withColumn("_w", F.floor(F.col(weight) * F.lit(float(scale))).cast("bigint"))
+        .withColumn("_w", _line_units(df, weight))
         .where("_w > 0")
         .withColumn("_c", F.substring("_h", 1, digits))
     )
@@ -221,7 +241,9 @@ def weighted_resample(
         names = df.select(key_hash(key, f"{seed}n").alias("draw"))
     else:
         names = df.sparkSession.range(n).select(F.col("id").cast("string").alias("draw"))
-    spot = F.pmod(hex_number(F.md5(F.concat_ws("|", F.lit(f"{seed}draw"), F.col("draw"))), 15), whole)
+    bits = hex_number(F.md5(F.concat_ws("|", F.lit(f"{seed}draw"), F.col("draw"))), 15)
+    product = bits.cast("decimal(19,0)") * whole.cast("decimal(19,0)")
+    spot = F.call_function("div", product, F.lit(1 << 60).cast("decimal(19,0)")).cast("bigint")
     drawn = (
         names.withColumn("_at", spot)
         .withColumn("_len", slot_len)
