@@ -167,3 +167,30 @@ def test_training_rows_and_files(spark, tmp_path):
     df.createOrReplaceTempView("some_view")
     assert "some_view" in {r.name for r in wh.list_tables(spark).collect()}
     assert wh.evolve_schema(df, T.StructType([T.StructField("n", T.LongType())])).columns[-1] == "n"
+
+
+def test_blank_first_lines_and_names_that_differ_in_case(spark, tmp_path):
+    write(tmp_path, "blank.csv", "\n  \nid,title\n1,a\n2,b\n")
+    write(tmp_path, "case.csv", "id,ID,title\n3,4,c\n")
+    df = rc.read_ragged_csv(spark, str(tmp_path))
+    assert rows(df, "id", "title") == [("1", "a"), ("2", "b"), ("3", "c")]
+    assert "ID.1" in df.columns
+
+
+def test_latin_header_and_private_use_characters(spark, tmp_path):
+    write(tmp_path, "latin.csv", "id,título\n1,café\n", "latin-1")
+    write(tmp_path, "loose.csv", 'id,text\n1,"open  and \n2,a\\,b\n')
+    df = rc.read_ragged_csv(spark, str(tmp_path))
+    assert rows(df.where("`título` is not null"), "título") == [("café",)]
+    assert rows(df.where("text is not null"), "text") == [('"open  and ',), ("a,b",)]
+
+
+def test_counts_that_do_not_fit(spark):
+    df = spark.createDataFrame([("inf",), ("nan",), ("1e30",), ("-7.9",), ("x",), (None,)], "viewCount string")
+    assert [r.viewCount for r in conform(df).collect()] == [None, None, None, -7, None, None]
+    assert [r.viewCount for r in coerce_counts(df, ["viewCount"]).collect()] == [0, 0, 0, -7, 0, 0]
+
+
+def test_repeated_names_are_dropped_before_renaming(spark):
+    df = spark.sql("SELECT 'a' AS id, 'b' AS title, 'c' AS title")
+    assert canonicalize(df).collect()[0]["title"] == "b"

@@ -20,6 +20,7 @@ def canonicalize(
     The names in ``extra_aliases`` are tried only where the ladder gives nothing; pass None to
     leave them unread.
     """
+    df = drop_repeated_columns(df)
     present = set(df.columns)
     chosen: dict[str, str] = {}
     for name, ladder in aliases.items():
@@ -57,7 +58,7 @@ def conform(df: DataFrame, schema: T.StructType = SNAPSHOT_SCHEMA) -> DataFrame:
         have = single.schema[f.name].dataType
         value = _named(f.name)
         if isinstance(have, T.StringType) and isinstance(f.dataType, T.LongType):
-            value = value.try_cast("double").cast("bigint")
+            value = value.try_cast("double").try_cast("bigint")
         elif isinstance(have, T.StringType) and isinstance(f.dataType, T.TimestampType):
             value = F.try_to_timestamp(value)
         elif have != f.dataType:
@@ -67,10 +68,8 @@ def conform(df: DataFrame, schema: T.StructType = SNAPSHOT_SCHEMA) -> DataFrame:
 
 
 def whole_count(value: Column) -> Column:
-    """A count as bigint: numbers truncate toward 0, anything that is no number is 0."""
-    number = value.try_cast("double")
-    usable = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
-    return F.when(usable, number.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    """A count as bigint: numbers truncate toward 0; what is no number or does not fit is 0."""
+    return F.coalesce(value.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def coerce_counts(df: DataFrame, cols: Sequence[str] = COUNT_COLUMNS) -> DataFrame:

@@ -54,22 +54,25 @@ def inspect_files(spark: SparkSession, path: str | Sequence[str], recursive: boo
         F.when(has_quote, ~F.contains(rest, F.lit('"'))).otherwise(F.lit(True)).alias("whole"),
         F.when(has_quote, quotes - inner).otherwise(F.lit(0)).alias("quotes"),
     )
-    # The header is the first line of the block at offset 0, which one task reads in order.
-    return marked.groupBy(FILE).agg(
-        F.first(F.when(F.col("at") == 0, value), ignorenulls=True).alias("header"),
+    # The header is the first line with text in the block at offset 0, which one task reads in order.
+    top = (F.col("at") == 0) & (F.trim(value) != "")
+    found = marked.groupBy(FILE).agg(
+        F.first(F.when(top, value), ignorenulls=True).alias("header"),
         F.bool_and("utf8").alias("utf8"),
         F.bool_and("whole").alias("whole_lines"),
         (F.sum("quotes") % 2 == 0).alias("quoted"),
     )
+    latin = F.decode(F.col("header").cast("binary"), "ISO-8859-1")
+    return found.withColumn("header", F.when(F.col("utf8"), F.col("header")).otherwise(latin))
 
 
 def header_columns(header: str) -> list[str]:
-    """Column names of a header line; a repeated name gets the suffix .1, .2 and so on."""
+    """Column names of a header line; a repeated name, in whatever case, gets the suffix .1, .2 and so on."""
     names: list[str] = []
     seen: dict[str, int] = {}
     for name in next(csv.reader([header.lstrip("﻿")])):
-        count = seen.get(name, 0)
-        seen[name] = count + 1
+        count = seen.get(name.lower(), 0)
+        seen[name.lower()] = count + 1
         names.append(name if count == 0 else f"{name}.{count}")
     return names
 
@@ -106,12 +109,12 @@ def _read_group(spark: SparkSession, layout: Layout, files: Sequence[str]) -> Da
 
 def _split_lines(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """Fields of unquoted lines, where a backslash takes the meaning from the next character."""
-    # Escaped backslashes and commas are set aside while the line is split.
-    aside = F.replace(F.replace(F.col("_line"), F.lit("\\\\"), F.lit("\ue000")), F.lit("\\,"), F.lit("\ue001"))
+    # Escaped backslashes and commas are set aside while the line is split, as line ends, which a line cannot hold.
+    aside = F.replace(F.replace(F.col("_line"), F.lit("\\\\"), F.lit("\n")), F.lit("\\,"), F.lit("\r"))
     fields = F.split(F.replace(aside, F.lit("\\"), F.lit("")), ",")
     split = lines.withColumn("_fields", fields).where(F.size("_fields") <= len(names))
     return split.select(
-        *[F.translate(F.get("_fields", F.lit(i)), "\ue000\ue001", "\\,").alias(n) for i, n in enumerate(names)],
+        *[F.translate(F.get("_fields", F.lit(i)), "\n\r", "\\,").alias(n) for i, n in enumerate(names)],
         FILE, "_at",
     )
 
