@@ -151,3 +151,11 @@ def test_preference_pairs_and_reversal(spark):
     assert with_batches(df, "id", ["id"], 2).groupBy("batch").count().count() == 3
     text = spark.createDataFrame([("q", "añ😀b")], "prompt string, response string")
     assert reversed_pairs(text).first().rejected == "b😀ña"
+
+
+def test_infinite_values_have_a_place(spark):
+    df = frame(spark, [float("inf")] * 300 + [float("-inf")] * 300 + [float(i) for i in range(50)])
+    name = [c for c, t in df.dtypes if t == "double"][0]
+    got = add_rank(df, name, "r", "average").toPandas()
+    want = got[name].rank(method="average")
+    assert (got["r"] == want).all()

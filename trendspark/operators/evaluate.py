@@ -52,7 +52,8 @@ def metrics_by(
         .agg(F.count("*").alias("n"), F.avg(F.pow(F.col("_y") - F.col("_p"), 2)).alias("mse"))
         .where(F.col("n") >= min_n)
     )
-    corr = average_rank_corr(known, "_y", "_p", [by], known_groups).drop("n")
+    large = known.join(errors.select(F.col(by).alias("_g")), F.col(by).eqNullSafe(F.col("_g")), "left_semi")
+    corr = average_rank_corr(large, "_y", "_p", [by], known_groups).drop("n")
     joined = errors.join(corr.withColumnRenamed(by, "_g"), F.col(by).eqNullSafe(F.col("_g")))
     return joined.select(by, "n", "mse", "spearman")
 

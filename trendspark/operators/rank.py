@@ -110,7 +110,7 @@ def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: Sequence[float]) -> DataF
     v, at, b, p = (F.col(f"__rk{i}_{x}") for x in ("v", "at", "b", "p"))
     base = df.withColumn(f"__rk{i}_v", as_number(r.col))
     if cuts:
-        edges = F.expr(f"array({', '.join(f'{float(c)!r}D' for c in cuts)})")
+        edges = F.array(*[F.lit(float(c)) for c in cuts])
         base = base.withColumn(f"__rk{i}_at", _place(edges, v, len(cuts)))
         on_cut = F.coalesce(F.get(edges, at) == v, F.lit(False))
     else:

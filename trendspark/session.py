@@ -53,12 +53,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a frame is scanned several times: later passes become column-pruned Parquet scans,
-    and the written files survive the loss of executors. Without a shared folder the frame is
-    returned as it is and later passes recompute it, with the same result.
+    and the written files survive the loss of executors. On a cluster without a shared folder this
+    raises, as ``new_folder`` does.
     """
     spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
