@@ -721,16 +721,25 @@ def _(spark, sf):
     return rounded(sampling.inverse_freq_weight(read(spark, sf, "documents"), "lang").select("doc_id", "weight"), 9)
 
 
+# Rows of (key, weight, ...) own stretches of a line by the hash of their key; as many points are drawn as there are rows.
+_RESAMPLED = """
+      usable AS (SELECT *, md5('42|' || key) AS h FROM weighted WHERE weight > 0),
+      scale AS (SELECT max(weight) AS most, pow(2::DOUBLE, 58 - ceil(log2(count(*)))) AS unit FROM usable),
+      total AS (SELECT sum(greatest(1, CAST(floor(weight / most * unit) AS BIGINT))) AS total FROM usable, scale),
+      units AS (SELECT usable.*, greatest(1, CAST(floor(weight / most * unit / total::DOUBLE * pow(2::DOUBLE, 58)) AS BIGINT)) AS w
+                FROM usable, scale, total),
+      line AS (SELECT *, sum(w) OVER (ORDER BY h) - w AS lo, sum(w) OVER (ORDER BY h) AS hi FROM units),
+      draws AS (SELECT md5('42n|' || key) AS draw FROM weighted),
+      spots AS (SELECT draw, CAST(CAST(('0x' || substr(md5('42draw|' || draw), 1, 15)) AS BIGINT)::HUGEINT
+                  * (SELECT max(hi) FROM line) // 1152921504606846976::HUGEINT AS BIGINT) AS spot FROM draws),
+      drawn AS (SELECT * FROM spots JOIN line ON spot >= lo AND spot < hi)"""
+
+
 @query(
     "weighted_resample",
-    """WITH w AS (SELECT doc_id, lang, md5('42|' || doc_id) AS h,
-          CAST(floor((1.0::DOUBLE / (count(*) OVER (PARTITION BY lang) + 1)) * 1e12::DOUBLE) AS BIGINT) AS weight
-        FROM documents),
-      line AS (SELECT doc_id, lang, sum(weight) OVER (ORDER BY h) - weight AS lo, sum(weight) OVER (ORDER BY h) AS hi FROM w),
-      draws AS (SELECT md5('42n|' || doc_id) AS draw FROM documents),
-      spots AS (SELECT draw, CAST(('0x' || substr(md5('42draw|' || draw), 1, 15)) AS BIGINT)
-                  % (SELECT CAST(max(hi) AS BIGINT) FROM line) AS spot FROM draws)
-      SELECT draw, doc_id, lang FROM spots JOIN line ON spot >= lo AND spot < hi""",
+    f"""WITH weighted AS (SELECT doc_id AS key, lang,
+          1.0::DOUBLE / (count(*) OVER (PARTITION BY lang) + 1) AS weight FROM documents), {_RESAMPLED}
+      SELECT draw, key AS doc_id, lang FROM drawn""",
 )
 def _(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "lang")
@@ -738,6 +747,17 @@ def _(spark, sf):
     return sampling.weighted_resample(weighted, "weight", None, ["doc_id"]).select("draw", "doc_id", "lang")
 
 
+@query(
+    "weighted_resample_by_views",
+    f"""WITH {sql.SNAPSHOTS}, weighted AS (SELECT snapshot_key AS key, "viewCount"::DOUBLE AS weight FROM snapshots), {_RESAMPLED}
+      SELECT draw, key AS snapshot_key, weight::BIGINT AS views FROM drawn""",
+)
+def _(spark, sf):
+    df = snapshots(spark, sf).select("snapshot_key", "viewCount")
+    drawn = sampling.weighted_resample(df, "viewCount", None, ["snapshot_key"])
+    return drawn.select("draw", "snapshot_key", F.col("viewCount").alias("views"))
+
+
 # ---- Ranks, blends, evaluation -------------------------------------------------------------------
 
 
@@ -1019,14 +1039,14 @@ def _(spark, sf):
 @query(
     "rank_report",
     f"""WITH {sql.PREDICTIONS}, c AS (SELECT id, p1, 0.5::DOUBLE + 0.5::DOUBLE * tanh((p1 - 0.5::DOUBLE) / 0.2::DOUBLE) AS s
-          FROM predictions WHERE fold = 1)
+          FROM predictions)
         SELECT id AS text, round(p1, 6) + 0.0::DOUBLE AS raw_score, round(s, 6) AS score,
                round({sql.average_rank('s')} / count(*) OVER () * 100, 6) AS percentile,
                round(1 / (1 + exp(-5.0::DOUBLE * ((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) - 0.5::DOUBLE))), 6)
                  AS spread_score FROM c""",
 )
 def _(spark, sf):
-    return rounded(blend.rank_report(predictions(spark, sf).where("fold = 1"), "p1", "id", k=5.0))
+    return rounded(blend.rank_report(predictions(spark, sf), "p1", "id", k=5.0))
 
 
 # ---- Sources and sinks ---------------------------------------------------------------------------
@@ -1338,7 +1358,7 @@ def _vector_examples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_FEATURES = ["p1", "p2", "e0", "e1", "e2", "e3"]
+_FEATURES = ["p1", "p2", *(f"e{i}" for i in range(64))]
 
 
 @query(
@@ -1346,7 +1366,7 @@ _FEATURES = ["p1", "p2", "e0", "e1", "e2", "e3"]
     f"""WITH v AS (SELECT label / 9.0::DOUBLE AS y, label / 9.0::DOUBLE + {sql.unit('vec_id', 'p1')} * 0.4 - 0.2 AS p1,
           label / 9.0::DOUBLE + {sql.unit('vec_id', 'p2')} * 0.8 - 0.4 AS p2, embedding AS e FROM embeddings),
         r AS (SELECT count(*) AS n, corr(p1, y) AS p1, corr(p2, y) AS p2, """
-    + ", ".join(f"corr(e[{i + 1}]::DOUBLE, y) AS e{i}" for i in range(4))
+    + ", ".join(f"corr(e[{i + 1}]::DOUBLE, y) AS e{i}" for i in range(64))
     + " FROM v) "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round({c} * {c} / (1 - {c} * {c}) * (n - 2), 6) AS f_score FROM r" for c in _FEATURES
@@ -1354,17 +1374,14 @@ _FEATURES = ["p1", "p2", "e0", "e1", "e2", "e3"]
 )
 def _(spark, sf):
     df = _vector_examples(spark, sf)
-    df = df.withColumns({f"e{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(4)})
+    df = df.withColumns({f"e{i}": F.get("embedding", F.lit(i)).cast("double") for i in range(64)})
     return rounded(meta.f_scores(df, _FEATURES, "y"))
 
 
 @query("meta_model_scores")
 def _(spark, sf):
-    # Boosting is left to the tests: its hundred rounds are run one after the other.
     df = _vector_examples(spark, sf)
-    models = meta.candidates()
-    models.pop("GradientBoosting")
-    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64, models=models)
+    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", "embedding", 64)
     rows = [(name, mean, std, name == fitted.chosen) for name, (mean, std) in fitted.scores.items()]
     return spark.createDataFrame(rows, "model string, spearman double, deviation double, chosen boolean")
 
