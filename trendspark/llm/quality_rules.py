@@ -108,17 +108,19 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2_000, runs: int = 2) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 2_000, runs: int = 2) -> list[Rule]:
     """Order rules by rejections per second, as a sample of about ``sample_rows`` rows shows them.
 
-    The sample is drawn over the whole table and written once; each rule is then timed on it alone,
+    The sample is drawn over the whole table, counted and written once; each rule is then timed on it alone,
     the better of ``runs`` runs, less the time of a rule that tests nothing. Only the order depends on
     it, never a verdict. An empty table leaves the order as given.
     """
     size = docs.count()
     if not size:
         return list(rules)
-    sample = stage(docs.sample(min(1.0, sample_rows / size), seed=7).coalesce(1), "rule-sample")
+    # Drawn in all tasks of the scan; only the few rows drawn are counted and brought together.
+    drawn = docs.sample(min(1.0, sample_rows / size), seed=7).repartition(1)
+    sample = stage(with_counts(drawn, text), "rule-sample")
 
     def measure(fails: Column) -> tuple[float, int]:
         best, rejected = float("inf"), 0
@@ -153,5 +155,5 @@ def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None = No
     counted = with_counts(docs, text)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rules = default_rules(text) if rules is None else rules
-    ordered = order_rules(counted, rules, sample_rows)
+    ordered = order_rules(docs, rules, text, sample_rows)
     return counted.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & cascade(ordered))
