@@ -101,7 +101,8 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("repeated words", 100 * F.col("n_repeat_words") > 50 * words),
         Rule("word length", (chars < 2 * words) | (chars > 15 * words)),
         Rule("symbols", 10 * F.col("n_symbols") > words),
-        Rule("repeated lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        # One heading that comes twice in a short text is no sign of bad quality.
+        Rule("repeated lines", (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))),
         Rule("few letters", 10 * letters < 6 * chars),
         Rule("capitals", 10 * capitals > 6 * chars),
         Rule("exclamations", 5 * F.regexp_count(value, F.lit("[!?]{2}")) > words),

@@ -134,7 +134,7 @@ counts AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-        OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 10 * letters < 6 * word_chars
+        OR 10 * n_symbols > n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) OR 10 * letters < 6 * word_chars
         OR 10 * capitals > 6 * word_chars OR 5 * shouts > n_words) AS kept
 FROM counts
 """
