@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from trendspark.llm import mixing, sanitise
 from trendspark.llm.common import row_key
+from trendspark.session import stage as write_once
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -140,7 +141,7 @@ def test_pipeline_stages(spark):
         "language ID", "line dedup", "SimHash near-dedup", "mixing sources to target weights", "byte-level BPE encoding and decoding",
     ]
     for _, stage in corpus_pipeline.STAGES:
-        kept.append(stage(spark, kept[-1], SMALL).localCheckpoint())
+        kept.append(write_once(stage(spark, kept[-1], SMALL)))
     assert all(k.columns == docs.columns for k in kept[:-1])
     sizes = [k.count() for k in kept]
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0 and sizes[4] == sizes[5] > 0
@@ -158,5 +159,5 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark):
     for rows in ([], odd):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SMALL).localCheckpoint()
+            docs = write_once(stage(spark, docs, SMALL))
         assert docs.count() <= len(rows) * 3
