@@ -69,9 +69,8 @@ def test_position_is_a_permutation(spark):
     assert sorted(r.pos for r in df.collect()) == list(range(100))
 
 
-@pytest.mark.parametrize("small,crowded", [(100_000, 2_000_000), (10, 2_000_000), (10, 5)])
-def test_quantiles_match_pandas(spark, monkeypatch, small, crowded):
-    monkeypatch.setattr(quantiles, "SMALL", small)
+@pytest.mark.parametrize("crowded", [2_000_000, 5])
+def test_quantiles_match_pandas(spark, monkeypatch, crowded):
     monkeypatch.setattr(quantiles, "CROWDED", crowded)
     rng = np.random.default_rng(3)
     n = 20_001
@@ -87,6 +86,24 @@ def test_quantiles_match_pandas(spark, monkeypatch, small, crowded):
     assert got["d"] == [None] * 6
 
 
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 4.0], [2.0] * 7, [float(i * i) for i in range(11)]])
+def test_quantiles_of_few_values(spark, values):
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = quantiles.exact_quantiles(frame(spark, [*values, None]), ["v"], probs)["v"]
+    np.testing.assert_allclose(got, pd.Series(values).quantile(probs), rtol=1e-12)
+
+
+def test_quantiles_that_are_infinite(spark):
+    inf = float("inf")
+    assert quantiles.exact_quantiles(frame(spark, [1.0, inf, inf]), ["v"], (0.0, 0.75, 1.0))["v"] == [1.0, inf, inf]
+
+
+def test_whole_numbers_are_ranked_without_rounding(spark):
+    big = 2**53
+    df = spark.createDataFrame([(i, big + i) for i in range(4)] + [(4, None)], "id int, v bigint")
+    assert [r.r for r in add_rank(df, "v", "r").orderBy("id").collect()] == [1.0, 2.0, 3.0, 4.0, None]
+
+
 def test_metrics(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"g": ["a"] * 60 + ["b"] * 30 + ["c"] * 5, "y": rng.integers(0, 10, 95).astype(float)})

@@ -43,10 +43,12 @@ def blend(
 
 def _search(
     df: DataFrame, cols: Sequence[str], y: str, weights: Sequence[Sequence[float]], clip: str | None,
-    margin: float,
+    margin: float, rank: bool = False, tie_key: Sequence[str] = (),
 ) -> DataFrame:
     """One row per weight vector with the Spearman correlation of its blend.
 
+    ``rank`` first replaces each column by its ordinal percentile, equal values in the order of ``tie_key``.
+
     Each row is copied once per vector (a list fixed by the caller), then all blends are ranked
     together, vector by vector.
     """
@@ -56,7 +58,12 @@ def _search(
             for i, ws in enumerate(weights)
         ]
     )
-    known = df.select(F.col(y).alias("_y"), *cols).dropna()
+    keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(tie_key)] if rank else []
+    known = df.select(F.col(y).alias("_y"), *cols, *keys).dropna(subset=["_y", *cols])
+    if rank:
+        ordinal = [Rank(c, f"_rank_{c}", "ordinal") for c in cols]
+        ranked = pct_ranks(known, ordinal, tie_key=[f"_key{i}" for i in range(len(keys))])
+        known = ranked.select("_y", *[F.col(r.out).alias(r.col) for r in ordinal])
     # Narrow and read several times below.
     ranked = stage(add_rank(known, "_y", "_ry").select(*cols, "_ry"), "grid")
     copies = ranked.select(*cols, "_ry", F.inline(grid))
@@ -70,12 +77,13 @@ def _search(
 
 
 def grid_search_blend(
-    df: DataFrame, a: str, b: str, y: str, step: float = 0.05, clip: str | None = None, margin: float = 0.1
+    df: DataFrame, a: str, b: str, y: str, step: float = 0.05, clip: str | None = None, margin: float = 0.1,
+    rank: bool = False, tie_key: Sequence[str] = (),
 ) -> DataFrame:
-    """Spearman correlation of ``(1 - w) * a + w * b`` for w = 0, step, ... 1."""
+    """Spearman correlation of ``(1 - w) * a + w * b`` for w = 0, step, ... 1, of percentiles if ``rank``."""
     points = round(1 / step)
     weights = [(1.0 - i / points, i / points) for i in range(points + 1)]
-    return _search(df, [a, b], y, weights, clip, margin)
+    return _search(df, [a, b], y, weights, clip, margin, rank, tie_key)
 
 
 def simplex_weights(m: int, seed: int | str = 42) -> list[list[float]]:
@@ -95,10 +103,11 @@ def simplex_weights(m: int, seed: int | str = 42) -> list[list[float]]:
 
 
 def simplex_search(
-    df: DataFrame, cols: Sequence[str], y: str, seed: int | str = 42, clip: str | None = None, margin: float = 0.1
+    df: DataFrame, cols: Sequence[str], y: str, seed: int | str = 42, clip: str | None = None, margin: float = 0.1,
+    rank: bool = False, tie_key: Sequence[str] = (),
 ) -> DataFrame:
-    """Spearman correlation of the blend for each vector of ``simplex_weights``."""
-    return _search(df, cols, y, simplex_weights(len(cols), seed), clip, margin)
+    """Spearman correlation of the blend for each vector of ``simplex_weights``, of percentiles if ``rank``."""
+    return _search(df, cols, y, simplex_weights(len(cols), seed), clip, margin, rank, tie_key)
 
 
 def best_blend(grid: DataFrame) -> DataFrame:

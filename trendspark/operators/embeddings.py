@@ -8,18 +8,25 @@ from ..functions.text import text_key
 from .dedup import dedup_keep_last
 
 
+def _digest(key: Column) -> Column:
+    """Stands for a text key in joins, which then neither shuffle nor sort by whole texts."""
+    return F.sha2(key, 256)
+
+
 def missing_keys(df: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
     """Distinct text keys that the cache does not hold. The cache has (text_key, embedding)."""
-    wanted = df.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key")).distinct()
-    return wanted.join(cache.select("text_key"), "text_key", "left_anti")
+    keys = df.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"))
+    wanted = keys.withColumn("_digest", _digest(F.col("text_key"))).dropDuplicates(["_digest"])
+    held = cache.select(_digest(F.col("text_key")).alias("_digest"))
+    return wanted.join(held, "_digest", "left_anti").select("text_key")
 
 
 def attach_embeddings(df: DataFrame, cache: DataFrame, dim: int, text: str = "text") -> DataFrame:
     """Add the cached ``embedding`` of each row's text, zeros where there is none."""
-    keyed = df.withColumn("_key", text_key(F.col(text)))
-    known = cache.select(F.col("text_key").alias("_ck"), "embedding")
+    keyed = df.withColumn("_digest", _digest(text_key(F.col(text))))
+    known = cache.select(_digest(F.col("text_key")).alias("_cd"), "embedding")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    joined = keyed.join(known, F.col("_key") == F.col("_ck"), "left")
+    joined = keyed.join(known, F.col("_digest") == F.col("_cd"), "left")
     return joined.select(*df.columns, F.coalesce("embedding", zeros).alias("embedding"))
 
 
@@ -38,10 +45,16 @@ def vector_mean(vector: Column) -> Column:
 
 
 def vector_std(vector: Column) -> Column:
-    """Population standard deviation of the entries of an array."""
-    mean = vector_mean(vector)
-    squares = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    return F.sqrt(F.greatest(squares / F.size(vector) - mean * mean, F.lit(0.0)))
+    """Population standard deviation of the entries of an array, from running means, so no digits cancel."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        gap = x.cast("double") - acc["mean"]
+        mean = acc["mean"] + gap / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["squares"] + gap * (x.cast("double") - mean)).alias("squares"))
+
+    return F.aggregate(vector, start, step, lambda acc: F.sqrt(F.try_divide(acc["squares"], acc["n"])))
 
 
 def vector_stats(df: DataFrame, vector: str) -> DataFrame:

@@ -171,16 +171,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns, over the rows where both are known."""
     pairs = list(combinations(range(len(cols)), 2))
     v = [as_number(c) for c in cols]
-    gaps = df.agg(*[F.count_if(x.isNull()) for x in v]).first()
-
-    def both(i: int, j: int) -> Column:
-        if gaps[i] or gaps[j]:
-            return safe_corr(v[i], v[j])
-        # Without gaps the deviations are those of the whole columns, shared by all pairs.
-        return F.try_divide(F.covar_pop(v[i], v[j]), F.stddev_pop(v[i]) * F.stddev_pop(v[j]))
-
     own = [F.when(F.stddev_pop(x) > 0, F.lit(1.0)).alias(f"r{i}_{i}") for i, x in enumerate(v)]
-    wide = df.agg(*[both(i, j).alias(f"r{i}_{j}") for i, j in pairs], *own)
+    wide = df.agg(*[safe_corr(v[i], v[j]).alias(f"r{i}_{j}") for i, j in pairs], *own)
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Up to this many values the built-in aggregate, which holds them all, is used.
-SMALL = 100_000
 # A bracket with more values than this is narrowed before its values are put in order.
 CROWDED = 2_000_000
 
@@ -28,26 +26,26 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Per column its quantiles in the order of ``probs``; None for a column without values.
 
-    Linear interpolation between neighbours, missing values left out. Up to three narrow scans; the
-    last one groups about ``6 / accuracy`` of the values per quantile.
+    Linear interpolation between neighbours, missing values left out. Four narrow scans: the values are
+    counted, bracketed by a sketch, counted by bracket, and those inside a bracket, about ``6 / accuracy`` of them,
+    are grouped and put in order.
     """
-    slack = 3.0 / accuracy
     numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
-    marks = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = numbers.agg(
-        *[F.struct(F.count(f"v{i}"), F.percentile_approx(f"v{i}", marks, accuracy)) for i in range(len(cols))]
-    ).first()
+    counts = numbers.agg(*[F.count(f"v{i}") for i in range(len(cols))]).first()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    known = [i for i in range(len(cols)) if counts[i]]
+    if not known:
+        return out
+
+    def marks(n: int) -> list[float]:
+        # The error of the sketch, and the two places that a quantile lies between.
+        slack = 3.0 / accuracy + 2.0 / n
+        return [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
 
-    small = [i for i in range(len(cols)) if 0 < sketch[i][0] <= SMALL]
-    if small:
-        row = numbers.agg(*[F.percentile(f"v{i}", list(probs)) for i in small]).first()
-        for k, i in enumerate(small):
-            out[cols[i]] = list(row[k])
-    large = [i for i in range(len(cols)) if sketch[i][0] > SMALL]
-    if large:
-        for (i, j), value in _from_brackets(numbers, probs, {i: tuple(sketch[i]) for i in large}, accuracy).items():
-            out[cols[i]][j] = value
+    row = numbers.agg(*[F.percentile_approx(f"v{i}", marks(counts[i]), accuracy) for i in known]).first()
+    sketch = {i: (counts[i], row[k]) for k, i in enumerate(known)}
+    for (i, j), value in _from_brackets(numbers, probs, sketch, accuracy).items():
+        out[cols[i]][j] = value
     return out
 
 
@@ -138,5 +136,6 @@ def _from_brackets(
     out = {}
     for k, (i, j, place) in enumerate(wanted):
         lo, hi = found[2 * k], found[2 * k + 1]
-        out[i, j] = lo + (hi - lo) * (place - int(place))
+        part = place - int(place)
+        out[i, j] = lo + (hi - lo) * part if part and lo != hi else lo
     return out

@@ -9,6 +9,7 @@ set by the number of cuts and not by the data.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -21,12 +22,18 @@ from .quantiles import as_number
 
 # Helper columns start with "__rk", to stay clear of the caller's names.
 
-# Slices of a hot value when its rows have to be put in order by their key.
-TIE_SLICES = 64
+# Hex digits of the hash that say which slice of a hot value a row belongs to.
+SLICE_DIGITS = 8
 
 
 def _cut_count(df: DataFrame) -> int:
-    return max(64, min(8192, 2 * shuffle_width(df.sparkSession)))
+    return max(64, 2 * shuffle_width(df.sparkSession))
+
+
+def _rank_value(df: DataFrame, col: str) -> Column:
+    """The column in the type it is ranked in: whole numbers as bigint, others as double without NaN."""
+    whole = df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(col).cast("bigint") if whole else as_number(col)
 
 
 def _place(cuts: Column, value: Column, n: int) -> Column:
@@ -43,15 +50,18 @@ def _place(cuts: Column, value: Column, n: int) -> Column:
     )
 
 
-def rank_cuts(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
-    """Approximate quantiles of each column, found in one scan. Their number does not grow with the data."""
+def rank_cuts(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[float, int]]:
+    """Approximate quantiles of each column in order, found in one scan, and how many of them fall on each value.
+
+    Their number follows the shuffle width, not the data.
+    """
     n_cuts = _cut_count(df)
     marks = [(i + 1) / n_cuts for i in range(n_cuts - 1)]
-    numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    numbers = df.select(*[_rank_value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     row = numbers.agg(
         *[F.percentile_approx(f"v{i}", marks, max(1000, 4 * n_cuts)) for i in range(len(cols))]
     ).first()
-    return {c: sorted(set(row[i] or ())) for i, c in enumerate(cols)}
+    return {c: dict(sorted(Counter(row[i] or ()).items())) for i, c in enumerate(cols)}
 
 
 @dataclass(frozen=True)
@@ -105,12 +115,16 @@ def add_ranks(
     return done.select(*df.columns, *[c for r in ranks for c in (r.out, f"{r.out}_n")])
 
 
-def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: Sequence[float]) -> DataFrame:
-    """Add value, bucket and slice of rank ``i``."""
+def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: dict[float, int]) -> DataFrame:
+    """Add value, bucket and slice of rank ``i``.
+
+    A value that many quantiles fall on has as many slices, so a slice holds about as many rows as any other bucket
+    and all slices together are no more than there are quantiles.
+    """
     v, at, b, p = (F.col(f"__rk{i}_{x}") for x in ("v", "at", "b", "p"))
-    base = df.withColumn(f"__rk{i}_v", as_number(r.col))
+    base = df.withColumn(f"__rk{i}_v", _rank_value(df, r.col))
     if cuts:
-        edges = F.array(*[F.lit(float(c)) for c in cuts])
+        edges = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{dict(base.dtypes)[f'__rk{i}_v']}>")
         base = base.withColumn(f"__rk{i}_at", _place(edges, v, len(cuts)))
         on_cut = F.coalesce(F.get(edges, at) == v, F.lit(False))
     else:
@@ -120,8 +134,10 @@ def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: Sequence[float]) -> DataF
     bucket = F.when(v.isNotNull(), 2 * at + on_cut.cast("int"))
     base = base.withColumn(f"__rk{i}_b", F.coalesce(bucket, F.lit(-1))).drop(f"__rk{i}_at")
     slice_ = F.lit(None).cast("bigint")
-    if r.ties == "ordinal":
-        slice_ = F.when(b % 2 == 1, F.floor(hex_number(F.col("__rk_h"), 2) * TIE_SLICES / 256))
+    if r.ties == "ordinal" and cuts:
+        slices = F.get(F.array(*[F.lit(n) for n in cuts.values()]), F.floor(b / 2).cast("int"))
+        share = hex_number(F.col("__rk_h"), SLICE_DIGITS) / F.lit(float(16 ** SLICE_DIGITS))
+        slice_ = F.when(b % 2 == 1, F.floor(share * slices))
     return base.withColumn(f"__rk{i}_p", F.coalesce(slice_, F.lit(0).cast("bigint")))
 
 

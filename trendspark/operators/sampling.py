@@ -9,9 +9,9 @@ themselves are then filtered where they are, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import ceil
+from math import ceil, log
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.hashing import hex_number, key_hash, uniform
 from ..schema import BALANCE_EDGES
@@ -26,8 +26,13 @@ KEEP_ALL = "g"
 Quota = Callable[[int, int], int]
 
 
+# A slice with more rows than this is cut by further digits of the hash before it is put in order.
+SLICE_ROWS = 1_000_000
+
+
 def _prefix_digits(df: DataFrame) -> int:
-    return 3 if shuffle_width(df.sparkSession) <= 512 else 4
+    """Hex digits that cut the rows into at least eight slices per shuffle partition, 4,096 at the least."""
+    return max(3, ceil(log(8 * shuffle_width(df.sparkSession), 16)))
 
 
 def _cut_offs(
@@ -35,8 +40,9 @@ def _cut_offs(
 ) -> dict[int | None, str]:
     """Per group the highest hash that is still within the quota.
 
-    The number of groups must be small and known (bins, or one). Two narrow scans of ``df``: one
-    counts the rows per hash prefix, the other reads on where the cut-offs lie.
+    The number of groups must be small and known (bins, or one). Narrow scans of ``df``: one
+    counts the rows per hash prefix, further ones read on where the cut-offs lie, with longer prefixes as long as
+    a slice is too large to be put in order at once.
     """
     digits = _prefix_digits(df)
     hashed = df.select(group.alias("g"), key_hash(key, seed).alias("h"))
@@ -58,12 +64,24 @@ def _cut_offs(
     if not inner:
         return cuts
     upto = F.sum("c").over(Window.partitionBy("g").orderBy("s"))
-    counted = slices.withColumn("upto", upto).withColumn("q", for_group(inner, "bigint"))
-    edges = counted.where("upto - c < q and q <= upto").selectExpr("g", "s", "q - upto + c as place").collect()
-    near = F.lit(False)
-    for r in edges:
-        near = near | (F.col("g").eqNullSafe(F.lit(r["g"])) & (F.col("s") == r["s"]))
-    placed = sliced.where(near).withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h")))
+
+    def edges_of(counts: DataFrame, places: dict[int | None, int]) -> list[Row]:
+        """Per group the slice that its wanted place lies in, and the place within the slice."""
+        counted = counts.withColumn("upto", upto).withColumn("q", for_group(places, "bigint"))
+        return counted.where("upto - c < q and q <= upto").selectExpr("g", "s", "c", "q - upto + c as place").collect()
+
+    def inside(edges: Sequence[Row]) -> Column:
+        near = F.lit(False)
+        for r in edges:
+            near = near | (F.col("g").eqNullSafe(F.lit(r["g"])) & F.col("h").startswith(r["s"]))
+        return near
+
+    edges, length = edges_of(slices, inner), digits
+    while length < 32 and any(r["c"] > SLICE_ROWS for r in edges):
+        length += digits
+        finer = hashed.where(inside(edges)).groupBy("g", F.substring("h", 1, length).alias("s")).agg(F.count("*").alias("c"))
+        edges = edges_of(finer, {r["g"]: r["place"] for r in edges})
+    placed = hashed.where(inside(edges)).withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h")))
     ends = placed.where(F.col("rn") == for_group({r["g"]: r["place"] for r in edges}, "bigint")).collect()
     cuts.update({r["g"]: r["h"] for r in ends})
     return cuts

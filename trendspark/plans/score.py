@@ -13,6 +13,7 @@ from ..functions.scoring import (
 from ..operators.dedup import dedup_keep_last
 from ..operators.filters import filter_regions
 from ..operators.normalize import coerce_counts, coerce_timestamps
+from ..operators.profile import completeness
 from ..operators.rank import pct_rank
 from ..operators.scale import Stats, robust_sigmoid
 from ..schema import KEEP_REGIONS, SNAPSHOT_KEYS, FeatureConfig, feature_config
@@ -98,3 +99,9 @@ def clean_and_score(
 ) -> DataFrame:
     """The whole cleaning step: ``clean``, then ``score``."""
     return score(clean(df, order_col, keep_regions, keep_missing_rank), now, key, cfg, seed)
+
+
+def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The completeness of the rows before and after cleaning, one row per ``phase``."""
+    parts = [completeness(df).select(F.lit(phase).alias("phase"), "*") for phase, df in (("before", before), ("after", after))]
+    return parts[0].unionByName(parts[1])

@@ -348,17 +348,32 @@ def _(spark, sf):
     return profile.recency_counts(snapshots(spark, sf), AS_OF, col="trendingDate")
 
 
+@query(
+    "cleaning_report",
+    f"WITH {sql.SCORED} " + " UNION ALL ".join(
+        f"""SELECT '{phase}' AS phase, count(*) AS n_rows, count(*) FILTER (title IS NULL OR title = '') AS missing_title,
+            count(*) FILTER (d.text IS NULL OR d.text = '') AS missing_description,
+            count(*) FILTER ("publishedAt" IS NULL) AS missing_published, count(DISTINCT "videoId") AS unique_videos
+            FROM {table} LEFT JOIN documents d ON doc_ref = d.doc_id"""
+        for phase, table in (("before", "snapshots"), ("after", "scored"))
+    ),
+)
+def _(spark, sf):
+    return plan.cleaning_report(snapshots(spark, sf, texts=True), with_texts(spark, sf, scored(spark, sf)))
+
+
 @query(
     "combined_filters",
     f"""WITH {sql.SCORED} SELECT
-        count(*) FILTER (viral_score >= 0.10 AND title IS NOT NULL
+        count(*) FILTER (viral_score >= 0.10 AND title IS NOT NULL AND d.text IS NOT NULL
                          AND ("trendingDate" >= TIMESTAMP '1996-12-01' OR "trendingDate" IS NULL)) AS current_filter,
-        count(*) FILTER (viral_score >= 0.05 AND title IS NOT NULL) AS relaxed_filter FROM scored""",
+        count(*) FILTER (viral_score >= 0.05 AND title IS NOT NULL AND d.text IS NOT NULL) AS relaxed_filter
+        FROM scored LEFT JOIN documents d ON doc_ref = d.doc_id""",
 )
 def _(spark, sf):
-    titled = F.col("title").isNotNull()
+    titled = F.col("title").isNotNull() & F.col("description").isNotNull()
     return profile.predicate_counts(
-        scored(spark, sf),
+        with_texts(spark, sf, scored(spark, sf)),
         {
             "current_filter": (F.col("viral_score") >= 0.10) & titled & filters.recent("trendingDate", 5, AS_OF),
             "relaxed_filter": (F.col("viral_score") >= 0.05) & titled,
@@ -663,12 +678,12 @@ def _(spark, sf):
     return kept.select("snapshot_key", profile.bin_index(F.col("viral_score"), BALANCE_EDGES, "left").alias("bin"))
 
 
-def _noise_sql() -> str:
+def _noise_sql(ctes: str = sql.SCORED, table: str = "scored") -> str:
     ua, ub, uc = (sql.unit("snapshot_key", f"42{x}") for x in "abc")
     widths = "[" + ", ".join(f"{b}::DOUBLE - {a}::DOUBLE" for a, b in zip(BALANCE_EDGES, BALANCE_EDGES[1:])) + "]"
-    return f"""WITH {sql.SCORED}, a AS (
+    return f"""WITH {ctes}, a AS (
         SELECT snapshot_key, v, bin, {widths}[bin + 1] * (0.15::DOUBLE + {ua} * 0.15::DOUBLE) AS scale FROM (
-          SELECT snapshot_key, viral_score AS v, {_bin_sql(BALANCE_EDGES, 'left', 'viral_score')} AS bin FROM scored)),
+          SELECT snapshot_key, viral_score AS v, {_bin_sql(BALANCE_EDGES, 'left', 'viral_score')} AS bin FROM {table})),
       m AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, v + CASE WHEN v > 0.199::DOUBLE AND v < 0.201::DOUBLE
               THEN -{ub} * scale ELSE ({ub} - 0.5::DOUBLE) * scale * 2.0::DOUBLE END)) AS moved FROM a)
       SELECT snapshot_key, round(CASE WHEN bin IS NULL THEN v
@@ -682,6 +697,36 @@ def _(spark, sf):
     )
 
 
+_REPAIRED = f"""{sql.SCORED}, labelled AS (
+        SELECT snapshot_key, viral_score, {_bin_sql(BALANCE_EDGES, 'left', 'viral_score')} AS b,
+          row_number() OVER (ORDER BY md5('42|' || snapshot_key)) <= ceil(count(*) OVER () * 0.1::DOUBLE) AS test FROM scored),
+      crowded AS (SELECT *, count(*) OVER (PARTITION BY test, b) AS c, count(*) OVER (PARTITION BY test) AS n,
+          row_number() OVER (PARTITION BY test, b ORDER BY md5('42|' || snapshot_key)) AS rn FROM labelled),
+      thinned AS (SELECT snapshot_key, viral_score FROM crowded WHERE test OR (b IS NOT NULL AND rn <= least(c,
+          CASE WHEN c > n * 0.15::DOUBLE THEN floor(n * 0.15::DOUBLE) ELSE greatest(least(c, 8000), 2000) END)))"""
+
+
+@query("repaired_bias", _noise_sql(_REPAIRED, "thinned"))
+def _(spark, sf):
+    labelled = sampling.train_test_split(scored(spark, sf).select("snapshot_key", "viral_score"), 0.1, ["snapshot_key"])
+    return rounded(training.fix_bias(labelled, ["snapshot_key"]).select("snapshot_key", "viral_score"))
+
+
+@query(
+    "prepared_stratified_set",
+    f"""WITH {sql.SCORED}, binned AS (
+        SELECT snapshot_key, viral_score, {_bin_sql(DECILE_EDGES, 'right', 'viral_score')} AS bin FROM scored),
+      numbered AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5('42|' || snapshot_key)) AS rn
+        FROM binned WHERE bin IS NOT NULL),
+      capped AS (SELECT * FROM numbered WHERE rn <= 2500)
+      SELECT snapshot_key, round(viral_score, 6) AS viral_score, CASE WHEN row_number() OVER (ORDER BY md5('42|' || snapshot_key))
+        <= ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM capped""",
+)
+def _(spark, sf):
+    prepared = training.prepare_stratified(with_texts(spark, sf, scored(spark, sf)), "snapshot_key", 2500)
+    return rounded(prepared.select("snapshot_key", "viral_score", "split"))
+
+
 @query(
     "exact_split",
     f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key, CASE WHEN row_number() OVER (ORDER BY md5('42|' || snapshot_key))
@@ -871,6 +916,18 @@ def _(spark, sf):
     return rounded(evaluate.metrics_by(predictions(spark, sf), "y", "p1", "lang"))
 
 
+@query(
+    "metrics_by_language_group",
+    f"""WITH {sql.PREDICTIONS.replace('predictions AS', 'ungrouped AS', 1)},
+        predictions AS (SELECT *, CASE {" ".join(
+            f"WHEN lang IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'" for name, codes in texts.LANGUAGE_GROUPS.items()
+        )} ELSE 'other' END AS language_group FROM ungrouped), {_metrics_by_sql('language_group')}""",
+)
+def _(spark, sf):
+    df = predictions(spark, sf).withColumn("language_group", texts.language_group(F.col("lang")))
+    return rounded(evaluate.metrics_by(df, "y", "p1", "language_group", known_groups=len(texts.LANGUAGE_GROUPS) + 1))
+
+
 GRID = [(1.0 - i / 20, i / 20) for i in range(21)]
 
 
@@ -916,6 +973,34 @@ def _(spark, sf):
     return rounded(blend.simplex_search(held, ["p1", "p2", "p3"], "y"))
 
 
+def _percentiles_sql(cols) -> str:
+    ranks = ", ".join(f"({sql.ordinal_rank(c, 'id')} - 1)::DOUBLE / (count(*) OVER () - 1) AS {c}" for c in cols)
+    return f"held AS (SELECT id, y, {ranks} FROM predictions WHERE fold = 0)"
+
+
+@query(
+    "ranked_blend_grid",
+    f"""WITH {sql.PREDICTIONS}, {_percentiles_sql(['p1', 'p2'])}, {_search_sql(['p1', 'p2'], GRID)}
+        SELECT grid_id, {r6('w_p1', 'w_p2')}, round(spearman, 6) AS spearman FROM found""",
+)
+def _(spark, sf):
+    held = predictions(spark, sf).where("fold = 0")
+    found = blend.grid_search_blend(held, "p1", "p2", "y", clip="soft", margin=0.4, rank=True, tie_key=["id"])
+    return rounded(found)
+
+
+@query(
+    "ranked_simplex_search",
+    f"""WITH {sql.PREDICTIONS}, {_percentiles_sql(['p1', 'p2', 'p3'])},
+        {_search_sql(['p1', 'p2', 'p3'], blend.simplex_weights(3))}
+        SELECT grid_id, {r6('w_p1', 'w_p2', 'w_p3')}, round(spearman, 6) AS spearman FROM found""",
+)
+def _(spark, sf):
+    held = predictions(spark, sf).where("fold = 0")
+    found = blend.simplex_search(held, ["p1", "p2", "p3"], "y", rank=True, tie_key=["id"])
+    return rounded(found)
+
+
 @query(
     "fixed_inversion",
     f"""WITH {sql.PREDICTIONS}, i AS (SELECT id, y, p2, 1 - p1 AS q FROM predictions),
@@ -1324,7 +1409,8 @@ def _(spark, sf):
           FROM docs JOIN embeddings ON doc_id + 1 = vec_id GROUP BY text_key),
         merged AS (SELECT text_key, embedding FROM fresh
                    UNION ALL SELECT text_key, embedding FROM cache WHERE text_key NOT IN (SELECT text_key FROM fresh))
-        SELECT md5(text_key) AS text_key, round(embedding[1]::DOUBLE, 6) AS first FROM merged""",
+        SELECT md5(text_key) AS text_key, md5(array_to_string(
+          list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)), ',')) AS vector FROM merged""",
 )
 def _(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", texts.text_key(F.col("text")).alias("text_key"))
@@ -1332,7 +1418,8 @@ def _(spark, sf):
     fresh = docs.join(vectors, F.col("doc_id") + 1 == F.col("vec_id"))
     fresh = dedup.dedup_text(fresh, ["text_key"], "doc_id").select("text_key", "embedding")
     merged = embeddings.upsert_cache(_cache(spark, sf), fresh)
-    return rounded(merged.select(F.md5("text_key").alias("text_key"), F.get("embedding", F.lit(0)).cast("double").alias("first")))
+    entries = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string"))
+    return merged.select(F.md5("text_key").alias("text_key"), F.md5(F.array_join(entries, ",")).alias("vector"))
 
 
 @query(
