@@ -985,7 +985,7 @@ def _percentiles_sql(cols) -> str:
 )
 def _(spark, sf):
     held = predictions(spark, sf).where("fold = 0")
-    found = blend.grid_search_blend(held, "p1", "p2", "y", clip="soft", margin=0.4, rank=True, tie_key=["id"])
+    found = blend.grid_search_blend(held, "p1", "p2", "y", rank=True, tie_key=["id"])
     return rounded(found)
 
 
