@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trendspark.functions import clipping, text as texts
@@ -1465,6 +1467,39 @@ def _(spark, sf):
     return rounded(meta.f_scores(df, _FEATURES, "y"))
 
 
+_RIDGE_SQL = f"""WITH v AS (SELECT vec_id, label / 9.0::DOUBLE AS y, label / 9.0::DOUBLE + {sql.unit('vec_id', 'p1')} * 0.4 - 0.2 AS p1,
+          label / 9.0::DOUBLE + {sql.unit('vec_id', 'p2')} * 0.8 - 0.4 AS p2 FROM embeddings),
+        s AS (SELECT avg(y) AS my, stddev_pop(y) AS sy, avg(p1) AS m1, avg(p2) AS m2, count(*) * var_pop(p1) + 10 AS a,
+          count(*) * covar_pop(p1, p2) AS b, count(*) * var_pop(p2) + 10 AS c,
+          count(*) * covar_pop(p1, y) / stddev_pop(y) AS d, count(*) * covar_pop(p2, y) / stddev_pop(y) AS e FROM v)
+        SELECT vec_id, round(0.5::DOUBLE + 0.5::DOUBLE * tanh((((c * d - b * e) * (p1 - m1) + (a * e - b * d) * (p2 - m2))
+          / (a * c - b * b) * sy + my - 0.5::DOUBLE) / 0.2::DOUBLE), 6) AS prediction FROM v, s"""
+
+
+@query("ridge_predictions", _RIDGE_SQL)
+def _(spark, sf):
+    df = _vector_examples(spark, sf)
+    fitted = meta.fit_meta_model(df, "y", ["p1", "p2"], "fold", models={"Ridge": meta.Ridge()})
+    path = new_folder(spark, "ridge")
+    fitted.save(path)
+    return rounded(meta.MetaModel.load(path, ["p1", "p2"]).predict(df).select("vec_id", "prediction"))
+
+
+@query(
+    "principal_component_norms",
+    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+       z AS (SELECT vec_id, (x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i) AS z FROM e)
+       SELECT vec_id, round(sum(z * z), 4) AS square_norm FROM z GROUP BY vec_id""",
+)
+def _(spark, sf):
+    # All components together turn a scaled vector without changing its length.
+    df, _ = meta.meta_inputs(read(spark, sf, "embeddings"), [], "embedding")
+    steps = meta.feature_stages([], 64, df.count(), components=64)[:2]
+    turned = Pipeline(stages=steps).fit(df).transform(df).withColumn("_pca", vector_to_array("_pca"))
+    square = F.aggregate("_pca", F.lit(0.0), lambda acc, x: acc + x * x)
+    return rounded(turned.select("vec_id", square.alias("square_norm")), 4)
+
+
 @query("meta_model_scores")
 def _(spark, sf):
     df = _vector_examples(spark, sf)
@@ -1503,6 +1538,29 @@ def _(spark, sf):
     return spark.read.parquet(sink).select("user_id", "event_type", "day")
 
 
+@query(
+    "ingested_in_two_runs",
+    "SELECT DISTINCT user_id, event_type, CAST(date_trunc('day', ts) AS DATE) AS day FROM events WHERE event_type <> 'error'",
+)
+def _(spark, sf):
+    events = read(spark, sf, "events")
+    landing, sink, progress = (new_folder(spark, label) for label in ("landing", "sink", "progress"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    early = events.where(F.col("ts") < F.lit(first + (last - first) / 2))
+    # The second run meets the early rows again, late and in other files.
+    for landed in (early, events):
+        landed.withColumn("_day", F.to_date("ts")).repartition("_day").drop("_day").write.mode("append").parquet(landing)
+        rows = file_stream(spark, landing, events.schema, files_per_trigger=2).select(
+            F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.to_date("ts").alias("day")
+        )
+        delay = f"{(last - first).days + 1} days"
+        ingest_stream(
+            rows, sink, progress, ["user_id", "event_type", "day"], "ts", delay,
+            keep=lambda df: df.where("event_type <> 'error'"),
+        )
+    return spark.read.parquet(sink).select("user_id", "event_type", "day")
+
+
 @query(
     "streamed_coverage",
     """SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS day, event_type, count(*) AS total, count(value) AS with_value,
