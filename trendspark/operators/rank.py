@@ -97,10 +97,14 @@ def add_ranks(
     base = df
     if any(r.ties == "ordinal" for r in ranks):
         base = base.withColumn("__rk_h", key_hash(tie_key))
-    for i, r in enumerate(ranks):
-        base = _with_bucket(base, r, i, cuts[r.col])
+    # Average and minimum of one column come from the same buckets and the same window.
+    shared: dict[tuple[str, bool], list[Rank]] = {}
+    for r in ranks:
+        shared.setdefault((r.col, r.ties == "ordinal"), []).append(r)
+    for i, (col, ordinal) in enumerate(shared):
+        base = _with_bucket(base, col, ordinal, i, cuts[col])
     done = base
-    for i, r in enumerate(ranks):
+    for i in range(len(shared)):
         cells = _cells(base, by, i)
         if not by or known_groups is not None:
             cells = F.broadcast(cells)
@@ -110,19 +114,19 @@ def add_ranks(
         same = [F.col(c).eqNullSafe(F.col(f"__rk{i}_k{k}")) for k, c in enumerate(by)]
         same += [F.col(f"__rk{i}_b") == F.col(f"__rk{i}_kb"), F.col(f"__rk{i}_p") == F.col(f"__rk{i}_kp")]
         done = done.join(cells, reduce(Column.__and__, same), "left")
-    for i, r in enumerate(ranks):
-        done = _ranked_in_buckets(done, by, i, r)
+    for i, same_buckets in enumerate(shared.values()):
+        done = _ranked_in_buckets(done, by, i, same_buckets)
     return done.select(*df.columns, *[c for r in ranks for c in (r.out, f"{r.out}_n")])
 
 
-def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: dict[float, int]) -> DataFrame:
-    """Add value, bucket and slice of rank ``i``.
+def _with_bucket(df: DataFrame, col: str, ordinal: bool, i: int, cuts: dict[float, int]) -> DataFrame:
+    """Add value, bucket and slice of the ranks with number ``i``.
 
     A value that many quantiles fall on has as many slices, so a slice holds about as many rows as any other bucket
     and all slices together are no more than there are quantiles.
     """
     v, at, b, p = (F.col(f"__rk{i}_{x}") for x in ("v", "at", "b", "p"))
-    base = df.withColumn(f"__rk{i}_v", _rank_value(df, r.col))
+    base = df.withColumn(f"__rk{i}_v", _rank_value(df, col))
     if cuts:
         edges = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{dict(base.dtypes)[f'__rk{i}_v']}>")
         base = base.withColumn(f"__rk{i}_at", _place(edges, v, len(cuts)))
@@ -134,7 +138,7 @@ def _with_bucket(df: DataFrame, r: Rank, i: int, cuts: dict[float, int]) -> Data
     bucket = F.when(v.isNotNull(), 2 * at + on_cut.cast("int"))
     base = base.withColumn(f"__rk{i}_b", F.coalesce(bucket, F.lit(-1))).drop(f"__rk{i}_at")
     slice_ = F.lit(None).cast("bigint")
-    if r.ties == "ordinal" and cuts:
+    if ordinal and cuts:
         slices = F.get(F.array(*[F.lit(n) for n in cuts.values()]), F.floor(b / 2).cast("int"))
         share = hex_number(F.col("__rk_h"), SLICE_DIGITS) / F.lit(float(16 ** SLICE_DIGITS))
         slice_ = F.when(b % 2 == 1, F.floor(share * slices))
@@ -157,24 +161,28 @@ def _cells(base: DataFrame, by: Sequence[str], i: int) -> DataFrame:
     )
 
 
-def _ranked_in_buckets(df: DataFrame, by: Sequence[str], i: int, r: Rank) -> DataFrame:
-    """Add the rank: the rows in earlier buckets plus the place within the own bucket."""
+def _ranked_in_buckets(df: DataFrame, by: Sequence[str], i: int, ranks: Sequence[Rank]) -> DataFrame:
+    """Add the ranks that share buckets: the rows in earlier buckets plus the place within the own bucket."""
+    ordinal = ranks[0].ties == "ordinal"
     b, before, wv = (F.col(f"__rk{i}_{x}") for x in ("b", "before", "wv"))
     # Rows that need no window are spread by the number of the task that read them.
-    idle = b == -1 if r.ties == "ordinal" else b % 2 != 0
+    idle = b == -1 if ordinal else b % 2 != 0
     df = df.withColumn(f"__rk{i}_salt", F.when(idle, F.spark_partition_id()).otherwise(F.lit(-1)))
     df = df.withColumn(f"__rk{i}_wv", F.when(~idle, F.col(f"__rk{i}_v")))
     cell = Window.partitionBy(*by, f"__rk{i}_b", f"__rk{i}_p", f"__rk{i}_salt")
-    if r.ties == "ordinal":
-        rank = before + F.row_number().over(cell.orderBy(wv, "__rk_h"))
-    elif r.ties == "min":
-        rank = before + F.when(idle, F.lit(1)).otherwise(F.rank().over(cell.orderBy(wv)))
-    else:
-        # The mean of the first and the last place that equal values take.
-        first = F.when(idle, F.lit(1)).otherwise(F.rank().over(cell.orderBy(wv)))
-        last = F.when(idle, F.col(f"__rk{i}_cc")).otherwise(F.count("*").over(cell.orderBy(wv)))
-        rank = before.cast("double") + (first + last) / F.lit(2.0)
-    return df.withColumn(r.out, F.when(b >= 0, rank)).withColumn(f"{r.out}_n", F.col(f"__rk{i}_n"))
+    in_order = cell.orderBy(wv, "__rk_h") if ordinal else cell.orderBy(wv)
+    # The first and the last place that equal values take.
+    first = F.when(idle, F.lit(1)).otherwise(F.rank().over(in_order))
+    last = F.when(idle, F.col(f"__rk{i}_cc")).otherwise(F.count("*").over(in_order))
+    place = {
+        "ordinal": lambda: before + F.row_number().over(in_order),
+        "min": lambda: before + first,
+        "average": lambda: before.cast("double") + (first + last) / F.lit(2.0),
+    }
+    added = {}
+    for r in ranks:
+        added |= {r.out: F.when(b >= 0, place[r.ties]()), f"{r.out}_n": F.col(f"__rk{i}_n")}
+    return df.withColumns(added)
 
 
 def add_rank(
