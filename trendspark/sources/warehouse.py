@@ -11,6 +11,7 @@ from ..operators.filters import filter_quality
 from ..operators.normalize import coerce_timestamps
 from ..operators.sampling import sample_n
 
+# The columns read for training.
 TRAINING_COLUMNS = (
     "videoId", "title", "description", "publishedAt", "trendingDate",
     "viewCount", "likeCount", "commentCount", "rank", "region",

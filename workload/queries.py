@@ -33,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+# The names of the metrics, and further down the thresholds of the reports.
 METRICS = (
     "viewsPerHr_n", "likesPerHr_n", "commentsPerHr_n", "rankScore_n", "recency_n", "engagementRatio_n", "earlyViral_n",
 )
@@ -309,6 +310,7 @@ def _count_sql(prefix: str, thresholds, col: str = "viral_score") -> str:
     return ", ".join(f"count(*) FILTER ({col} >= {t}) AS {profile.threshold_name(prefix, t)}" for t in thresholds)
 
 
+# Fixed values.
 SOURCE_THRESHOLDS = (0.40, 0.20, 0.10, 0.05)
 TABLE_THRESHOLDS = (0.20, 0.205, 0.21, 0.215, 0.22)
 SWEEP = (0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)
