@@ -268,12 +268,13 @@ def dataset_checks(df: DataFrame, split_col: str = "split") -> DataFrame:
     return w.select(F.inline(rows))
 
 
-def peek(df: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` rows Spark comes by, long texts cut for display."""
+def peek(df: DataFrame, n: int = 3, order_by: str | None = None) -> DataFrame:
+    """The first ``n`` rows in the order of a column, or else those Spark comes by, long texts cut for display."""
     from ..functions.text import truncate_text
 
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    return df.limit(n).withColumns({c: truncate_text(F.col(c), 100, 97) for c in texts})
+    first = df.limit(n) if order_by is None else df.orderBy(order_by).limit(n)
+    return first.withColumns({c: truncate_text(F.col(c), 100, 97) for c in texts})
 
 
 def describe_table(df: DataFrame) -> DataFrame:

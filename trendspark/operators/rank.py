@@ -89,7 +89,7 @@ def add_ranks(
     Ordinal ranks put equal values in the order of the md5 of ``tie_key``, which should be unique
     per row. Missing values get no rank and are not counted. ``by`` ranks within groups; a caller
     who knows a small bound on the number of groups says so in ``known_groups`` and the bucket
-    counts are broadcast, otherwise they are written and Spark chooses by their size. Ranking several columns at once
+    counts are broadcast if they keep to it, otherwise Spark chooses by their size. Ranking several columns at once
     reads ``df`` fewer times than one after the other.
     """
     by = list(by)
@@ -104,13 +104,16 @@ def add_ranks(
     for i, (col, ordinal) in enumerate(shared):
         base = _with_bucket(base, col, ordinal, i, cuts[col])
     done = base
-    for i in range(len(shared)):
+    for i, (col, ordinal) in enumerate(shared):
         cells = _cells(base, by, i)
-        if not by or known_groups is not None:
+        if not by:
             cells = F.broadcast(cells)
         else:
             # Once written its size is known, and Spark broadcasts it only if it is small.
             cells = stage(cells, "cells")
+            most = 2 * len(cuts[col]) + 2 + (sum(cuts[col].values()) if ordinal else 0)
+            if known_groups is not None and cells.count() <= known_groups * most:
+                cells = F.broadcast(cells)
         same = [F.col(c).eqNullSafe(F.col(f"__rk{i}_k{k}")) for k, c in enumerate(by)]
         same += [F.col(f"__rk{i}_b") == F.col(f"__rk{i}_kb"), F.col(f"__rk{i}_p") == F.col(f"__rk{i}_kp")]
         done = done.join(cells, reduce(Column.__and__, same), "left")

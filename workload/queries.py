@@ -518,9 +518,13 @@ def _(spark, sf):
     return rounded(profile.dataset_checks(examples(spark, sf)))
 
 
-@query("peek_rows")
+@query(
+    "peek_rows",
+    f"""WITH {sql.SNAPSHOTS} SELECT snapshot_key, "videoId", title, doc_ref, region, "viewCount", "likeCount", "commentCount",
+        "rank", source, data_source FROM snapshots ORDER BY snapshot_key LIMIT 3""",
+)
 def _(spark, sf):
-    return profile.peek(snapshots(spark, sf), 3)
+    return profile.peek(snapshots(spark, sf), 3, "snapshot_key").drop("publishedAt", "trendingDate")
 
 
 SNAPSHOT_TYPES = {
