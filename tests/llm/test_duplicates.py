@@ -135,6 +135,43 @@ def test_chains_score_as_well_as_brute_force():
         assert len(first) - cost == pytest.approx(plain_chain_score(pos, other))
 
 
+def limited_chain_scores(pos, other):
+    """Best score of a chain that ends at each match, by trying all predecessors within reach."""
+    order = sorted(zip(pos, other))
+    best = []
+    for j, (p, q) in enumerate(order):
+        best.append(1 + max([0.0] + [
+            best[i] - passage_dedup.GAP_COST * (p - a + q - b) for i, (a, b) in enumerate(order[:j])
+            if 0 < p - a <= passage_dedup.MAX_GAP and 0 < q - b <= passage_dedup.MAX_GAP
+        ]))
+    return best
+
+
+def test_chains_reach_no_further_than_the_gap_and_look_at_all_within():
+    draw = random.Random(18)
+    for _ in range(50):
+        n = draw.randint(1, 60)
+        pos, other = [draw.randint(0, 1500) for _ in range(n)], [draw.randint(0, 1500) for _ in range(n)]
+        shift = draw.randint(0, 600)
+        pos += range(0, 50, 2)
+        other += range(shift, shift + 50, 2)
+        links = passage_dedup.chain(np.array(pos), np.array(other))
+        assert sorted(int(x) for c in links for x in c) == list(range(len(pos)))
+        for c in links:
+            assert all(0 < pos[b] - pos[a] <= 256 and 0 < other[b] - other[a] <= 256 for a, b in zip(c, c[1:]))
+        first = links[0]
+        cost = passage_dedup.GAP_COST * (pos[first[-1]] - pos[first[0]] + other[first[-1]] - other[first[0]])
+        assert len(first) - cost == pytest.approx(max(limited_chain_scores(pos, other)))
+
+
+def test_a_second_passage_of_one_pair_keeps_its_chain():
+    # 24 seeds in a row, and 300 words on a second passage with a word put in.
+    pos = [*range(0, 120, 5), *range(420, 440, 5), *range(441, 461, 5)]
+    other = [*range(0, 120, 5), *range(420, 440, 5), *range(440, 460, 5)]
+    links = passage_dedup.chain(np.array(pos), np.array(other))
+    assert sorted(map(len, links)) == [8, 24]
+
+
 def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     draw = random.Random(9)
 
