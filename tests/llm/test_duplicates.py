@@ -202,6 +202,44 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     assert passage_dedup.shared_passages(docs.limit(0)).count() == 0
 
 
+def edited(draw, words, share):
+    """The words with a share of them changed, left out or followed by another one."""
+    out, at = [], set(draw.sample(range(len(words)), round(len(words) * share)))
+    for i, word in enumerate(words):
+        kind = draw.choice(["change", "change", "drop", "add"]) if i in at else "keep"
+        out += {"keep": [word], "change": [f"x{draw.random()}"], "drop": [], "add": [word, f"y{draw.random()}"]}[kind]
+    return out
+
+
+@pytest.mark.parametrize("share, least", [(0.1, 0.99), (0.15, 0.93), (0.2, 0.8)])
+def test_short_passages_with_many_edits(share, least):
+    draw, found, n = random.Random(29), 0, 300
+    for _ in range(n):
+        words = [[f"w{draw.random()}" for _ in range(k)] for k in (50, 60, 60, 60, 60)]
+        a, b = words[1] + words[0] + words[2], words[3] + edited(draw, words[0], share) + words[4]
+        (h, p, _), (g, q, _) = (passage_dedup.seeds(" ".join(x).encode()) for x in (a, b))
+        _, i, j = np.intersect1d(h, g, return_indices=True)
+        chains = passage_dedup.chain(p[i], q[j]) if len(i) else []
+        got = [x for c in chains for x in passage_dedup.passages(a, b, p[i][c].tolist(), q[j][c].tolist())]
+        assert all(x[0] >= 55 and x[1] <= 115 for x in got)
+        found += bool(got)
+    assert found >= least * n, found
+
+
+def test_one_seed_is_followed_past_missing_words():
+    words = [f"w{i}" for i in range(60)]
+    other = words[:20] + words[21:33] + ["new"] + words[33:]
+    assert passage_dedup.align(words, other, [25], [24]) == (0, 60, 0, 60, 59 / 60)
+
+
+def test_a_passage_is_not_lost_to_a_stock_phrase_on_its_chain():
+    draw = random.Random(30)
+    passage, phrase, *rest = ([f"w{draw.random()}" for _ in range(n)] for n in (50, 12, 90, 90))
+    a, b = (passage + between + phrase for between in rest)
+    pos = [*range(0, 46, 3), *range(140, 148, 3)]
+    assert [x[:4] for x in passage_dedup.passages(a, b, pos, pos)] == [(0, 50, 0, 50)]
+
+
 def plain_vectors(rows):
     fit = [
         i for i, (_, v, label) in enumerate(rows)
