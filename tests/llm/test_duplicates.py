@@ -202,6 +202,28 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     assert passage_dedup.shared_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    draw = random.Random(31)
+
+    def words(n):
+        return [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+
+    passage = words(60)
+    texts = {
+        "C": words(50) + passage[:35] + words(50), "D": words(50) + passage[25:] + words(50),
+        "A": words(50) + passage + words(50), "B": words(50) + passage[:28] + ["changed"] + passage[29:] + words(50),
+    }
+    texts = {k: " ".join(v) for k, v in texts.items()}
+    tried = spark.createDataFrame([(i, k, t) for k, t in texts.items() for i in range(40)], "doc_id bigint, name string, text string")
+    keys = {(r.name, r.doc_id): r.key for r in tried.select("name", "doc_id", passage_dedup.row_key().alias("key")).collect()}
+    ids = {k: (min if k in "CD" else max)(range(40), key=lambda i: keys[k, i]) for k in texts}
+    assert max(keys[k, ids[k]] for k in "CD") < min(keys[k, ids[k]] for k in "AB") and len(set(ids.values())) == 4
+    docs = spark.createDataFrame([(ids[k], t) for k, t in texts.items()], "doc_id bigint, text string")
+    got = passage_dedup.shared_passages(docs).collect()
+    assert [{r.doc_id, r.other_doc_id} for r in got] == [{ids["A"], ids["B"]}]
+    assert all((r.start, r.end, r.other_start, r.other_end) == (50, 110, 50, 110) for r in got)
+
+
 def edited(draw, words, share):
     """The words with a share of them changed, left out or followed by another one."""
     out, at = [], set(draw.sample(range(len(words)), round(len(words) * share)))
