@@ -2,10 +2,12 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from trendspark.llm import byte_bpe, language_id
 
@@ -77,6 +79,17 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_copies_count_as_one_text_in_the_language_sample(spark):
+    # Five texts of "aa" in 400 copies each; one text of "bb" in 2,000 copies beside 20 others.
+    rows = [(f"aa{k} kamala" * 3, "aa") for k in range(5) for _ in range(400)]
+    rows += [("zzzz zz", "bb")] * 2000 + [(f"bb{k} tolo rimo", "bb") for k in range(20)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(docs, F.lit(True), max_docs_per_language=40)
+    assert model.languages == ["aa", "bb"]
+    one = language_id.fit(docs.distinct(), F.lit(True), max_docs_per_language=40)
+    assert np.array_equal(model.log_prob, one.log_prob)
+
+
 def test_chunks_of_long_texts_count_each_gram_once(monkeypatch):
     text = "abcdefghij klmnop" * 7
     whole = language_id.gram_counts(text)

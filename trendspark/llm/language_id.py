@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trendspark.llm.common import chunks
+from trendspark.session import stage
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -65,22 +66,25 @@ class LanguageModel:
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", max_docs_per_language: int = 4_000) -> LanguageModel:
     """Learn from the labelled rows that ``usable`` allows.
 
-    At most about ``max_docs_per_language`` documents of a language are read, the documented bound
-    of the sample; a hash of the text decides which, so copies count as one and reruns agree. Rows
+    At most about ``max_docs_per_language`` different texts of a language are read, the documented bound
+    of the sample, and all if it has no more; a hash of the text decides which, so reruns agree. Copies count as one text. Rows
     with a null label are never used; without any usable row the model knows no language.
     Counting happens in the tasks; only bucket counts reach the driver, at most languages x 2**15 sums.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text")).where(
         usable & F.col(lang).isNotNull() & F.col(text).isNotNull()
     )
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    # Two hashes tell texts apart; the texts themselves stay where they are until they are drawn.
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "twin": F.xxhash64(F.lit(1), "text")})
+    texts = stage(rows.select("lang", "hash", "twin").distinct(), "texts")
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return LanguageModel([], np.zeros((1 << BUCKET_BITS, 0)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs_per_language / r["n"]))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < F.element_at(share, F.col("lang")))
+    draw = F.pmod(F.col("hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(draw < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "hash", "twin"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
