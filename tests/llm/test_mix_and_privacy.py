@@ -134,6 +134,17 @@ def test_terms_that_disclose_an_identifier(spark):
     assert sanitise.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_a_term_far_from_its_identifier_counts_and_goes(spark):
+    far = "one two three four five six seven eight nine ten"
+    rows = [(i, f"call {'abcd'[i]}xyz Quillon at q@mail.org now") for i in range(2)]
+    rows += [(i, f"Quillon said {far} then wrote from q@mail.org") for i in range(2, 10)]
+    rows += [(i, f"plain call at noon number {far} then now wrote from said") for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in sanitise.find_personal_data(docs).collect()}
+    assert [got[i].n_term for i in (0, 1, 2, 9, 10)] == [1, 1, 1, 1, 0]
+    assert got[2].spans.startswith("term:0:7,")
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("lang_pred", F.lit("kept as it is"))
     kept = [docs]

@@ -84,20 +84,19 @@ def _value(kind: str, found: str) -> str:
     return f"{kind}:{found.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_DIGIT.findall(found))}"
 
 
-def near_terms(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, list[tuple[int, int]]]]:
-    """(identifier, term, hash of the surroundings, all places of the term in the text) for terms near identifiers.
-
-    Letters inside an identifier are no terms.
-    """
+def terms_outside(text: str, spans: list[Span]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the terms of a text in order. Letters inside an identifier are no terms."""
     words, k = [], 0
     for m in _TERM.finditer(text):
         while k < len(spans) and spans[k][2] <= m.start():
             k += 1
         if not any(s[1] < m.end() and m.start() < s[2] for s in spans[k:k + 4]):
             words.append((m.start(), m.end(), m[0].lower()))
-    places: dict[str, list[tuple[int, int]]] = {}
-    for a, b, term in words:
-        places.setdefault(term, []).append((a, b))
+    return words
+
+
+def near_terms(text: str, spans: list[Span], words: list[tuple[int, int, str]]) -> Iterator[tuple[str, str, int]]:
+    """(identifier, term, hash of the surroundings) for terms near identifiers."""
     at = 0
     for kind, start, end in spans:
         while at < len(words) and words[at][0] < start:
@@ -105,19 +104,26 @@ def near_terms(text: str, spans: list[Span]) -> Iterator[tuple[str, str, int, li
         near = [w[2] for w in words[max(0, at - CONTEXT_WORDS):at + CONTEXT_WORDS]]
         around = int.from_bytes(hashlib.blake2b(" ".join(near).encode(), digest_size=8).digest(), "little", signed=True)
         for term in sorted(set(near)):
-            yield _value(kind, text[start:end]), term, around, places[term]
+            yield _value(kind, text[start:end]), term, around
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     return (t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in batch.column("text"))
 
 
-def _find_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with identifiers: rows with entity, term and surroundings for terms near it, with the entity alone for each, and with term and all its places for each term."""
     for batch in batches:
         out: list[tuple] = []
         for key, text in zip(batch.column("key").to_pylist(), _texts(batch), strict=True):
             if spans := identifiers(text):
-                out.extend((key, *row[:3], show([("term", a, b) for a, b in row[3]])) for row in near_terms(text, spans))
+                words = terms_outside(text, spans)
+                out.extend((key, *row, None) for row in near_terms(text, spans, words))
+                out.extend((key, entity, None, None, None) for entity in sorted({_value(kind, text[a:b]) for kind, a, b in spans}))
+                places: dict[str, list[Span]] = {}
+                for a, b, term in words:
+                    places.setdefault(term, []).append(("term", a, b))
+                out.extend((key, None, term, None, show(at)) for term, at in places.items())
         names = ["key", "entity", "term", "around", "places"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         columns = list(zip(*out, strict=True)) or [()] * len(names)
@@ -140,25 +146,32 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def revealing_terms(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Terms that disclose an identifier: (entity, term, disclosure).
+def revealing_terms(docs: DataFrame, held: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Terms that disclose an identifier, with their places: (key, entity, term, places, disclosure).
 
     With probabilities as shares of all documents, a term discloses the part PMI(entity; term) / IC(entity) of
     the identifier's information content, 1 if it occurs with it alone. A term counts if that part reaches
     ``threshold`` and it stands near the identifier in ``MIN_CONTEXTS`` different surroundings, so words that
-    merely occur once, or are copied along, do not.
+    merely occur once, or are copied along, do not. Nearness only names the candidates: that two occur together
+    is counted over whole documents.
     """
     n = docs.count()
-    together = near.groupBy("entity", "term").agg(
-        F.count_distinct("key").alias("n_both"), F.count_distinct("around").alias("contexts")
-    ).where(F.col("contexts") >= MIN_CONTEXTS)
-    together = stage(together, "together")
-    of_entity = near.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"))
+    near = held.where("entity is not null and term is not null")
+    together = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
+    owners = held.where("term is null").select("key", "entity").distinct()
+    of_entity = owners.groupBy("entity").agg(F.count("*").alias("n_entity"))
     of_term = docs.select("text").mapInArrow(_count_terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    known = together.join(of_entity, "entity").join(of_term, "term")
     content = F.log2(F.lit(n) / F.col("n_entity"))
+    # Neither occurs less often than both: what cannot reach the threshold is left out before documents are looked at.
+    most = F.log2(F.lit(n) / F.greatest("n_entity", "n_term")) / content
+    known = together.join(of_entity, "entity").join(of_term, "term").where((content > 0) & (most >= threshold - 1e-9))
+    known = stage(known.select("entity", "term", "n_entity", "n_term"), "known")
+    terms = held.where("entity is null").select("key", "term", "places").dropDuplicates(["key", "term"])
+    both = stage(terms.join(known, "term").join(owners, ["key", "entity"]), "both")
+    counts = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
     shared = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    return known.withColumn("disclosure", shared / content).where((content > 0) & (F.col("disclosure") >= threshold)).select("entity", "term", "disclosure")
+    told = stage(counts.withColumn("disclosure", shared / content).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "revealing")
+    return both.select("key", "entity", "term", "places").join(told, ["entity", "term"])
 
 
 def find_personal_data(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -170,9 +183,8 @@ def find_personal_data(docs: DataFrame, carry: tuple[str, ...] = (), text: str =
     their spans. All statistics cover all documents.
     """
     rows = docs.select("doc_id", *carry, row_key("doc_id", text).alias("__key"), F.col(text).cast("binary").alias("text"))
-    near = stage(rows.select(F.col("__key").alias("key"), "text").mapInArrow(_find_near, "key bigint, entity string, term string, around bigint, places string"), "near")
-    revealing = stage(revealing_terms(rows, near, threshold), "revealing")
-    told = near.join(revealing.select("entity", "term"), ["entity", "term"])
+    held = stage(rows.select(F.col("__key").alias("key"), "text").mapInArrow(_find_held, "key bigint, entity string, term string, around bigint, places string"), "held")
+    told = revealing_terms(rows, held, threshold)
     terms = told.groupBy(F.col("key").alias("__key")).agg(F.array_join(F.sort_array(F.collect_set("places")), ",").alias("terms"))
     rest = ["doc_id", *carry]
     numbers = [F.lit(0).cast("bigint").alias(f"n_{kind}") for kind in KINDS[:4]]
