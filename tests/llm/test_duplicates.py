@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -106,6 +107,34 @@ def test_winnowing_keeps_its_guarantee():
         assert prints[0] & prints[1]
 
 
+def test_a_whole_passage_goes_where_its_fingerprint_stands_first_in_a_part(spark):
+    draw = random.Random(41)
+
+    def prints(held):
+        _, _, hashes, words = line_dedup.split_lines("\n".join(held).encode())
+        return {g for g, _ in line_dedup.winnow(hashes, words)}
+
+    while True:  # until the block is all that the fingerprints of 2 and 3 have in common
+        passage = lines(draw, 10, 8)
+        one, two, three = lines(draw, 3) + passage[3:7] + lines(draw, 3), *(lines(draw, 2) + passage + lines(draw, 2) for _ in "23")
+        common = prints(two) & prints(three)
+        if len(common) == 1 and common <= prints(one):
+            break
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate((one, two, three), 1)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got[1].n_removed == 0 and got[3].n_removed == 10 and got[3].text == "\n".join(three[:2] + three[-2:])
+
+
+def test_a_longer_match_of_another_distance_is_not_skipped():
+    def match(*at):
+        here, there = [1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 0, 3, 4, 5, 6, 7, 8]
+        row = {"key": 1, "here": here, "there": there, "words": [9] * 8, "here_from": 0, "there_from": 0, "at": [{"pos": p, "other": q} for p, q in at]}
+        (out,) = line_dedup._extend([pa.RecordBatch.from_pylist([row])])
+        return [(r["first"], r["last"]) for r in out.to_pylist()]
+
+    assert match((0, 0), (2, 5)) == [(0, 3), (2, 7)] and match((0, 0), (1, 1)) == [(0, 3)]
+
+
 def plain_chain_score(pos, other):
     """Best chain score by trying all predecessors."""
     order = sorted(zip(pos, other))

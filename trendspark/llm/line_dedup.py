@@ -92,9 +92,9 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, firsts, lasts = [], [], []
         for row in batch.to_pylist():
             here, there, words = np.array(row["here"]), np.array(row["there"]), row["words"]
-            covered = -1
+            covered: dict[int, int] = {}  # by distance of the two places: another match may reach further
             for pos, other in sorted((m["pos"], m["other"]) for m in row["at"]):
-                if pos <= covered:
+                if pos <= covered.get(other - pos, -1):
                     continue
                 i, j = pos - row["here_from"], other - row["there_from"]
                 back = min(i, j)
@@ -104,21 +104,54 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = here[i:i + ahead] == there[j:j + ahead]
                 ahead = ahead if same.all() else int(same.argmin())
                 if sum(words[i - back:i + ahead]) >= GRAM_WORDS:
-                    covered = pos + ahead - 1
+                    covered[other - pos] = pos + ahead - 1
                     keys.append(row["key"])
                     firsts.append(pos - back)
-                    lasts.append(covered)
+                    lasts.append(pos + ahead - 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["key", "first", "last"]
         )
 
 
+def windows(hashes: np.ndarray, words: np.ndarray, at: list[int]) -> list[tuple[int, int, int]]:
+    """(hash, first line, last line) of the shortest runs from and up to each line with ``WINDOW_WORDS`` words that hold a line of ``at``."""
+    ends = np.concatenate(([0], np.cumsum(words)))
+    after = np.searchsorted(ends, ends[:-1] + WINDOW_WORDS)
+    start = np.searchsorted(ends, ends[1:] - WINDOW_WORDS, side="right") - 1
+    n, marks, data = len(hashes), np.array(sorted(at)), hashes.tobytes()
+    spans = {(i, int(j)) for i, j in enumerate(after) if j <= n} | {(int(i), j + 1) for j, i in enumerate(start) if i >= 0}
+    held = [(i, j) for i, j in sorted(spans) if np.searchsorted(marks, i) < np.searchsorted(marks, j)]
+    return [(xxhash.xxh64_intdigest(data[8 * i:8 * j]), i, j - 1) for i, j in held]
+
+
+def _window_table(marked: DataFrame) -> DataFrame:
+    """(key, doc_id, window, pos, last) of the windows around the marked lines."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                hashes, words, at = (batch.column(c)[row].as_py() for c in ("hashes", "words", "at"))
+                found = windows(np.array(hashes, np.int64), np.array(words, np.int64), at)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(batch.column("key")[row], len(found)), pa.repeat(batch.column("doc_id")[row], len(found)),
+                        pa.array(np.array([h for h, _, _ in found], np.uint64).view(np.int64)),
+                        pa.array([i for _, i, _ in found], pa.int32()), pa.array([j for _, _, j in found], pa.int32()),
+                    ],
+                    names=["key", "doc_id", "window", "pos", "last"],
+                )
+
+    kind = dict(marked.dtypes)["doc_id"]
+    return marked.select("key", "doc_id", "hashes", "words", "at").mapInArrow(work, f"key bigint, doc_id {kind}, window bigint, pos int, last int")
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """The runs of lines that occurred before: (key, runs), for documents that have any.
 
     ``docs`` has (key, doc_id, text as bytes). Of all places with one fingerprint the first, by doc_id (null
     last), key and line, is matched with each of the others, never the others among themselves.
     A match is extended line by line in both directions; the later side is a run if it has ``GRAM_WORDS`` words.
+    The first holder of a fingerprint need not hold what surrounds it, so around repeated fingerprints all runs of
+    ``WINDOW_WORDS`` words are looked up as well, each by its own first place.
     Lines count without the blank ones.
     """
     table = stage(_line_table(docs), "lines")
@@ -129,7 +162,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         .select("gram", place.alias("place"))
     )
     firsts = prints.groupBy("gram").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = prints.join(stage(firsts, "firsts"), "gram").where(F.col("place") > F.col("first"))
+    firsts = stage(firsts, "firsts")
+    found = prints.join(firsts, "gram").where(F.col("place") > F.col("first"))
     pairs = stage(
         found.groupBy(
             F.col("place.key").alias("key"), F.col("place.size").alias("size"),
@@ -156,6 +190,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         "key", "at", "here_from", "there_from", "there", part("hashes", "here").alias("here"), part("words", "here").alias("words")
     )
     runs = rows.mapInArrow(_extend, "key bigint, first int, last int")
+    marks = prints.join(firsts.select("gram"), "gram").groupBy(F.col("place.key").alias("key")).agg(F.collect_set("place.pos").alias("at"))
+    around = stage(_window_table(table.select("key", "doc_id", "hashes", "words").join(marks, "key")), "windows")
+    spot = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "pos")
+    spots = around.select("window", "key", "pos", "last", spot.alias("spot"))
+    earliest = spots.groupBy("window").agg(F.min("spot").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = spots.join(stage(earliest, "earliest"), "window").where(F.col("spot") > F.col("earliest"))
+    runs = runs.union(again.select("key", F.col("pos").alias("first"), "last"))
     return runs.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
