@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendspark.llm import (
-    byte_bpe, chat_format, language_id, line_dedup, mixing, passage_dedup, quality_rules, sanitise, simhash, vector_neardup,
+    byte_bpe, chat_format, collocations, language_id, line_dedup, mixing, passage_dedup, quality_rules, sanitise, simhash, vector_neardup,
 )
 from trendspark.llm.common import read, row_key
 
@@ -94,11 +94,17 @@ def op10_vector_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return vector_neardup.near_duplicate_vectors(read(spark, sf, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return collocations.collocations(read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_shared_passages, op3_quality_rules, op4_chat_format, op5_line_dedup,
         op6_personal_data, op7_source_mix, op8_simhash_neardup, op9_byte_bpe, op10_vector_neardup,
+        op13_collocations,
     )
 }
 
@@ -180,4 +186,49 @@ SELECT vec_id, CAST((SELECT count(*) FROM links WHERE a = vec_id) AS BIGINT) AS
 FROM v
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": _QUALITY, "op4_chat_format": _CHAT, "op10_vector_neardup": _VECTORS}
+# Grams of one to three words counted outright, without a graph.
+_PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rid,
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS parts
+    FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(unnest(parts), '[^\x20\x09]+') AS words FROM pieces),
+placed AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded),
+grams AS (
+    SELECT lang, unnest([1, 2, 3]) AS k, i, words FROM placed
+),
+counts AS (
+    SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS gram, count(*) AS f FROM grams WHERE i + k - 1 <= len(words)
+    GROUP BY ALL
+),
+cand AS (
+    SELECT lang, k, gram, f AS a, string_split(gram, ' ') AS w FROM counts WHERE k > 1 AND f >= 10
+),
+cuts AS (
+    SELECT c.*, j, array_to_string(w[1:j], ' ') AS front, array_to_string(w[j + 1:], ' ') AS back
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+),
+weighed AS (
+    SELECT c.lang, c.gram, c.a, c.j, x.f AS l, y.f AS r,
+        CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.gram = c.front JOIN counts y ON y.lang = c.lang AND y.gram = c.back
+),
+weakest AS (SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, j) = 1),
+covered AS (
+    SELECT DISTINCT s.lang, s.gram FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS gram FROM cand WHERE k = 3
+    ) s JOIN cand c ON c.lang = s.lang AND c.gram = s.gram WHERE 100 * s.a >= 50 * c.a
+),
+ranked AS (
+    SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.gram) AS rank, w.gram AS phrase, a, l, r, score
+    FROM weakest w LEFT JOIN covered v ON v.lang = w.lang AND v.gram = w.gram WHERE v.gram IS NULL
+),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": _QUALITY, "op4_chat_format": _CHAT, "op10_vector_neardup": _VECTORS,
+    "op13_collocations": _PHRASES,
+}
