@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendspark.llm import (
-    byte_bpe, chat_format, collocations, language_id, line_dedup, mixing, passage_dedup, quality_rules, sanitise, simhash, vector_neardup,
+    byte_bpe, chat_format, collocations, language_id, line_dedup, manifest, mixing, passage_dedup, quality_rules, sanitise, simhash, vector_neardup,
 )
 from trendspark.llm.common import read, row_key
 
@@ -94,6 +94,17 @@ def op10_vector_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return vector_neardup.near_duplicate_vectors(read(spark, sf, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and proof of every document; part of them checked with the line breaks taken out of their text."""
+    docs = read(spark, sf, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    seen = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proven = manifest.manifest(docs, manifest.leaf_digest([*fields, F.col("text")]), manifest.leaf_digest([*fields, seen]))
+    folded = proven.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest("path").alias("proof_sha256"), manifest.fold("path", "claimed").alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     """The strongest phrases of each language."""
     return collocations.collocations(read(spark, sf, "documents"))
@@ -104,7 +115,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_id, op2_shared_passages, op3_quality_rules, op4_chat_format, op5_line_dedup,
         op6_personal_data, op7_source_mix, op8_simhash_neardup, op9_byte_bpe, op10_vector_neardup,
-        op13_collocations,
+        op11_merkle_manifest, op13_collocations,
     )
 }
 
@@ -186,6 +197,72 @@ SELECT vec_id, CAST((SELECT count(*) FROM links WHERE a = vec_id) AS BIGINT) AS
 FROM v
 """
 
+# CRC-32 bit by bit; the tree level by level; the claimed leaves folded step by step.
+_MANIFEST = r"""
+WITH RECURSIVE marked AS (
+    SELECT *, coalesce((list_reduce(
+        list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+        lambda s, b: list_reduce(
+            list_prepend(xor(s, b), CAST(range(8) AS UBIGINT[])),
+            lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS UBIGINT)) ELSE x // 2 END
+        )
+    ) % 2) = 1, false) AS tampered FROM documents
+),
+parts AS (
+    SELECT doc_id, source, text, tampered,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        replace(text, chr(10), '') AS bare
+    FROM marked
+),
+leaves AS (
+    SELECT row_number() OVER () AS rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || CASE WHEN tampered THEN coalesce(strlen(bare) || ':' || bare, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS claimed
+    FROM parts
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+    FROM leaves
+),
+tree(source, level, pos, digest, n) AS (
+    SELECT source, 0, pos, leaf, n FROM placed
+    UNION ALL
+    SELECT source, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tree WHERE n > 1
+    GROUP BY source, level, pos // 3, n
+),
+subroots AS (
+    SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+),
+top(level, pos, digest, n) AS (
+    SELECT 0, pos, subroot, n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3, n
+),
+steps AS (
+    SELECT p.rid, t.level, coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (WHERE t.pos < p.pos // CAST(3 ** t.level AS BIGINT)), '') AS lefts,
+        coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (WHERE t.pos > p.pos // CAST(3 ** t.level AS BIGINT)), '') AS rights
+    FROM placed p JOIN tree t ON t.source IS NOT DISTINCT FROM p.source AND t.n > 1 AND t.pos // 3 = p.pos // CAST(3 ** (t.level + 1) AS BIGINT)
+    GROUP BY p.rid, t.level
+    UNION ALL
+    SELECT p.rid, 100 + t.level, coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (WHERE t.pos < s.pos // CAST(3 ** t.level AS BIGINT)), ''),
+        coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (WHERE t.pos > s.pos // CAST(3 ** t.level AS BIGINT)), '')
+    FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+    JOIN top t ON t.n > 1 AND t.pos // 3 = s.pos // CAST(3 ** (t.level + 1) AS BIGINT)
+    GROUP BY p.rid, t.level
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level) AS no FROM steps),
+folded(rid, no, digest) AS (
+    SELECT rid, 0, claimed FROM placed
+    UNION ALL
+    SELECT f.rid, f.no + 1, sha256(s.lefts || f.digest || s.rights) FROM folded f JOIN numbered s ON s.rid = f.rid AND s.no = f.no + 1
+),
+proofs AS (SELECT rid, string_agg(lefts || rights, '' ORDER BY no) AS proof FROM numbered GROUP BY rid)
+SELECT p.doc_id, p.leaf, s.subroot, r.digest AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN (SELECT digest FROM top WHERE n = 1) r ON true
+LEFT JOIN proofs q ON q.rid = p.rid
+JOIN folded f ON f.rid = p.rid AND f.no = (SELECT count(*) FROM numbered b WHERE b.rid = p.rid)
+"""
+
 # Grams of one to three words counted outright, without a graph.
 _PHRASES = r"""
 WITH pieces AS (
@@ -230,5 +307,5 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": _QUALITY, "op4_chat_format": _CHAT, "op10_vector_neardup": _VECTORS,
-    "op13_collocations": _PHRASES,
+    "op11_merkle_manifest": _MANIFEST, "op13_collocations": _PHRASES,
 }
