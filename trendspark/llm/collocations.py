@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote_plus
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trendspark.llm.common import raw
 from trendspark.session import stage
 
 UNKNOWN = "und"
@@ -14,29 +20,57 @@ MIN_COUNT = 10
 COVERED = 50  # per cent of a phrase's places that a longer candidate must hold to replace it
 TOP = 2_000
 SPREAD = 64  # parts of a language that are cut to the top before it is ranked as a whole
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
+HELD = 1 << 19  # different grams that a task adds up before it hands them on; it bounds memory, not results
+# Lower-cases A-Z, makes every end of a piece a line feed and every tab a space.
+_FOLD = bytes.maketrans(
+    string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 9 + b" "
+)
+
+
+def _key(k: int, lang: str) -> str:
+    return f"{k}{quote_plus(lang)}\t"
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (lang, text) to (key, f): what a task has seen of each gram, added up as long as memory allows."""
+    held: dict[tuple[int, str], Counter] = {}
+    size = 0
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for (k, lang), counter in held.items():
+            grams = pa.array(counter.keys(), pa.binary())
+            keys = pc.binary_join_element_wise(pa.scalar(_key(k, lang).encode(), pa.binary()), grams, pa.scalar(b"", pa.binary()))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counter.values(), pa.int64())], names=["key", "f"])
+        held.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+            lang, data = lang.as_py(), text.as_py().decode("utf-8", "replace").encode("utf-8")
+            counters = [held.setdefault((k, lang), Counter()) for k in range(1, LONGEST + 1)]
+            size -= sum(map(len, counters))
+            for piece in data.translate(_FOLD).split(b"\n"):
+                words = piece.split()
+                counters[-1].update(map(b" ".join, zip(*[words[i:] for i in range(LONGEST)])))
+                for k in range(1, min(LONGEST, len(words) + 1)):
+                    counters[k - 1][b" ".join(words[-k:])] += 1
+            size += sum(map(len, counters))
+            if size > HELD:
+                yield from hand_on()
+                size = 0
+    yield from hand_on()
 
 
 def graph_flow(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Edges and ends of the graph: (lang, k, gram, f), each different one once.
+    """Edges and ends of the graph: (key, f), each different one once.
 
     A piece of m words gives one gram per word: the LONGEST words from there on, or what is left of
     them. The full ones are edges, which lead from the node of their first words to that of their last; the shorter
     ones are the piece-end corrections, since the flow of a node that ends a piece leaves by no edge.
-    A-Z are lower-cased; null texts count as empty, a null language as ``und``.
+    A key is the number of words, the quoted language, a tab and the words with one space between.
+    A-Z are lower-cased; null texts count as empty, a null language as ``und``. Tasks add up before the shuffle.
     """
-    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    pieces = docs.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.explode(F.split(lowered, PIECE_END)).alias("piece")
-    )
-    trimmed = pieces.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    words = trimmed.select("lang", F.split("piece", "[ \\t]+").alias("words"))
-    gram = lambda i: F.concat_ws(" ", F.slice("words", i, LONGEST))
-    grams = words.select(
-        "lang", F.size("words").alias("m"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words")), gram)).alias("i", "gram")
-    )
-    k = F.least(F.col("m") - F.col("i"), F.lit(LONGEST)).alias("k")
-    return grams.select("lang", k, "gram").groupBy("lang", "k", "gram").agg(F.count("*").alias("f"))
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), raw(text).alias("text"))
+    return rows.mapInArrow(_grams, "key string, f bigint").repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
 
 
 def _first(gram: str | Column, k: int) -> Column:
@@ -55,26 +89,32 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text: str = "text
     the empty gram (k = 0) gets the number of words. ``leaving`` and ``arriving`` are the largest counts of a frequent
     gram one word longer that begins or ends with the gram. Grams below ``min_count`` are left out once their flow is passed on.
     """
-    flow = graph_flow(docs, text, lang).withColumns({"leaving": F.lit(0).cast("bigint"), "arriving": F.lit(0).cast("bigint")})
     none = F.lit(0).cast("bigint")
+    flow = graph_flow(docs, text, lang).withColumns({"leaving": none, "arriving": none})
+    f, frequent, place = F.col("f"), F.col("f") >= min_count, F.substring_index("key", "\t", 1)
 
-    def row(k: int, gram: Column | str, f: Column, leaving: Column, arriving: Column) -> Column:
-        gram = F.col(gram) if isinstance(gram, str) else gram
-        return F.struct(F.lit(k).alias("k"), gram.alias("gram"), f.alias("f"), leaving.alias("leaving"), arriving.alias("arriving"))
+    def row(key: Column, f: Column, leaving: Column, arriving: Column) -> Column:
+        return F.struct(key.alias("key"), f.alias("f"), leaving.alias("leaving"), arriving.alias("arriving"))
+
+    def level(k: int, key: Column) -> Column:
+        return F.concat(F.lit(str(k)), F.substring(key, 2, 1 << 30))
 
     for k in range(LONGEST, 0, -1):
-        f, frequent = F.col("f"), F.col("f") >= min_count
-        same = F.struct("k", "gram", "f", "leaving", "arriving")
-        down = row(k - 1, _first("gram", k - 1), f, F.when(frequent, f).otherwise(none), none)
+        same = F.struct("key", "f", "leaving", "arriving")
+        begin = level(k - 1, _first("key", k - 1)) if k > 1 else F.concat(level(0, place), F.lit("\t"))
+        down = row(begin, f, F.when(frequent, f).otherwise(none), none)
+        shared = [same, down]
         if k > 1:
-            shared = F.array(same, down, row(k - 1, _last("gram", k - 1), none, none, f))
-        else:
-            shared = F.array(same, down)
-        handed = F.when(F.col("k") != k, F.array(same)).when(frequent, shared).otherwise(F.array(down))
-        flow = flow.select("lang", F.explode(handed).alias("g")).select("lang", "g.*").groupBy("lang", "k", "gram").agg(
+            shared.append(row(F.concat(level(k - 1, place), F.lit("\t"), _last("key", k - 1)), none, none, f))
+        handed = F.when(~F.startswith("key", F.lit(str(k))), F.array(same)).when(frequent, F.array(*shared)).otherwise(F.array(down))
+        flow = flow.select(F.explode(handed).alias("g")).select("g.*").groupBy("key").agg(
             F.sum("f").alias("f"), F.max("leaving").alias("leaving"), F.max("arriving").alias("arriving")
         )
-    return stage(flow, "grams")
+    told = flow.select(
+        F.url_decode(F.substring(place, 2, 1 << 30)).alias("lang"), F.substring("key", 1, 1).cast("int").alias("k"),
+        F.substring_index("key", "\t", -1).alias("gram"), "f", "leaving", "arriving",
+    )
+    return stage(told, "grams")
 
 
 def unary_paths(counts: DataFrame) -> DataFrame:

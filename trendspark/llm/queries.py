@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendspark.llm import (
-    byte_bpe, chat_format, collocations, language_id, line_dedup, manifest, mixing, passage_dedup, quality_rules, sanitise, simhash, vector_neardup,
+    byte_bpe, chat_format, collocations, language_id, line_dedup, manifest, mixing, passage_dedup, quality_rules, sanitise, simhash, toxicity, vector_neardup,
 )
 from trendspark.llm.common import read, row_key
 
@@ -105,6 +105,11 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """How likely every document is toxic, learned from the labels that are not held out."""
+    return toxicity.judge(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     """The strongest phrases of each language."""
     return collocations.collocations(read(spark, sf, "documents"))
@@ -115,7 +120,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_language_id, op2_shared_passages, op3_quality_rules, op4_chat_format, op5_line_dedup,
         op6_personal_data, op7_source_mix, op8_simhash_neardup, op9_byte_bpe, op10_vector_neardup,
-        op11_merkle_manifest, op13_collocations,
+        op11_merkle_manifest, op12_toxicity, op13_collocations,
     )
 }
 
