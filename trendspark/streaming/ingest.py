@@ -31,8 +31,7 @@ def snapshot_stream(raw: DataFrame, schema: T.StructType = SNAPSHOT_SCHEMA) -> D
 def dedup_stream(df: DataFrame, keys: Sequence[str], time_col: str, delay: str) -> DataFrame:
     """First row per key; keys are remembered until the watermark has passed them by ``delay``.
 
-    Batch cleaning keeps the last row per key, so a table fed by this stream needs no more than
-    that step to agree with it.
+    Batch cleaning keeps the last row per key: see ``settle`` for a table that does.
     """
     return df.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(keys))
 

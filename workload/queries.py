@@ -23,7 +23,8 @@ from trendspark.sources.warehouse import (
     append_aligned, evolve_schema, export_sample, load_summary, load_training_rows, read_table, write_predictions,
     write_splits,
 )
-from trendspark.streaming.ingest import coverage_stream, file_stream, ingest_stream, run_to_table
+from trendspark.streaming.ingest import coverage_stream, file_stream, ingest_stream, run_to_table, snapshot_stream
+from trendspark.streaming.settle import BATCH, compact, ingest_changes, ingest_keep_last, latest
 
 from . import oracle_parts as sql
 from .tables import AS_OF, KEEP, examples, map_snapshots, now, predictions, read, scored, snapshots, with_texts
@@ -1583,3 +1584,60 @@ def _(spark, sf):
     )
     df = spark.read.parquet(sink)
     return df.select(F.unix_seconds("window_start").alias("day"), "event_type", "total", "with_value", "ge_5", "ge_50")
+
+
+# Raw names of the landed snapshots, each an alias of a canonical column; dates and counts as text.
+LANDED = {
+    "videoId": "video_id", "title": "title", "publishedAt": "publish_time", "trendingDate": "snapshot_date", "region": "country",
+    "viewCount": "view_count", "likeCount": "like_count", "commentCount": "commentCount", "rank": "daily_rank",
+    "source": "source", "data_source": "data_source",
+}
+SNAPSHOT_ORDER = ("publishedAt", "viewCount", "likeCount", "commentCount", "rank", "source", "data_source", "title")
+SNAPSHOT_SHOWN = ("videoId", "region", "viewCount", "likeCount", "commentCount", "rank", "source", "title")
+
+
+@query(
+    "compacted_ingest",
+    f"""WITH {sql.SNAPSHOTS}
+        SELECT {", ".join(f'"{c}"' for c in SNAPSHOT_SHOWN)}, epoch_us("trendingDate") AS trending FROM (
+            SELECT *, row_number() OVER (PARTITION BY "videoId", "trendingDate", region
+                ORDER BY {", ".join(f'"{c}" DESC NULLS LAST' for c in SNAPSHOT_ORDER)}) AS rn
+            FROM snapshots WHERE "viewCount" >= 100) WHERE rn = 1""",
+)
+def _(spark, sf):
+    base = snapshots(spark, sf)
+    raw = base.select(*[F.col(c).cast("string").alias(name) for c, name in LANDED.items()], F.col("snapshot_key"))
+    landing, table, progress = (new_folder(spark, label) for label in ("landing", "table", "progress"))
+    keys = ["videoId", "trendingDate", "region"]
+    half = uniform("snapshot_key", "landed") < 0.5
+    # Two landings, each in several micro-batches; the second brings a part of the first again, later than what it holds.
+    for landed in (raw.where(half), raw.where(~half | (uniform("snapshot_key", "again") < 0.3))):
+        landed.drop("snapshot_key").write.mode("append").parquet(landing)
+        stream = snapshot_stream(file_stream(spark, landing, raw.drop("snapshot_key").schema, files_per_trigger=3))
+        ingest_keep_last(stream, table, progress, keys, SNAPSHOT_ORDER, keep=lambda df: df.where("viewCount >= 100"))
+        compact(spark, table, keys, SNAPSHOT_ORDER, F.date_format("trendingDate", "yyyy-MM"))
+    rows = latest(spark, table, keys, SNAPSHOT_ORDER)
+    return rows.select(*SNAPSHOT_SHOWN, F.unix_micros("trendingDate").alias("trending"))
+
+
+@query(
+    "streamed_coverage_with_late_rows",
+    """SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS day, event_type, count(*) AS total, count(value) AS with_value,
+        count(*) FILTER (value >= 5) AS ge_5, count(*) FILTER (value >= 50) AS ge_50 FROM events GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    events = read(spark, sf, "events").withColumns({"day": F.to_date("ts"), "slow": uniform("event_id", "slow") < 0.1})
+    first, last = events.agg(F.min("day"), F.max("day")).first()
+    third = (last - first).days // 3 + 1
+    held = F.floor(F.date_diff("day", F.lit(first)) / third) + F.when(F.col("slow"), 1).otherwise(0)
+    landing, table, progress = (new_folder(spark, label) for label in ("landing", "table", "progress"))
+    schema = read(spark, sf, "events").schema
+    # A file a day, in three landings; a tenth of the rows comes one landing late, which the watermark still allows. The last
+    # landing repeats the first days, by then too late to count.
+    too_late = events.where(F.col("day") < F.date_add(F.lit(last), -(2 * third + 3)))
+    for landed in (*[events.where(held == k) for k in range(3)], events.where(held >= 3), too_late):
+        landed.repartition("day").drop("day", "slow").write.mode("append").parquet(landing)
+        rows = file_stream(spark, landing, schema, files_per_trigger=4).withColumn("ts", F.col("ts").cast("timestamp"))
+        ingest_changes(coverage_stream(rows, "ts", "event_type", "value", (5, 50), delay=f"{2 * third + 1} days"), table, progress)
+    done = latest(spark, table, ["window_start", "event_type"], [BATCH])
+    return done.select(F.unix_seconds("window_start").alias("day"), "event_type", "total", "with_value", "ge_5", "ge_50")
