@@ -80,7 +80,7 @@ def test_quantiles_match_pandas(spark, monkeypatch, crowded):
     })
     pdf.loc[::10, "a"] = np.nan
     probs = (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
-    got = quantiles.exact_quantiles(spark.createDataFrame(pdf).repartition(4), list("abcd"), probs, accuracy=2000)
+    got = quantiles.exact_quantiles(spark.createDataFrame(pdf).repartition(4), list("abcd"), probs)
     for c in "abc":
         np.testing.assert_allclose(got[c], pdf[c].quantile(probs), rtol=1e-12)
     assert got["d"] == [None] * 6

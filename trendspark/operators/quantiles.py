@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sketches import ERROR, Sketches
+
 # A bracket with more values than this is narrowed before its values are put in order.
 CROWDED = 2_000_000
 
@@ -21,31 +23,20 @@ def as_number(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Per column its quantiles in the order of ``probs``; None for a column without values.
 
-    Linear interpolation between neighbours, missing values left out. Four narrow scans: the values are
-    counted, bracketed by a sketch, counted by bracket, and those inside a bracket, about ``6 / accuracy`` of them,
-    are grouped and put in order.
+    Linear interpolation between neighbours, missing values left out. Three narrow scans: the values are counted and
+    sketched, counted by bracket, and those inside a bracket, a few in a hundred at most, are
+    grouped and put in order. Brackets are checked by their counts, so the answer does not hang on the sketch.
     """
     numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(cols)])
-    counts = numbers.agg(*[F.count(f"v{i}") for i in range(len(cols))]).first()
+    sketches = Sketches(numbers, {f"v{i}": "double" for i in range(len(cols))})
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    known = [i for i in range(len(cols)) if counts[i]]
-    if not known:
-        return out
-
-    def marks(n: int) -> list[float]:
-        # The error of the sketch, and the two places that a quantile lies between.
-        slack = 3.0 / accuracy + 2.0 / n
-        return [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-
-    row = numbers.agg(*[F.percentile_approx(f"v{i}", marks(counts[i]), accuracy) for i in known]).first()
-    sketch = {i: (counts[i], row[k]) for k, i in enumerate(known)}
-    for (i, j), value in _from_brackets(numbers, probs, sketch, accuracy).items():
-        out[cols[i]][j] = value
+    known = [i for i in range(len(cols)) if sketches.counts[f"v{i}"]]
+    if known:
+        for (i, j), value in _from_brackets(numbers, probs, sketches, known).items():
+            out[cols[i]][j] = value
     return out
 
 
@@ -70,44 +61,68 @@ def _count(numbers: DataFrame, regions: Sequence[_Region]) -> None:
         r.below, r.inside = row[k], row[len(regions) + k]
 
 
-def _narrowed(numbers: DataFrame, r: _Region, places: Sequence[float], accuracy: int) -> _Region:
-    """A smaller region that still holds the values at ``places``."""
-    slack = 3.0 / accuracy
-    first = max(0.0, (min(places) - r.below) / r.inside - slack)
-    last = min(1.0, (max(places) + 1 - r.below) / r.inside + slack)
-    values = numbers.where(F.col(f"v{r.col}").between(r.lo, r.hi))
-    lo, hi = values.agg(F.percentile_approx(f"v{r.col}", [first, last], accuracy)).first()[0]
-    return _Region(r.col, lo, hi)
+def _narrowed(numbers: DataFrame, r: _Region, places: Sequence[float]) -> _Region:
+    """A smaller region that in all likelihood still holds the values at ``places``."""
+    name = f"v{r.col}"
+    inner = Sketches(numbers.where(F.col(name).between(r.lo, r.hi)).select(name), {name: "double"})
+    first = max(0.0, (min(places) - r.below) / r.inside - ERROR)
+    last = min(1.0, (max(places) + 1 - r.below) / r.inside + ERROR)
+    return _Region(r.col, *inner.quantiles({name: [first, last]})[name])
 
 
-def _from_brackets(
-    numbers: DataFrame, probs: Sequence[float], sketch: dict[int, tuple[int, Sequence[float]]], accuracy: int
-) -> dict[tuple[int, int], float]:
-    """Quantile j of column i from the values in the brackets that the sketch puts around it."""
-    # Overlapping brackets become one region.
+def _brackets(probs: Sequence[float], sketches: Sketches, known: Sequence[int], wider: int) -> tuple[list[_Region], dict[tuple[int, int], int]]:
+    """Regions round the wanted quantiles, and which region is that of quantile j of column i."""
+    shares = {}
+    for i in known:
+        # The error of the sketch, and the two places that a quantile lies between.
+        slack = wider * (ERROR + 2.0 / sketches.counts[f"v{i}"])
+        shares[f"v{i}"] = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    found = sketches.quantiles(shares)
     regions: list[_Region] = []
     home: dict[tuple[int, int], int] = {}
-    for i, (_, near) in sketch.items():
+    for i in known:
+        near = found[f"v{i}"]
         for j in sorted(range(len(probs)), key=lambda j: near[2 * j]):
             lo, hi = near[2 * j], near[2 * j + 1]
+            # Overlapping brackets become one region.
             if regions and regions[-1].col == i and lo <= regions[-1].hi:
                 regions[-1].hi = max(hi, regions[-1].hi)
             else:
                 regions.append(_Region(i, lo, hi))
             home[i, j] = len(regions) - 1
-    wanted = [(i, j, probs[j] * (sketch[i][0] - 1)) for i, j in home]
-    _count(numbers, regions)
-
-    # A crowded region is sketched again. One that stays crowded is full of equal values, which the
-    # grouping below folds up before anything is shuffled.
-    for _ in range(2):
-        crowded = [k for k, r in enumerate(regions) if r.inside > CROWDED and r.lo < r.hi]
-        if not crowded:
+    return regions, home
+
+
+def _holds(r: _Region, places: Sequence[float], n: int) -> bool:
+    """Whether the region has the values on both sides of all places."""
+    return r.below <= int(min(places)) and min(int(max(places)) + 1, n - 1) < r.below + r.inside
+
+
+def _from_brackets(numbers: DataFrame, probs: Sequence[float], sketches: Sketches, known: Sequence[int]) -> dict[tuple[int, int], float]:
+    """Quantile j of column i from the values in the brackets that the sketch puts around it."""
+    counts = {i: sketches.counts[f"v{i}"] for i in known}
+    wider = 1
+    while True:
+        regions, home = _brackets(probs, sketches, known, wider)
+        wanted = [(i, j, probs[j] * (counts[i] - 1)) for i, j in home]
+        places = [[place for i, j, place in wanted if home[i, j] == k] for k in range(len(regions))]
+        _count(numbers, regions)
+        if all(_holds(r, places[k], counts[r.col]) for k, r in enumerate(regions)):
             break
-        for k in crowded:
-            places = [place for i, j, place in wanted if home[i, j] == k]
-            regions[k] = _narrowed(numbers, regions[k], places, accuracy)
-        _count(numbers, [regions[k] for k in crowded])
+        wider *= 4
+
+    # A crowded region is sketched again until it is small or full of equal values, which the grouping below
+    # folds up before anything is shuffled.
+    crowded = {k for k, r in enumerate(regions) if r.inside > CROWDED and r.lo < r.hi}
+    while crowded:
+        smaller = {k: _narrowed(numbers, regions[k], places[k]) for k in crowded}
+        _count(numbers, list(smaller.values()))
+        for k, r in smaller.items():
+            whole = regions[k].inside
+            if _holds(r, places[k], counts[r.col]):
+                regions[k] = r
+            if regions[k].inside <= CROWDED or r.lo == r.hi or 2 * r.inside > whole:
+                crowded.discard(k)
     below = [r.below for r in regions]
 
     def region_of(i: int) -> Column:
@@ -118,7 +133,7 @@ def _from_brackets(
         return out
 
     tagged = numbers.select(
-        F.inline(F.array(*[F.struct(region_of(i).alias("r"), F.col(f"v{i}").alias("v")) for i in sketch]))
+        F.inline(F.array(*[F.struct(region_of(i).alias("r"), F.col(f"v{i}").alias("v")) for i in known]))
     ).where("r is not null")
     counted = tagged.groupBy("r", "v").agg(F.count("*").alias("c"))
     placed = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("r").orderBy("v")))
@@ -131,7 +146,7 @@ def _from_brackets(
     picks = []
     for i, j, place in wanted:
         picks.append(value_at(home[i, j], int(place)))
-        picks.append(value_at(home[i, j], min(int(place) + 1, sketch[i][0] - 1)))
+        picks.append(value_at(home[i, j], min(int(place) + 1, counts[i] - 1)))
     found = placed.agg(*picks).first()
     out = {}
     for k, (i, j, place) in enumerate(wanted):

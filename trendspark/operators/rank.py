@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import hex_number, key_hash
 from ..session import shuffle_width, stage
 from .quantiles import as_number
+from .sketches import Sketches, folded
 
 # Helper columns start with "__rk", to stay clear of the caller's names.
 
@@ -58,10 +59,8 @@ def rank_cuts(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[float, int]]
     n_cuts = _cut_count(df)
     marks = [(i + 1) / n_cuts for i in range(n_cuts - 1)]
     numbers = df.select(*[_rank_value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
-    row = numbers.agg(
-        *[F.percentile_approx(f"v{i}", marks, max(1000, 4 * n_cuts)) for i in range(len(cols))]
-    ).first()
-    return {c: dict(sorted(Counter(row[i] or ()).items())) for i, c in enumerate(cols)}
+    found = Sketches(numbers, dict(numbers.dtypes)).quantiles({name: marks for name in numbers.columns})
+    return {c: dict(sorted(Counter(found.get(f"v{i}", ())).items())) for i, c in enumerate(cols)}
 
 
 @dataclass(frozen=True)
@@ -131,7 +130,7 @@ def _with_bucket(df: DataFrame, col: str, ordinal: bool, i: int, cuts: dict[floa
     v, at, b, p = (F.col(f"__rk{i}_{x}") for x in ("v", "at", "b", "p"))
     base = df.withColumn(f"__rk{i}_v", _rank_value(df, col))
     if cuts:
-        edges = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{dict(base.dtypes)[f'__rk{i}_v']}>")
+        edges = folded(list(cuts), dict(base.dtypes)[f"__rk{i}_v"])
         base = base.withColumn(f"__rk{i}_at", _place(edges, v, len(cuts)))
         on_cut = F.coalesce(F.get(edges, at) == v, F.lit(False))
     else:
@@ -142,7 +141,7 @@ def _with_bucket(df: DataFrame, col: str, ordinal: bool, i: int, cuts: dict[floa
     base = base.withColumn(f"__rk{i}_b", F.coalesce(bucket, F.lit(-1))).drop(f"__rk{i}_at")
     slice_ = F.lit(None).cast("bigint")
     if ordinal and cuts:
-        slices = F.get(F.array(*[F.lit(n) for n in cuts.values()]), F.floor(b / 2).cast("int"))
+        slices = F.get(folded(list(cuts.values()), "bigint"), F.floor(b / 2).cast("int"))
         share = hex_number(F.col("__rk_h"), SLICE_DIGITS) / F.lit(float(16 ** SLICE_DIGITS))
         slice_ = F.when(b % 2 == 1, F.floor(share * slices))
     return base.withColumn(f"__rk{i}_p", F.coalesce(slice_, F.lit(0).cast("bigint")))
