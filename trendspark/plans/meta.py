@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -18,6 +18,7 @@ from ..functions.text import text_features
 from ..operators.evaluate import safe_corr, spearman
 from ..operators.normalize import union_sources
 from ..session import stage
+from .components import Components
 
 FEATURES = "meta_features"
 LABEL = "_label"
@@ -49,7 +50,8 @@ def feature_stages(
 ) -> list[Estimator]:
     """Scaling, principal components, assembly and the choice of the ``top`` features by F-test.
 
-    Components are computed only if ``dim``, the length of the embedding, is given.
+    Components are computed only if ``dim``, the length of the embedding, is given: by PCA, or by a
+    truncated SVD where the vectors are too long for it.
     """
     if dim is None:
         return [VectorAssembler(inputCols=list(plain), outputCol=FEATURES)]
@@ -61,7 +63,7 @@ def feature_stages(
     selector.setSelectionThreshold(min(top, len(plain) + k))
     return [
         StandardScaler(inputCol="_emb", outputCol="_scaled", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_scaled", outputCol="_pca"),
+        Components(k, "_scaled", "_pca"),
         VectorAssembler(inputCols=[*plain, "_pca"], outputCol="_all"),
         selector,
     ]

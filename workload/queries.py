@@ -12,6 +12,7 @@ from trendspark.functions import clipping, text as texts
 from trendspark.functions.hashing import uniform
 from trendspark.operators import blend, dedup, embeddings, evaluate, filters, normalize, profile, rank, sampling, scale
 from trendspark.plans import meta, score as plan, training
+from trendspark.plans.components import Components, truncated_svd
 from trendspark.schema import BALANCE_EDGES, BIAS_EDGES, DECILE_EDGES, REPORT_EDGES, FEATURE_CONFIGS, feature_config
 
 from trendspark.session import new_folder
@@ -1507,6 +1508,22 @@ def _(spark, sf):
     return rounded(turned.select("vec_id", square.alias("square_norm")), 4)
 
 
+@query(
+    "truncated_svd_energy",
+    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings),
+       per AS (SELECT vec_id, sum(x * x) AS square FROM e GROUP BY vec_id)
+       SELECT vec_id, round(square, 4) AS square_norm, round((SELECT sum(square) FROM per), 2) AS energy FROM per""",
+)
+def _(spark, sf):
+    # With as many directions as the vectors are long, the singular values hold all their energy and the directions all lengths.
+    df, _ = meta.meta_inputs(read(spark, sf, "embeddings"), [], "embedding")
+    found = truncated_svd(df, "embedding", 64)
+    turned = Components(64, "_emb", "_svd", "svd").fit(df).transform(df).withColumn("_svd", vector_to_array("_svd"))
+    square = F.aggregate("_svd", F.lit(0.0), lambda acc, x: acc + x * x)
+    shown = rounded(turned.select("vec_id", square.alias("square_norm")), 4)
+    return shown.withColumn("energy", F.lit(round(float((found.values ** 2).sum()), 2)))
+
+
 @query("meta_model_scores")
 def _(spark, sf):
     df = _vector_examples(spark, sf)
