@@ -7,7 +7,7 @@ back to the driver are the quantiles, a handful of numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -64,7 +64,7 @@ def _count(numbers: DataFrame, regions: Sequence[_Region]) -> None:
 def _narrowed(numbers: DataFrame, r: _Region, places: Sequence[float]) -> _Region:
     """A smaller region that in all likelihood still holds the values at ``places``."""
     name = f"v{r.col}"
-    inner = Sketches(numbers.where(F.col(name).between(r.lo, r.hi)).select(name), {name: "double"})
+    inner = Sketches(numbers.where(F.col(name).between(r.lo, r.hi)).select(name), {name: dict(numbers.dtypes)[name]})
     first = max(0.0, (min(places) - r.below) / r.inside - ERROR)
     last = min(1.0, (max(places) + 1 - r.below) / r.inside + ERROR)
     return _Region(r.col, *inner.quantiles({name: [first, last]})[name])
@@ -98,20 +98,22 @@ def _holds(r: _Region, places: Sequence[float], n: int) -> bool:
     return r.below <= int(min(places)) and min(int(max(places)) + 1, n - 1) < r.below + r.inside
 
 
-def _from_brackets(numbers: DataFrame, probs: Sequence[float], sketches: Sketches, known: Sequence[int]) -> dict[tuple[int, int], float]:
-    """Quantile j of column i from the values in the brackets that the sketch puts around it."""
+def _settled(
+    numbers: DataFrame, probs: Sequence[float], sketches: Sketches, known: Sequence[int], place: Callable[[float, int], float]
+) -> tuple[list[_Region], list[tuple[int, int, float]], dict[tuple[int, int], int]]:
+    """Regions that hold the values round ``place(prob, n)`` and are small or full of equal values, and what is wanted of them."""
     counts = {i: sketches.counts[f"v{i}"] for i in known}
     wider = 1
     while True:
         regions, home = _brackets(probs, sketches, known, wider)
-        wanted = [(i, j, probs[j] * (counts[i] - 1)) for i, j in home]
-        places = [[place for i, j, place in wanted if home[i, j] == k] for k in range(len(regions))]
+        wanted = [(i, j, place(probs[j], counts[i])) for i, j in home]
+        places = [[at for i, j, at in wanted if home[i, j] == k] for k in range(len(regions))]
         _count(numbers, regions)
         if all(_holds(r, places[k], counts[r.col]) for k, r in enumerate(regions)):
             break
         wider *= 4
 
-    # A crowded region is sketched again until it is small or full of equal values, which the grouping below
+    # A crowded region is sketched again until it is small or full of equal values, which grouping
     # folds up before anything is shuffled.
     crowded = {k for k, r in enumerate(regions) if r.inside > CROWDED and r.lo < r.hi}
     while crowded:
@@ -123,6 +125,42 @@ def _from_brackets(numbers: DataFrame, probs: Sequence[float], sketches: Sketche
                 regions[k] = r
             if regions[k].inside <= CROWDED or r.lo == r.hi or 2 * r.inside > whole:
                 crowded.discard(k)
+    return regions, wanted, home
+
+
+@dataclass(frozen=True)
+class Selected:
+    """The value at a position of a column in order: ``n`` values in all, ``before`` smaller ones, ``ties`` equal ones."""
+
+    n: int
+    value: float | int
+    before: int
+    ties: int
+
+
+def value_at(df: DataFrame, value: Column, place: Callable[[int], int]) -> Selected | None:
+    """Select the value at 0-based position ``place(n)`` without ranking the others; None if there are no values.
+
+    ``value`` is a bigint or a double without NaN; nulls are left out. Three narrow scans as in ``exact_quantiles``.
+    """
+    numbers = df.select(value.alias("v0"))
+    sketches = Sketches(numbers, dict(numbers.dtypes))
+    n = sketches.counts["v0"]
+    if not n:
+        return None
+    at = min(max(place(n), 0), n - 1)
+    share = at / (n - 1) if n > 1 else 0.0
+    (region,), _, _ = _settled(numbers, (share,), sketches, (0,), lambda *_: at)
+    inside = numbers.where(F.col("v0").between(region.lo, region.hi)).groupBy("v0").agg(F.count("*").alias("c"))
+    placed = inside.withColumn("upto", F.lit(region.below) + F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v0")))
+    found = placed.where((F.col("upto") - F.col("c") <= at) & (F.col("upto") > at)).first()
+    return Selected(n, found["v0"], found["upto"] - found["c"], found["c"])
+
+
+def _from_brackets(numbers: DataFrame, probs: Sequence[float], sketches: Sketches, known: Sequence[int]) -> dict[tuple[int, int], float]:
+    """Quantile j of column i from the values in the brackets that the sketch puts around it."""
+    counts = {i: sketches.counts[f"v{i}"] for i in known}
+    regions, wanted, home = _settled(numbers, probs, sketches, known, lambda p, n: p * (n - 1))
     below = [r.below for r in regions]
 
     def region_of(i: int) -> Column:
@@ -138,15 +176,15 @@ def _from_brackets(numbers: DataFrame, probs: Sequence[float], sketches: Sketche
     counted = tagged.groupBy("r", "v").agg(F.count("*").alias("c"))
     placed = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("r").orderBy("v")))
 
-    def value_at(r: int, place: int) -> Column:
+    def value_in(r: int, place: int) -> Column:
         inside = F.lit(place - below[r])
         mine = (F.col("r") == r) & (F.col("upto") - F.col("c") <= inside) & (inside < F.col("upto"))
         return F.max(F.when(mine, F.col("v")))
 
     picks = []
     for i, j, place in wanted:
-        picks.append(value_at(home[i, j], int(place)))
-        picks.append(value_at(home[i, j], min(int(place) + 1, counts[i] - 1)))
+        picks.append(value_in(home[i, j], int(place)))
+        picks.append(value_in(home[i, j], min(int(place) + 1, counts[i] - 1)))
     found = placed.agg(*picks).first()
     out = {}
     for k, (i, j, place) in enumerate(wanted):

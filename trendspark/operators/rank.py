@@ -31,7 +31,7 @@ def _cut_count(df: DataFrame) -> int:
     return max(64, 2 * shuffle_width(df.sparkSession))
 
 
-def _rank_value(df: DataFrame, col: str) -> Column:
+def rank_value(df: DataFrame, col: str) -> Column:
     """The column in the type it is ranked in: whole numbers as bigint, others as double without NaN."""
     whole = df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long")
     return F.col(col).cast("bigint") if whole else as_number(col)
@@ -58,7 +58,7 @@ def rank_cuts(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[float, int]]
     """
     n_cuts = _cut_count(df)
     marks = [(i + 1) / n_cuts for i in range(n_cuts - 1)]
-    numbers = df.select(*[_rank_value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    numbers = df.select(*[rank_value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     found = Sketches(numbers, dict(numbers.dtypes)).quantiles({name: marks for name in numbers.columns})
     return {c: dict(sorted(Counter(found.get(f"v{i}", ())).items())) for i, c in enumerate(cols)}
 
@@ -128,7 +128,7 @@ def _with_bucket(df: DataFrame, col: str, ordinal: bool, i: int, cuts: dict[floa
     and all slices together are no more than there are quantiles.
     """
     v, at, b, p = (F.col(f"__rk{i}_{x}") for x in ("v", "at", "b", "p"))
-    base = df.withColumn(f"__rk{i}_v", _rank_value(df, col))
+    base = df.withColumn(f"__rk{i}_v", rank_value(df, col))
     if cuts:
         edges = folded(list(cuts), dict(base.dtypes)[f"__rk{i}_v"])
         base = base.withColumn(f"__rk{i}_at", _place(edges, v, len(cuts)))

@@ -9,7 +9,7 @@ themselves are then filtered where they are, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import ceil, log
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
@@ -17,7 +17,8 @@ from ..functions.hashing import hex_number, key_hash, uniform
 from ..schema import BALANCE_EDGES
 from ..session import shuffle_width, stage
 from .profile import bin_index
-from .rank import add_rank
+from .quantiles import value_at
+from .rank import rank_value
 
 # Sorts after every hash: a group with this cut-off is kept whole.
 KEEP_ALL = "g"
@@ -178,10 +179,25 @@ def train_test_split(
 def tail_holdout(
     df: DataFrame, frac: float, order_col: str, tie_key: Sequence[str], out: str = "holdout"
 ) -> DataFrame:
-    """Mark the rows from position floor(n * (1 - frac)) on, in the order of ``order_col``."""
-    ranked = add_rank(df, order_col, "_r", "ordinal", tie_key=tie_key)
-    start = F.floor(F.col("_r_n") * F.lit(1 - frac))
-    return ranked.withColumn(out, F.col("_r") - 1 >= start).drop("_r", "_r_n")
+    """Mark the rows from position floor(n * (1 - frac)) on, in the order of ``order_col``, equal values by the hash of ``tie_key``.
+
+    Only the value at that position and, among rows of that value, the hash of the last one before it are looked for; the rows are
+    marked where they are. Rows without a value get no mark.
+    """
+    value = rank_value(df, order_col)
+    found = value_at(df, value, lambda n: floor(n * (1 - frac)))
+    if found is None:
+        return df.withColumn(out, F.lit(None).cast("boolean"))
+    start = floor(found.n * (1 - frac))
+    if start >= found.n:
+        return df.withColumn(out, F.when(value.isNotNull(), F.lit(False)))
+    edge = F.lit(found.value)
+    first = max(start, 0) - found.before
+    tied = F.lit(True)
+    if first > 0:
+        cut = _one_cut(df.where(value == edge), lambda total, _: first, tie_key, 42)
+        tied = key_hash(tie_key) > cut
+    return df.withColumn(out, F.when(value > edge, True).when(value == edge, tied).when(value < edge, False))
 
 
 def inverse_freq_weight(df: DataFrame, col: str, out: str = "weight", default: str = "unknown") -> DataFrame:
@@ -223,14 +239,14 @@ def weighted_resample(
     Without a positive weight, or with an infinite one, nothing can be drawn and a ValueError is raised.
     Each draw is a keyed point on the line, taken from 60 bits without favouring a part of it. The line is cut into slots of equal length; a row's stretch is
     handed to every slot it reaches, so even a row that is drawn very often is met in many tasks.
-    Within a slot the row of a draw is the last stretch that begins at or before it. The result has
+    Within a slot the row of a draw is the last stretch that begins at or before it. All this is done with hashes and lengths
+    alone; the rows, whose ``key`` is unique, meet the draws that hit them in one join at the end. The result has
     the name of the draw in ``draw`` and the columns of ``df``.
     """
     digits = _prefix_digits(df)
     slots = max(64, 4 * shuffle_width(df.sparkSession))
     lined = (
-        df.withColumn("_h", key_hash(key, seed))
-        .withColumn("_w", _line_units(df, weight))
+        df.select(key_hash(key, seed).alias("_h"), _line_units(df, weight).alias("_w"))
         .where("_w > 0")
         .withColumn("_c", F.substring("_h", 1, digits))
     )
@@ -253,7 +269,7 @@ def weighted_resample(
         F.greatest(F.col("_lo"), F.col("_slot") * F.col("_len")).alias("_at"),
         F.lit(0).alias("_kind"),
         F.lit(None).cast("string").alias("draw"),
-        F.struct(*df.columns).alias("_row"),
+        F.col("_h").alias("_row"),
     )
     if n is None:
         names = df.select(key_hash(key, f"{seed}n").alias("draw"))
@@ -270,9 +286,10 @@ def weighted_resample(
             "_at",
             F.lit(1).alias("_kind"),
             "draw",
-            F.lit(None).cast(owned.schema["_row"].dataType).alias("_row"),
+            F.lit(None).cast("string").alias("_row"),
         )
     )
     line = Window.partitionBy("_slot").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     met = owned.unionByName(drawn).withColumn("_hit", F.last("_row", ignorenulls=True).over(line))
-    return met.where("_kind = 1").select("draw", "_hit.*")
+    hits = met.where("_kind = 1").select("draw", "_hit")
+    return hits.join(df.withColumn("_hit", key_hash(key, seed)), "_hit").select("draw", *df.columns)
