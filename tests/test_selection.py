@@ -73,3 +73,30 @@ def test_draws_follow_the_weights_and_only_hashes_are_dealt_out(spark):
     # The wide column is in the join at the end and in no window.
     plan = drawn._jdf.queryExecution().optimizedPlan().toString()
     assert all("wide" not in line for line in plan.splitlines() if "Window" in line)
+
+
+@pytest.mark.parametrize("clip,cell_rows", [(None, 40), ("linear", 25), ("soft", 10 ** 6)])
+def test_blends_are_ranked_exactly_in_cells(spark, monkeypatch, clip, cell_rows):
+    import numpy as np
+    import pandas as pd
+
+    from trendspark.operators import blend
+
+    monkeypatch.setattr(blend, "CELL_ROWS", cell_rows)
+    draw = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": draw.random(600).round(2), "b": draw.random(600), "y": draw.random(600).round(1)})
+    pdf["b"] = pdf["b"] * 0.3 + pdf["y"] * 0.7
+    pdf.loc[::50, "a"] = np.nan
+    pdf.loc[200:350, ["a", "b"]] = [0.99, 0.99]  # a hot value
+    found = blend.grid_search_blend(spark.createDataFrame(pdf).repartition(6), "a", "b", "y", clip=clip, margin=0.3)
+    known = pdf.dropna()
+    for r in found.collect():
+        p = r.w_a * known["a"] + r.w_b * known["b"]
+        if clip == "linear":
+            p = ((p - 0.3) / 0.4).clip(0, 1)
+        elif clip == "soft":
+            p = 0.5 + 0.5 * np.tanh((p - 0.5) / 0.3)
+        assert r.spearman == pytest.approx(p.rank().corr(known["y"].rank()), abs=1e-9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 0  # no row is copied
+    assert [r.spearman for r in blend.grid_search_blend(spark.createDataFrame(pdf.head(0), "a double, b double, y double"), "a", "b", "y").collect()] == [None] * 21

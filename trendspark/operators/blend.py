@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from hashlib import md5
 from itertools import combinations
 from math import log
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clipping import clipped
 from ..session import stage
@@ -15,6 +17,11 @@ from .evaluate import average_rank_corr, safe_corr, spearman
 from .rank import Rank, add_rank, pct_rank, pct_ranks
 
 
+CELL_ROWS = 250_000  # rows of a cell, about: what one task sorts at a time
+SAMPLE_ROWS = 20_000
+MOST_CELLS = 10_000
+
+
 def _mix(cols: Sequence[str], weights: Sequence[Column]) -> Column:
     total = None
     for c, w in zip(cols, weights):
@@ -49,15 +56,11 @@ def _search(
 
     ``rank`` first replaces each column by its ordinal percentile, equal values in the order of ``tie_key``.
 
-    Each row is copied once per vector (a list fixed by the caller), then all blends are ranked
-    together, vector by vector.
+    The weights are columns: a row carries all its blends and is never copied. Tasks fold equal values of a blend and pack
+    the rest by cell, a stretch of values that a sample says holds CELL_ROWS rows; one shuffle brings the packs of
+    each cell together. A cell gives the sums over its ranks as if it stood alone; those of the whole follow
+    from the rows in the cells before. Cells only balance the work: the correlation is exact.
     """
-    grid = F.array(
-        *[
-            F.struct(F.lit(i).alias("grid_id"), F.array(*[F.lit(float(w)) for w in ws]).alias("weights"))
-            for i, ws in enumerate(weights)
-        ]
-    )
     keys = [F.col(k).alias(f"_key{i}") for i, k in enumerate(tie_key)] if rank else []
     known = df.select(F.col(y).alias("_y"), *cols, *keys).dropna(subset=["_y", *cols])
     if rank:
@@ -66,14 +69,66 @@ def _search(
         known = ranked.select("_y", *[F.col(r.out).alias(r.col) for r in ordinal])
     # Narrow and read several times below.
     ranked = stage(add_rank(known, "_y", "_ry").select(*cols, "_ry"), "grid")
-    copies = ranked.select(*cols, "_ry", F.inline(grid))
-    mixed = _mix(cols, [F.get("weights", F.lit(i)) for i in range(len(cols))])
-    blends = copies.select("grid_id", "_ry", clipped(mixed, clip, margin).alias("_p"))
-    both = add_rank(blends, "_p", "_rp", by=["grid_id"], known_groups=len(weights))
-    scored = both.groupBy("grid_id").agg(safe_corr(F.col("_ry"), F.col("_rp")).alias("spearman"))
-    vector = F.get(F.lit([[float(w) for w in ws] for ws in weights]), F.col("grid_id"))
-    parts = [F.get(vector, F.lit(i)).alias(f"w_{c}") for i, c in enumerate(cols)]
-    return scored.select("grid_id", *parts, "spearman")
+    n, spread = ranked.agg(F.count("*"), F.var_pop("_ry") * F.count("*")).first()
+    vectors = [[float(w) for w in ws] for ws in weights]
+    blends = F.array(*[clipped(_mix(cols, [F.lit(w) for w in ws]), clip, margin) for ws in vectors])
+    middle = (n + 1) / 2
+    rows = ranked.select((F.col("_ry") - F.lit(middle)).alias("s"), blends.alias("p"))
+    packed = rows.mapInPandas(_packs(_cell_cuts(rows, n, len(vectors))), "grid_id int, cell int, p array<double>, c array<bigint>, s array<double>")
+    cells = packed.groupBy("grid_id", "cell").applyInPandas(_cell_sums, "grid_id int, cell int, n bigint, l double, ll double, s double, sl double")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("grid_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A rank less the mean rank is the local rank plus this.
+    shift = before.cast("double") - F.lit(middle)
+    sums = cells.withColumn("b", shift).groupBy("grid_id").agg(
+        F.sum(F.col("b") * F.col("b") * F.col("n") + 2 * F.col("b") * F.col("l") + F.col("ll")).alias("rr"),
+        F.sum(F.col("b") * F.col("s") + F.col("sl")).alias("rs"),
+    )
+    found = sums.select("grid_id", F.try_divide(F.col("rs"), F.sqrt(F.col("rr") * F.lit(spread))).alias("spearman"))
+    listed = df.sparkSession.createDataFrame(
+        [(i, *ws) for i, ws in enumerate(vectors)], ", ".join(["grid_id int", *[f"`w_{c}` double" for c in cols]])
+    )
+    return listed.join(found, "grid_id", "left").select("grid_id", *[f"w_{c}" for c in cols], "spearman")
+
+
+def _cell_cuts(rows: DataFrame, n: int, blends: int) -> list[np.ndarray]:
+    """Per blend the values that part its cells, from a sample of about SAMPLE_ROWS rows."""
+    cells = min(n // CELL_ROWS + 1, MOST_CELLS)
+    if cells == 1:
+        return [np.zeros(0)] * blends
+    sample = np.stack(rows.sample(min(1.0, SAMPLE_ROWS / n), 0).select("p").toPandas()["p"].to_numpy())
+    shares = np.arange(1, cells) / cells
+    return [np.unique(np.quantile(sample[:, i], shares)) for i in range(blends)]
+
+
+def _packs(cuts: list[np.ndarray]):
+    """From rows of (s, p) to packs of (grid_id, cell, p, c, s): different values in order, their number and sum of s."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            s, values = batch["s"].to_numpy(), np.stack(batch["p"].to_numpy())
+            out = []
+            for i, cut in enumerate(cuts):
+                p, at, c = np.unique(values[:, i] + 0.0, return_inverse=True, return_counts=True)
+                total = np.bincount(at, s, len(p))
+                ends = np.searchsorted(p, cut, side="right")
+                for cell, (a, b) in enumerate(zip([0, *ends], [*ends, len(p)])):
+                    if a < b:
+                        out.append((i, cell, p[a:b], c[a:b], total[a:b]))
+            yield pd.DataFrame(out, columns=["grid_id", "cell", "p", "c", "s"])
+
+    return pack
+
+
+def _cell_sums(key: tuple, packs: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a cell and, of their average ranks within it, the sum, the sum of squares and the sum of products with s."""
+    p, at = np.unique(np.concatenate(packs["p"].to_list()), return_inverse=True)
+    c = np.bincount(at, np.concatenate(packs["c"].to_list()).astype(float), len(p))
+    s = np.bincount(at, np.concatenate(packs["s"].to_list()), len(p))
+    rank = np.cumsum(c) - (c - 1) / 2
+    sums = {"n": int(c.sum()), "l": c @ rank, "ll": c @ rank ** 2, "s": s.sum(), "sl": s @ rank}
+    return pd.DataFrame([{"grid_id": key[0], "cell": key[1], **sums}])
 
 
 def grid_search_blend(

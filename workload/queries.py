@@ -941,11 +941,26 @@ def _(spark, sf):
 GRID = [(1.0 - i / 20, i / 20) for i in range(21)]
 
 
+# 66 weight vectors of three models: even, each alone, each pair, then keyed exponentials scaled to 1.
+SIMPLEX = """grid AS (
+      SELECT grid_id, w[1] AS w_p1, w[2] AS w_p2, w[3] AS w_p3 FROM (
+        SELECT 0 AS grid_id, [1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3] AS w
+        UNION ALL SELECT * FROM (VALUES (1, [1.0::DOUBLE, 0.0, 0.0]), (2, [0.0::DOUBLE, 1.0, 0.0]), (3, [0.0::DOUBLE, 0.0, 1.0]),
+            (4, [0.5::DOUBLE, 0.5, 0.0]), (5, [0.5::DOUBLE, 0.0, 0.5]), (6, [0.0::DOUBLE, 0.5, 0.5]))
+        UNION ALL SELECT 7 + i, [e[1] / (e[1] + e[2] + e[3]), e[2] / (e[1] + e[2] + e[3]), e[3] / (e[1] + e[2] + e[3])] FROM (
+            SELECT i, list_transform(range(3), lambda j:
+                -ln((CAST('0x' || substr(md5('42|' || i || '|' || j), 1, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE)) AS e
+            FROM range(59) t(i))))"""
+
+
 def _search_sql(cols, weights, table: str = "held") -> str:
-    values = ", ".join(f"({i}, {', '.join(f'{w!r}::DOUBLE' for w in ws)})" for i, ws in enumerate(weights))
     names = ", ".join(f"w_{c}" for c in cols)
     mix = " + ".join(f"w_{c} * {c}" for c in cols)
-    return f"""grid(grid_id, {names}) AS (VALUES {values}),
+    grid = weights
+    if not isinstance(weights, str):
+        values = ", ".join(f"({i}, {', '.join(f'{w!r}::DOUBLE' for w in ws)})" for i, ws in enumerate(weights))
+        grid = f"grid(grid_id, {names}) AS (VALUES {values})"
+    return f"""{grid},
       b AS (SELECT grid_id, {names}, y, {mix} AS p FROM {table}, grid),
       r AS (SELECT grid_id, {names}, {sql.average_rank('y', 'grid_id')} AS ry, {sql.average_rank('p', 'grid_id')} AS rp FROM b),
       found AS (SELECT grid_id, {', '.join(f'any_value(w_{c}) AS w_{c}' for c in cols)}, corr(ry, rp) AS spearman
@@ -954,38 +969,38 @@ def _search_sql(cols, weights, table: str = "held") -> str:
 
 @query(
     "blend_grid",
-    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions WHERE fold = 0), {_search_sql(['p1', 'p2'], GRID)}
+    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions), {_search_sql(['p1', 'p2'], GRID)}
         SELECT grid_id, {r6('w_p1', 'w_p2')}, round(spearman, 6) AS spearman FROM found""",
 )
 def _(spark, sf):
-    held = predictions(spark, sf).where("fold = 0")
+    held = predictions(spark, sf)
     return rounded(blend.grid_search_blend(held, "p1", "p2", "y"))
 
 
 @query(
     "best_blend",
-    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions WHERE fold = 0), {_search_sql(['p2', 'p3'], GRID)}
+    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions), {_search_sql(['p2', 'p3'], GRID)}
         SELECT grid_id, {r6('w_p2', 'w_p3')}, round(spearman, 6) AS spearman FROM found ORDER BY spearman DESC, grid_id LIMIT 1""",
 )
 def _(spark, sf):
-    held = predictions(spark, sf).where("fold = 0")
+    held = predictions(spark, sf)
     return rounded(blend.best_blend(blend.grid_search_blend(held, "p2", "p3", "y", clip="soft", margin=0.4)))
 
 
 @query(
     "simplex_search",
-    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions WHERE fold = 0),
-        {_search_sql(['p1', 'p2', 'p3'], blend.simplex_weights(3))}
+    f"""WITH {sql.PREDICTIONS}, held AS (SELECT * FROM predictions),
+        {_search_sql(['p1', 'p2', 'p3'], SIMPLEX)}
         SELECT grid_id, {r6('w_p1', 'w_p2', 'w_p3')}, round(spearman, 6) AS spearman FROM found""",
 )
 def _(spark, sf):
-    held = predictions(spark, sf).where("fold = 0")
+    held = predictions(spark, sf)
     return rounded(blend.simplex_search(held, ["p1", "p2", "p3"], "y"))
 
 
 def _percentiles_sql(cols) -> str:
     ranks = ", ".join(f"({sql.ordinal_rank(c, 'id')} - 1)::DOUBLE / (count(*) OVER () - 1) AS {c}" for c in cols)
-    return f"held AS (SELECT id, y, {ranks} FROM predictions WHERE fold = 0)"
+    return f"held AS (SELECT id, y, {ranks} FROM predictions)"
 
 
 @query(
@@ -994,7 +1009,7 @@ def _percentiles_sql(cols) -> str:
         SELECT grid_id, {r6('w_p1', 'w_p2')}, round(spearman, 6) AS spearman FROM found""",
 )
 def _(spark, sf):
-    held = predictions(spark, sf).where("fold = 0")
+    held = predictions(spark, sf)
     found = blend.grid_search_blend(held, "p1", "p2", "y", rank=True, tie_key=["id"])
     return rounded(found)
 
@@ -1002,11 +1017,11 @@ def _(spark, sf):
 @query(
     "ranked_simplex_search",
     f"""WITH {sql.PREDICTIONS}, {_percentiles_sql(['p1', 'p2', 'p3'])},
-        {_search_sql(['p1', 'p2', 'p3'], blend.simplex_weights(3))}
+        {_search_sql(['p1', 'p2', 'p3'], SIMPLEX)}
         SELECT grid_id, {r6('w_p1', 'w_p2', 'w_p3')}, round(spearman, 6) AS spearman FROM found""",
 )
 def _(spark, sf):
-    held = predictions(spark, sf).where("fold = 0")
+    held = predictions(spark, sf)
     found = blend.simplex_search(held, ["p1", "p2", "p3"], "y", rank=True, tie_key=["id"])
     return rounded(found)
 
