@@ -20,7 +20,8 @@ MIN_COUNT = 10
 COVERED = 50  # per cent of a phrase's places that a longer candidate must hold to replace it
 TOP = 2_000
 SPREAD = 64  # parts of a language that are cut to the top before it is ranked as a whole
-HELD = 1 << 19  # different grams that a task adds up before it hands them on; it bounds memory, not results
+HELD = 1 << 20  # different grams that a task adds up before it hands them on; it bounds memory, not results
+HOT_SAMPLE, HOT = 0.01, 1e-3  # nodes with such a share of the grams of such a sample of documents are dealt out by edges
 # Lower-cases A-Z, makes every end of a piece a line feed and every tab a space.
 _FOLD = bytes.maketrans(
     string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 9 + b" "
@@ -39,8 +40,9 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def hand_on() -> Iterator[pa.RecordBatch]:
         for (k, lang), counter in held.items():
             grams = pa.array(counter.keys(), pa.binary())
-            keys = pc.binary_join_element_wise(pa.scalar(_key(k, lang).encode(), pa.binary()), grams, pa.scalar(b"", pa.binary()))
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counter.values(), pa.int64())], names=["key", "f"])
+            order = pc.sort_indices(grams)  # neighbours alike, so that the shuffle packs them closer
+            keys = pc.binary_join_element_wise(pa.scalar(_key(k, lang).encode(), pa.binary()), grams.take(order), pa.scalar(b"", pa.binary()))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counter.values(), pa.int64()).take(order)], names=["key", "f"])
         held.clear()
 
     for batch in batches:
@@ -67,10 +69,18 @@ def graph_flow(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     them. The full ones are edges, which lead from the node of their first words to that of their last; the shorter
     ones are the piece-end corrections, since the flow of a node that ends a piece leaves by no edge.
     A key is the number of words, the quoted language, a tab and the words with one space between.
-    A-Z are lower-cased; null texts count as empty, a null language as ``und``. Tasks add up before the shuffle.
+    A-Z are lower-cased; null texts count as empty, a null language as ``und``. Tasks add up before the shuffle. The edges
+    of a node are dealt to one task, so that their sum needs no further shuffle, but those of hot nodes (1 / HOT at most,
+    found on a sample, which decides on the place and not on the count) one by one.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), raw(text).alias("text"))
-    return rows.mapInArrow(_grams, "key string, f bigint").repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+    node = F.substring_index("key", " ", LONGEST - 1)
+    tried = stage(rows.sample(HOT_SAMPLE, 0).mapInArrow(_grams, "key string, f bigint").groupBy(node.alias("node")).agg(F.count("*").alias("n")), "sampled")
+    least = HOT * (tried.agg(F.sum("n")).first()[0] or 0)
+    hot = [r["node"] for r in tried.where(F.col("n") > F.lit(max(least, 100.0))).collect()]
+    place = F.when(node.isin(hot), F.col("key")).otherwise(node) if hot else node
+    seen = rows.mapInArrow(_grams, "key string, f bigint")
+    return seen.repartition(place).groupBy(place, "key").agg(F.sum("f").alias("f")).select("key", "f")
 
 
 def _first(gram: str | Column, k: int) -> Column:
@@ -89,32 +99,29 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text: str = "text
     the empty gram (k = 0) gets the number of words. ``leaving`` and ``arriving`` are the largest counts of a frequent
     gram one word longer that begins or ends with the gram. Grams below ``min_count`` are left out once their flow is passed on.
     """
-    none = F.lit(0).cast("bigint")
-    flow = graph_flow(docs, text, lang).withColumns({"leaving": none, "arriving": none})
+    flow = graph_flow(docs, text, lang)
     f, frequent, place = F.col("f"), F.col("f") >= min_count, F.substring_index("key", "\t", 1)
-
-    def row(key: Column, f: Column, leaving: Column, arriving: Column) -> Column:
-        return F.struct(key.alias("key"), f.alias("f"), leaving.alias("leaving"), arriving.alias("arriving"))
-
-    def level(k: int, key: Column) -> Column:
-        return F.concat(F.lit(str(k)), F.substring(key, 2, 1 << 30))
-
     for k in range(LONGEST, 0, -1):
-        same = F.struct("key", "f", "leaving", "arriving")
-        begin = level(k - 1, _first("key", k - 1)) if k > 1 else F.concat(level(0, place), F.lit("\t"))
-        down = row(begin, f, F.when(frequent, f).otherwise(none), none)
-        shared = [same, down]
-        if k > 1:
-            shared.append(row(F.concat(level(k - 1, place), F.lit("\t"), _last("key", k - 1)), none, none, f))
-        handed = F.when(~F.startswith("key", F.lit(str(k))), F.array(same)).when(frequent, F.array(*shared)).otherwise(F.array(down))
-        flow = flow.select(F.explode(handed).alias("g")).select("g.*").groupBy("key").agg(
-            F.sum("f").alias("f"), F.max("leaving").alias("leaving"), F.max("arriving").alias("arriving")
-        )
+        begin = _first("key", k - 1) if k > 1 else F.concat(place, F.lit("\t"))
+        same = F.struct("key", "f")
+        down = F.struct(F.concat(F.lit(str(k - 1)), F.substring(begin, 2, 1 << 30)).alias("key"), f.alias("f"))
+        handed = F.when(~F.startswith("key", F.lit(str(k))), F.array(same)).when(frequent, F.array(same, down)).otherwise(F.array(down))
+        flow = flow.select(F.explode(handed).alias("g")).select("g.*").groupBy("key").agg(F.sum("f").alias("f"))
     told = flow.select(
         F.url_decode(F.substring(place, 2, 1 << 30)).alias("lang"), F.substring("key", 1, 1).cast("int").alias("k"),
-        F.substring_index("key", "\t", -1).alias("gram"), "f", "leaving", "arriving",
+        F.substring_index("key", "\t", -1).alias("gram"), "f",
     )
-    return stage(told, "grams")
+    counts = stage(told, "flow")
+    none = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(_first("gram", LONGEST - 1).alias("gram"), f.alias("leaving"), none.alias("arriving")),
+        F.struct(_last("gram", LONGEST - 1).alias("gram"), none.alias("leaving"), f.alias("arriving")),
+    )
+    met = counts.where(F.col("k") == LONGEST).select("lang", F.inline(sides)).groupBy("lang", "gram").agg(
+        F.max("leaving").alias("leaving"), F.max("arriving").alias("arriving")
+    ).withColumn("k", F.lit(LONGEST - 1))
+    joined = counts.join(met, ["lang", "k", "gram"], "left")
+    return stage(joined.select("lang", "k", "gram", "f", F.coalesce("leaving", none).alias("leaving"), F.coalesce("arriving", none).alias("arriving")), "grams")
 
 
 def unary_paths(counts: DataFrame) -> DataFrame:
@@ -125,32 +132,37 @@ def unary_paths(counts: DataFrame) -> DataFrame:
     and inner nodes. Every edge belongs to one path. A path lies inside a piece, so no row outgrows a text.
     Each edge finds the first of its path by pointer doubling: log2(longest path) joins of narrow rows.
     """
-    edges = counts.where(F.col("k") == LONGEST).select("lang", F.col("gram").alias("edge"), "f")
+    # Once written, the numbers given to the edges stay; they are shorter than the words.
+    edges = stage(
+        counts.where(F.col("k") == LONGEST).select("lang", F.col("gram").alias("edge"), "f", F.monotonically_increasing_id().alias("id")), "edges"
+    )
     full = (F.col("k") == LONGEST - 1) & (F.col("f") == F.col("leaving")) & (F.col("f") == F.col("arriving"))
     unary = stage(counts.where(full).select("lang", F.col("gram").alias("node")), "unary")
-    before = edges.select("lang", F.col("edge").alias("up"), _last("edge", LONGEST - 1).alias("node"))
-    after = edges.select("lang", "edge", _first("edge", LONGEST - 1).alias("node"))
+    before = edges.select("lang", F.col("id").alias("up"), _last("edge", LONGEST - 1).alias("node"))
+    after = edges.select("lang", "id", _first("edge", LONGEST - 1).alias("node"))
     jumps = stage(
-        unary.join(before, ["lang", "node"]).join(after, ["lang", "node"]).select("lang", "edge", "up", F.lit(1).cast("bigint").alias("hops")),
-        "jumps",
+        unary.join(before, ["lang", "node"]).join(after, ["lang", "node"]).select("id", "up", F.lit(1).cast("bigint").alias("hops")), "jumps"
     )
     while True:
-        far = jumps.select("lang", F.col("edge").alias("up"), F.col("up").alias("far"), F.col("hops").alias("more"))
+        far = jumps.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("hops").alias("more"))
         jumps = stage(
-            jumps.join(far, ["lang", "up"], "left").select(
-                "lang", "edge", F.coalesce("far", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+            jumps.join(far, "up", "left").select(
+                "id", F.coalesce("far", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
                 F.col("far").isNotNull().alias("moved"),
             ),
             "jumps",
         )
         if jumps.where("moved").limit(1).count() == 0:
             break
-    placed = edges.join(jumps.drop("moved"), ["lang", "edge"], "left").select(
-        "lang", F.coalesce("up", "edge").alias("head"), F.coalesce("hops", F.lit(0)).alias("hops"), "f", _last("edge", 1).alias("word")
+    placed = edges.join(jumps.drop("moved"), "id", "left").select(
+        F.coalesce("up", "id").alias("head"), F.coalesce("hops", F.lit(0)).alias("hops"), "lang", "f", _last("edge", 1).alias("word"),
+        F.when(F.col("up").isNull(), _first("edge", LONGEST - 1)).alias("start"),
     )
     tail = F.transform(F.sort_array(F.collect_list(F.struct("hops", "word"))), lambda x: x["word"])
-    joined = placed.groupBy("lang", "head").agg(tail.alias("tail"), F.max("f").alias("f"))
-    return joined.select("lang", F.concat(F.split(_first("head", LONGEST - 1), " "), F.col("tail")).alias("words"), "f")
+    joined = placed.groupBy("head").agg(
+        F.first("lang").alias("lang"), F.max("start").alias("start"), tail.alias("tail"), F.max("f").alias("f")
+    )
+    return joined.select("lang", F.concat(F.split("start", " "), F.col("tail")).alias("words"), "f")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
