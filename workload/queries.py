@@ -1209,6 +1209,58 @@ def _(spark, sf):
     return df.groupBy("source", folder.alias("folder"), "category").agg(F.count("*").alias("n"))
 
 
+def _raw_lines(rows: DataFrame, header: str, line, label: str, encoding: str = "UTF-8") -> str:
+    """Lines as they are, below a header that no writer checks: one file per event type at least."""
+    path = new_folder(rows.sparkSession, label)
+    lines = rows.select(line.alias(header), "event_type").repartition("event_type")
+    writer = lines.write.option("header", "true").option("sep", "\x01").option("quote", "").option("encoding", encoding)
+    writer.option("ignoreTrailingWhiteSpace", "false").partitionBy("event_type").csv(path)
+    return path
+
+
+@query(
+    "ragged_rows",
+    """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 4 <> 1 THEN 'n' || user_id END AS name, CASE WHEN event_id % 4 = 0 THEN 'a, "b"' END AS note
+       FROM events WHERE event_id % 4 <> 2""",
+)
+def _(spark, sf):
+    # Whole rows with quoted commas and doubled quotes, rows that are too short, too long, and with a trailing comma.
+    part = F.col("event_id") % 4
+    start = F.concat(F.col("event_id"), F.when(part != 1, F.concat(F.lit(",n"), "user_id")).otherwise(""))
+    end = F.when(part == 0, ',"a, ""b"""').when(part == 1, "").when(part == 2, ",x,surplus").otherwise(",,")
+    path = _raw_lines(read(spark, sf, "events"), "id,name,note", F.concat(start, end), "ragged")
+    return read_ragged_csv(spark, path, keep_file=False).select("id", "name", "note")
+
+
+@query(
+    "latin1_feed",
+    """SELECT CAST(event_id AS VARCHAR) AS id, event_type || ' à côté, ' || user_id || ' grüßt' AS note FROM events WHERE event_type <> 'error'
+       UNION ALL SELECT CAST(event_id AS VARCHAR), 'żółw ' || user_id FROM events WHERE event_type = 'error'""",
+)
+def _(spark, sf):
+    # Files of two encodings in one feed, told apart by their bytes.
+    events, failed = read(spark, sf, "events"), F.col("event_type") == "error"
+    note = F.concat(F.lit('"'), F.col("event_type"), F.lit(" à côté, "), F.col("user_id"), F.lit(' grüßt"'))
+    old = _raw_lines(events.where(~failed), "id,note", F.concat("event_id", F.lit(","), note), "latin1", "ISO-8859-1")
+    new = _raw_lines(events.where(failed), "id,note", F.concat("event_id", F.lit(",żółw "), "user_id"), "utf8")
+    return read_ragged_csv(spark, [old, new], keep_file=False).select("id", "note")
+
+
+@query(
+    "unquoted_feed",
+    """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id = min(event_id) OVER (PARTITION BY event_type) THEN '"5 ' ELSE 'in ' END
+       || 'a, b\c ' || user_id AS note FROM events""",
+)
+def _(spark, sf):
+    # One quote that never closes in each file, so quoting is off and a backslash takes the meaning from what follows.
+    events = read(spark, sf, "events")
+    first = events.groupBy("event_type").agg(F.min("event_id").alias("first"))
+    marked = events.join(F.broadcast(first), "event_type")
+    size = F.when(F.col("event_id") == F.col("first"), F.lit('"5 ')).otherwise("in ")
+    line = F.concat(F.col("event_id"), F.lit(","), size, F.lit("a\\, b\\\\c "), F.col("user_id"))
+    return read_ragged_csv(spark, _raw_lines(marked, "id,note", line, "unquoted"), keep_file=False).select("id", "note")
+
+
 @query("csv_rows_capped_per_file", "SELECT event_type, least(count(*), 500) AS n FROM events GROUP BY event_type")
 def _(spark, sf):
     events = read(spark, sf, "events").select("event_id", "event_type", "value").repartition(1, "event_type")
