@@ -65,6 +65,23 @@ def test_phrases_are_those_of_plain_counting(spark, seed, least, top):
     assert run(spark, rows, min_count=least, top=top) == plain_collocations(rows, top, least)
 
 
+def test_hot_nodes_are_dealt_out_by_edges(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_SAMPLE", 1.0)
+    rows = [(f"the id x{i}. the id y{i} z, q{i % 5} the id", "x") for i in range(300)]
+    df = spark.createDataFrame([(i, t, x, "", 1) for i, (t, x) in enumerate(rows)], SCHEMA)
+    flow, hot = C.graph_flow(df)
+    assert hot == ["x\tthe id"]
+    places = [r.place for r in flow.where("key like '3x\tthe id %'").collect()]
+    assert len(places) == len(set(places)) == 600
+    assert run(spark, rows, min_count=3) == plain_collocations(rows, 2000, 3)
+
+
+def test_flow_of_nodes_takes_one_shuffle(spark):
+    flow, _ = C.graph_flow(spark.createDataFrame([(1, "a b c d", "x", "", 1)], SCHEMA))
+    nodes = flow.withColumn("key", C._first("key", 2)).groupBy("place", "key").agg(F.sum("f"))
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_counts_handed_down_are_those_of_the_texts(spark):
     rows = documents(4, 30) + [("a a a a a", "x"), ("one", None)]
     df = spark.createDataFrame([(i, t, x, "", 1) for i, (t, x) in enumerate(rows)], SCHEMA)

@@ -62,25 +62,32 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from hand_on()
 
 
-def graph_flow(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Edges and ends of the graph: (key, f), each different one once.
+def graph_flow(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[str]]:
+    """Edges and ends of the graph: (place, key, f), each different one once.
 
     A piece of m words gives one gram per word: the LONGEST words from there on, or what is left of
     them. The full ones are edges, which lead from the node of their first words to that of their last; the shorter
     ones are the piece-end corrections, since the flow of a node that ends a piece leaves by no edge.
     A key is the number of words, the quoted language, a tab and the words with one space between.
-    A-Z are lower-cased; null texts count as empty, a null language as ``und``. Tasks add up before the shuffle. The edges
-    of a node are dealt to one task, so that their sum needs no further shuffle, but those of hot nodes (1 / HOT at most,
-    found on a sample, which decides on the place and not on the count) one by one.
+    A-Z are lower-cased; null texts count as empty, a null language as ``und``. Tasks add up before the shuffle.
+
+    Returned with the hot nodes. ``place`` is the node: its edges and ends are dealt to one task, so that its flow is summed up there without a
+    further shuffle. Nodes with a share of HOT of the grams of a sample of documents, 1 / HOT at most, are dealt out edge by edge
+    instead. The sample decides where a count is made and not what it is.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), raw(text).alias("text"))
-    node = F.substring_index("key", " ", LONGEST - 1)
+    node = _rest(F.substring_index("key", " ", LONGEST - 1))
     tried = stage(rows.sample(HOT_SAMPLE, 0).mapInArrow(_grams, "key string, f bigint").groupBy(node.alias("node")).agg(F.count("*").alias("n")), "sampled")
     least = HOT * (tried.agg(F.sum("n")).first()[0] or 0)
     hot = [r["node"] for r in tried.where(F.col("n") > F.lit(max(least, 100.0))).collect()]
-    place = F.when(node.isin(hot), F.col("key")).otherwise(node) if hot else node
+    place = F.when(node.isin(hot), _rest("key")).otherwise(node) if hot else node
     seen = rows.mapInArrow(_grams, "key string, f bigint")
-    return seen.repartition(place).groupBy(place, "key").agg(F.sum("f").alias("f")).select("key", "f")
+    return seen.repartition(place).groupBy(place.alias("place"), "key").agg(F.sum("f").alias("f")), hot
+
+
+def _rest(key: str | Column) -> Column:
+    """A key without the number of words."""
+    return F.substring(key, 2, 1 << 30)
 
 
 def _first(gram: str | Column, k: int) -> Column:
@@ -99,16 +106,26 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, text: str = "text
     the empty gram (k = 0) gets the number of words. ``leaving`` and ``arriving`` are the largest counts of a frequent
     gram one word longer that begins or ends with the gram. Grams below ``min_count`` are left out once their flow is passed on.
     """
-    flow = graph_flow(docs, text, lang)
-    f, frequent, place = F.col("f"), F.col("f") >= min_count, F.substring_index("key", "\t", 1)
-    for k in range(LONGEST, 0, -1):
-        begin = _first("key", k - 1) if k > 1 else F.concat(place, F.lit("\t"))
+    flow, hot = graph_flow(docs, text, lang)
+    f, frequent, start = F.col("f"), F.col("f") >= min_count, F.substring_index("key", "\t", 1)
+
+    def handed_down(k: int, done: Column) -> Column:
+        """Rows of level ``k`` that are ``done`` hand their flow down and stay if frequent; all others pass."""
+        begin = _first("key", k - 1) if k > 1 else F.concat(start, F.lit("\t"))
         same = F.struct("key", "f")
-        down = F.struct(F.concat(F.lit(str(k - 1)), F.substring(begin, 2, 1 << 30)).alias("key"), f.alias("f"))
-        handed = F.when(~F.startswith("key", F.lit(str(k))), F.array(same)).when(frequent, F.array(same, down)).otherwise(F.array(down))
-        flow = flow.select(F.explode(handed).alias("g")).select("g.*").groupBy("key").agg(F.sum("f").alias("f"))
+        down = F.struct(F.concat(F.lit(str(k - 1)), _rest(begin)).alias("key"), f.alias("f"))
+        handed = F.when(frequent, F.array(same, down)).otherwise(F.array(down))
+        return F.explode(F.when(F.startswith("key", F.lit(str(k))) & done, handed).otherwise(F.array(same))).alias("g")
+
+    every = F.lit(True)
+    nodes = flow.select("place", handed_down(LONGEST, every)).select("place", "g.*").groupBy("place", "key").agg(F.sum("f").alias("f"))
+    whole = ~_rest("key").isin(hot) if hot else every
+    flow = nodes.select(handed_down(LONGEST - 1, whole)).select("g.*").groupBy("key").agg(F.sum("f").alias("f"))
+    if hot:
+        flow = flow.select(handed_down(LONGEST - 1, ~whole)).select("g.*").groupBy("key").agg(F.sum("f").alias("f"))
+    flow = flow.select(handed_down(1, every)).select("g.*").groupBy("key").agg(F.sum("f").alias("f"))
     told = flow.select(
-        F.url_decode(F.substring(place, 2, 1 << 30)).alias("lang"), F.substring("key", 1, 1).cast("int").alias("k"),
+        F.url_decode(_rest(start)).alias("lang"), F.substring("key", 1, 1).cast("int").alias("k"),
         F.substring_index("key", "\t", -1).alias("gram"), "f",
     )
     counts = stage(told, "flow")
