@@ -1248,7 +1248,7 @@ def _(spark, sf):
 
 @query(
     "unquoted_feed",
-    """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id = min(event_id) OVER (PARTITION BY event_type) THEN '"5 ' ELSE 'in ' END
+    r"""SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id = min(event_id) OVER (PARTITION BY event_type) THEN '"5 ' ELSE 'in ' END
        || 'a, b\c ' || user_id AS note FROM events""",
 )
 def _(spark, sf):
