@@ -15,23 +15,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendspark.llm.common import raw
 
-CACHE = 1 << 16  # entries a memo may hold before it starts anew; it bounds memory, not results
+PIECES, PAIRS = 1 << 17, 1 << 16  # entries the memos may hold before they start anew; they bound memory, not results
+LONGEST_KEPT = 64  # characters of a piece that is kept, which bounds the memo in bytes too
 ROWS = 512  # rows whose ids are held at once
 
 
 class Memo(dict):
     """What a function gave for its latest arguments; when full, its entries are kept aside for another round."""
 
-    def __init__(self, work: Callable):
+    def __init__(self, work: Callable, most: int):
         super().__init__()
-        self.work, self.older = work, {}
+        self.work, self.most, self.older = work, most, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.work(key)
-        if len(self) >= CACHE:
-            self.older = dict(self)
+            if type(key) is str and len(key) > LONGEST_KEPT:
+                return value
+        if len(self) >= self.most:
+            self.older = self.copy()
             self.clear()
         self[key] = value
         return value
@@ -55,8 +58,8 @@ class BytePairCodec:
         missing = [b for b in range(256) if chr(b) not in self.ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
-        self.compatible = Memo(lambda pair: self._fits(*pair))
-        self.shown = Memo(self._show)
+        self.compatible = Memo(lambda pair: self._fits(*pair), PAIRS)
+        self.shown = Memo(self._show, PIECES)
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int | None] = {}
