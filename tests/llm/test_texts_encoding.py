@@ -95,3 +95,16 @@ def test_chunks_of_long_texts_count_each_gram_once(monkeypatch):
     whole = language_id.gram_counts(text)
     monkeypatch.setattr(language_id, "BLOCK", 5)
     assert (language_id.gram_counts(text) == whole).all()
+
+
+def test_columns_with_the_names_of_results_are_replaced(spark):
+    rows = [(i, "the dog of the house", "en", "old", "old", "old", "old", "old", "old") for i in range(9)]
+    names = ["doc_id", "text", "lang", "held_out", "lang_pred", "score", "n_tokens", "ids", "ids_sha256"]
+    docs = spark.createDataFrame(rows, names)
+    told = language_id.identify(docs, ("held_out", "lang_pred", "score", "lang"))
+    assert told.columns == ["doc_id", "lang", "held_out", "lang_pred", "score"]
+    assert {r.lang_pred for r in told.collect()} == {"en"}
+    ranks = byte_bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for ids in (True, False):
+        encoded = byte_bpe.with_tokens(docs, ranks, public_tokenizers.PATTERN, ids=ids)
+        assert len(set(encoded.columns)) == len(encoded.columns) and {r.n_tokens for r in encoded.collect()} == {5}

@@ -176,9 +176,11 @@ def with_tokens(docs: DataFrame, shared: Broadcast, pattern: str, text: str = "t
 
     Adds n_tokens, ids_sha256 (of the decimal ids with single spaces), decoded_sha256 (of the bytes
     the ids decode to) and, with ``ids``, the ids themselves as an array. Null counts as the empty
-    text, which has no tokens. Long texts are encoded whole. All other columns pass through.
+    text, which has no tokens. Long texts are encoded whole. Columns that already have these names are replaced, all
+    others pass through.
     """
-    rest = [c for c in docs.columns if c != text]
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", *(("ids",) if ids else ()))
+    rest = [c for c in docs.columns if c != text and c not in names]
     frame = docs.select(*rest, raw(text).alias("n_tokens"))
     added = [F.lit(0).cast("bigint").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")]
     if ids:

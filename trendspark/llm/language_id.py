@@ -111,10 +111,11 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Replace the text column by (lang_pred, score), read off the whole text alone.
 
-    Null, empty and letterless texts get ``und`` and 0. Ties go to the language that sorts first.
+    Null, empty and letterless texts get ``und`` and 0. Ties go to the language that sorts first. Columns that already
+    have these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     frame = docs.select(*rest, F.col(text).cast("binary").alias("lang_pred"))
     schema = docs.select(*rest, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
@@ -139,8 +140,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def identify(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn on the rows that are not held out and predict all: (doc_id, *carry, held_out, lang_pred, score).
 
-    A null doc_id counts as not held out but is not learned from either.
+    A null doc_id counts as not held out but is not learned from either. Carried columns with the names of results are replaced.
     """
+    carry = tuple(c for c in carry if c not in ("doc_id", "held_out", "lang_pred", "score"))
     model = fit(docs, F.col("doc_id").isNotNull() & ~held_out())
     rows = docs.select("doc_id", *carry, held_out().alias("held_out"), F.col("text").alias("_text"))
     return with_language(rows, model, "_text")
