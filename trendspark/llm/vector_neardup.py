@@ -15,6 +15,7 @@ from trendspark.session import stage
 PASSES = 12
 WINDOW = 256
 BLOCK = 2_048
+SLICE = 1_024
 KEY_BITS = 64
 
 
@@ -43,8 +44,17 @@ def sort_keys(x: np.ndarray, number: int, seed: int) -> np.ndarray:
     return bits.view(">u8")[:, 0].astype(np.uint64).view(np.int64) ^ np.int64(-(1 << 63))
 
 
+def passes_for(n_classes: int, window: int) -> int:
+    """How many passes bring a pair at the limit of 0.98 into one window at least once, but for one pair in a thousand.
+
+    A random plane parts such a pair with probability 0.064, and the first log2(n / window) signs must agree.
+    """
+    same = 0.936 ** np.log2(max(n_classes / window, 1))
+    return max(PASSES, int(np.ceil(np.log(1e-3) / np.log1p(-min(same, 0.999)))))
+
+
 def _with_keys(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """A row per class and pass: (pass, label, dim, key, cid, embedding)."""
+    """A row per class and pass, without the vector: (pass, label, dim, key, cid)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -55,13 +65,12 @@ def _with_keys(classes: DataFrame, passes: int, seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(part.num_rows, number), pa.int32()), part.column("label"), part.column("dim"),
-                            pa.array(sort_keys(x, number, seed)), part.column("cid"), part.column("embedding"),
+                            pa.array(sort_keys(x, number, seed)), part.column("cid"),
                         ],
-                        names=["pass", "label", "dim", "key", "cid", "embedding"],
+                        names=["pass", "label", "dim", "key", "cid"],
                     )
 
-    kinds = dict(classes.dtypes)
-    schema = f"pass int, label {kinds['label']}, dim int, key bigint, cid bigint, embedding {kinds['embedding']}"
+    schema = f"pass int, label {dict(classes.dtypes)['label']}, dim int, key bigint, cid bigint"
     return classes.select("cid", "label", "dim", "embedding").mapInArrow(work, schema)
 
 
@@ -78,45 +87,73 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, rows.withColumns({"part": F.lit(0), "nth": F.lit(0).cast("bigint")}).schema)
 
 
-def _compare(window: int, least: float):
-    """Within one block of the sorted rows, the pairs of classes at most ``window`` places apart that are similar."""
+def _similar(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of ``x`` and ``y`` have cosine ``least`` or more; those at the limit are multiplied one by one."""
+    cosine = x @ y.T
+    near = cosine >= least
+    i, j = np.nonzero(np.abs(cosine - least) <= 1e-9)
+    near[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= least
+    return near
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers 0..n-1 that each reaches over the pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        for ends in (root[i], root[j], i, j):
+            np.minimum.at(root, ends, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _join_near(window: int, least: float):
+    """Within one block of the sorted rows, join the classes at most ``window`` places apart that are similar.
+
+    Returns a pair per class with the smallest class it is joined with, not all the links.
+    """
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("at")
         at, cid, own = (rows.column(c).to_numpy() for c in ("at", "cid", "own"))
         dims = rows.column("dim").to_numpy()
         group = rows.select(["pass", "label", "dim"]).to_pandas().groupby(["pass", "label", "dim"]).ngroup().to_numpy()
-        found = []
+        found = [np.zeros((2, 0), np.int64)]
         for dim in np.unique(dims).tolist():
             (here,) = np.nonzero(dims == dim)
             x = _unit(_matrix(rows.column("embedding").combine_chunks().take(pa.array(here)), dim))
             for a in range(0, len(here), window):
                 left = max(0, a - window)
                 later, earlier = here[a:a + window], here[left:a + window]
-                near = x[a:a + window] @ x[left:a + window].T >= least - 1e-9
+                near = _similar(x[a:a + window], x[left:a + window], least)
                 gap = at[later][:, None] - at[earlier][None, :]
                 near &= (gap > 0) & (gap <= window) & own[later][:, None]
                 near &= group[later][:, None] == group[earlier][None, :]
                 i, j = np.nonzero(near)
-                exact = np.einsum("ij,ij->i", x[a + i], x[left + j]) >= least
-                one, two = cid[later[i[exact]]], cid[earlier[j[exact]]]
-                found.append(np.stack([np.minimum(one, two), np.maximum(one, two)]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                found.append(np.stack([later[i], earlier[j]]))
+        i, j = np.concatenate(found, axis=1)
+        root = _roots(len(cid), i, j)
+        joined = root != np.arange(len(cid))
+        return pa.table({"a": pa.array(cid[joined], pa.int64()), "b": pa.array(cid[root[joined]], pa.int64())})
 
     return work
 
 
-def class_links(
-    classes: DataFrame, n_classes: int, least: float = 0.98, passes: int = PASSES, window: int = WINDOW, seed: int = 5
+def joined_classes(
+    classes: DataFrame, n_classes: int, least: float = 0.98, passes: int | None = None, window: int = WINDOW, seed: int = 5
 ) -> DataFrame:
-    """Pairs (a, b) of classes with cosine ``least`` or more that some pass brings within ``window`` places.
+    """Pairs (a, b) of classes that verified links join; classes have cosine ``least`` or more and come within ``window`` places in a pass.
 
     Each pass sorts all vectors by label and the concatenated signs of random projections. The sorted line
     is cut into blocks that overlap by the window, so a task holds a bounded number of rows whatever the
-    data, also where many vectors share one key: the class number splits them.
+    data, also where many vectors share one key: the class number splits them. Only keys are sorted; the vectors
+    meet their places once, on the way to the blocks. The links of a block are united there, so it returns at most
+    a pair per row.
     """
     spark = classes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_classes * passes // 50_000))
+    passes = passes or passes_for(n_classes, window)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_classes * passes // 500_000))
     order = ["pass", "dim", "label", "key", "cid"]
     line = _with_keys(classes, passes, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     line = stage(_numbered(line.drop("key")), "line")
@@ -130,15 +167,55 @@ def class_links(
     halo = F.struct((block + 1).alias("block"), F.lit(False).alias("own"))
     both = F.when(F.col("at") % BLOCK >= BLOCK - window, F.array(own, halo)).otherwise(F.array(own))
     spread = placed.withColumn("_b", F.explode(both)).select("*", "_b.block", "_b.own").drop("_b")
-    return spread.groupBy("block").applyInArrow(_compare(window, least), "a bigint, b bigint").distinct()
+    filled = spread.join(classes.select("cid", "embedding"), "cid")
+    return filled.groupBy("block").applyInArrow(_join_near(window, least), "a bigint, b bigint").distinct()
+
+
+def _count_links(least: float):
+    """Within a pair of slices of one component, the weight of the links of each class."""
+    def work(rows: pa.Table) -> pa.Table:
+        cid, weight, piece = (rows.column(c).to_numpy() for c in ("cid", "n", "piece"))
+        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+        x = _unit(_matrix(rows.column("embedding"), rows.column("dim")[0].as_py()))
+        one, two = np.nonzero(piece == low)[0], np.nonzero(piece == high)[0]
+        others = np.zeros(len(cid), np.int64)
+        for a in range(0, len(one), SLICE):
+            mine = one[a:a + SLICE]
+            for b in range(0, len(two), SLICE):
+                yours = two[b:b + SLICE]
+                near = _similar(x[mine], x[yours], least) & (cid[mine][:, None] != cid[yours][None, :])
+                others[mine] += near @ weight[yours]
+                if low < high:
+                    others[yours] += weight[mine] @ near
+        return pa.table({"cid": pa.array(cid, pa.int64()), "others": pa.array(others, pa.int64())})
+
+    return work
+
+
+def link_counts(classes: DataFrame, rooted: DataFrame, least: float = 0.98) -> DataFrame:
+    """How many vectors of other classes each class links with: (cid, others), for classes in components of two or more.
+
+    ``rooted`` holds (cid, root) of these. All links of a class lie inside its component, so comparing the
+    component with itself finds every one, also those no window saw. A component is cut into slices of
+    about ``SLICE`` classes by a hash, and each pair of slices is a group of its own, which returns sums and no links.
+    """
+    sizes = stage(rooted.groupBy("root").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), "sizes")
+    own = F.pmod(F.xxhash64("cid"), "slices").cast("int")
+    pieces = rooted.join(sizes, "root").select("cid", "root", "slices", own.alias("piece"))
+    met = pieces.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    keyed = met.withColumns({"low": F.least("piece", "met"), "high": F.greatest("piece", "met")}).drop("met", "slices")
+    filled = keyed.join(classes.select("cid", "n", "dim", "embedding"), "cid")
+    found = filled.groupBy("root", "low", "high").applyInArrow(_count_links(least), "cid bigint, others bigint")
+    return found.groupBy("cid").agg(F.sum("others").alias("others"))
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, passes: int = PASSES, window: int = WINDOW, seed: int = 5) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, passes: int | None = None, window: int = WINDOW, seed: int = 5) -> DataFrame:
     """Link vectors of one label by cosine: (vec_id, n_links, component_id, kept), one row per vector.
 
     Null labels, null vectors and vectors that are zero or hold null or non-finite components link with
     nothing; so do vectors of different length. Equal vectors of a label form one class, which is
-    compared once and counts with all its members. ``component_id`` is the smallest vec_id that links reach,
+    compared once and counts with all its members. The sorted passes find the components; ``n_links`` then counts every link
+    inside them, however many there are. ``component_id`` is the smallest vec_id that links reach,
     ``kept`` whether it is the row's own. An empty table gives no rows.
     """
     rows = vectors.select("vec_id", "embedding", "label")
@@ -147,14 +224,12 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, passes: int
     classes = stage(
         grouped.withColumns({"cid": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "classes"
     )
-    links = stage(class_links(classes, classes.count(), least, passes, window, seed), "links")
-    sizes = classes.select("cid", "n")
-    ends = links.select(F.col("a").alias("cid"), F.col("b").alias("to")).union(links.select("b", "a"))
-    to = sizes.select(F.col("cid").alias("to"), F.col("n").alias("weight"))
-    degrees = stage(ends.join(to, "to").groupBy("cid").agg(F.sum("weight").alias("others")), "degrees")
-    rooted = components(links, "a", "b")
+    joins = stage(joined_classes(classes, classes.count(), least, passes, window, seed), "links")
+    rooted = stage(components(joins, "a", "b").withColumnRenamed("node", "cid"), "components")
+    members = stage(rooted.union(rooted.select("root", "root").distinct()), "members")
+    degrees = stage(link_counts(classes, members, least), "degrees")
     known = stage(
-        classes.join(rooted, F.col("cid") == F.col("node"), "left").join(degrees, "cid", "left")
+        classes.join(rooted, "cid", "left").join(degrees, "cid", "left")
         .select(
             "label", "embedding", "first_id", F.coalesce("root", "cid").alias("root"),
             (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"),
