@@ -331,3 +331,64 @@ def test_recall_of_links(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in vectors.collect()]
     got = vector_neardup.near_duplicate_vectors(vectors).collect()
     assert sum(r.n_links for r in got) >= 0.95 * 2 * len(plain_vectors(rows))
+
+
+def test_all_links_of_a_dense_ball_and_of_pairs_at_the_limit(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(32)
+    ball = centre / np.linalg.norm(centre) + 0.0155 * rng.standard_normal((5_000, 32))
+    one = rng.standard_normal((2_000, 32))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side = rng.standard_normal((2_000, 32))
+    side -= (side * one).sum(axis=1, keepdims=True) * one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.985, (2_000, 1))
+    x = np.concatenate([ball, one, cosine * one + np.sqrt(1 - cosine**2) * side])
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_neardup.near_duplicate_vectors(frame).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit[:5_000] @ unit[:5_000].T >= 0.98).sum(axis=1) - 1
+    assert want.mean() > 2_000 and (want < 4_999).any()
+    assert [got[i].n_links for i in range(5_000)] == want.tolist()
+    linked = sum(got[5_000 + i].component_id == got[7_000 + i].component_id for i in range(2_000))
+    assert linked >= 0.99 * 2_000
+
+
+def test_slices_and_passes():
+    rng = np.random.default_rng(4)
+    i, j = rng.integers(0, 400, 150), rng.integers(0, 400, 150)
+    want = roots(range(400), [(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b])
+    assert vector_neardup._roots(400, i, j).tolist() == [want[n] for n in range(400)]
+    assert vector_neardup.passes_for(1_000, 256) == vector_neardup.PASSES < vector_neardup.passes_for(10**9, 256) < 40
+
+
+def test_extended_runs_against_every_match_on_its_own():
+    draw = random.Random(9)
+    for _ in range(400):
+        here, there = ([draw.randint(0, draw.choice([0, 1, 3])) for _ in range(draw.randint(1, 60))] for _ in range(2))
+        if draw.random() < 0.3:
+            there = here
+        words = [draw.randint(1, 9) for _ in here]
+        places = [(i, j) for i, h in enumerate(here) for j, t in enumerate(there) if h == t and (there is not here or j < i)]
+        at = draw.sample(places, min(len(places), draw.randint(0, 40)))
+        want = set()
+        for i, j in at:
+            first, last, k = i, i, j
+            while first and k and here[first - 1] == there[k - 1]:
+                first, k = first - 1, k - 1
+            while last + 1 < len(here) and j + last + 1 - i < len(there) and here[last + 1] == there[j + last + 1 - i]:
+                last += 1
+            if sum(words[first:last + 1]) >= line_dedup.GRAM_WORDS:
+                want |= set(range(first, last + 1))
+        found = line_dedup.extend(np.array(here), np.array(there), np.concatenate(([0], np.cumsum(words))), at)
+        assert {n for a, b in found for n in range(a, b + 1)} == want
+        assert sorted(found) == found and all(a[1] < b[0] for a, b in zip(found, found[1:]))
+
+
+def test_a_text_of_many_equal_lines(spark):
+    n = 300_000
+    log = "the same five words here\n" * n
+    docs = spark.createDataFrame([(1, log), (2, "a line of its own"), (3, log[:25 * 40])], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got[1].n_lines == n and got[1].n_removed == n - 1
+    assert got[2].n_removed == 0 and got[3].n_removed == 40

@@ -86,28 +86,59 @@ def _line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, schema).dropDuplicates(["key"])
 
 
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements at the beginning of ``a`` and ``b`` agree; looks no further than twice as far."""
+    n, done, step = min(len(a), len(b)), 0, 64
+    while done < n:
+        same = a[done:min(n, done + step)] == b[done:min(n, done + step)]
+        if not same.all():
+            return done + int(same.argmin())
+        done, step = done + len(same), 2 * step
+    return n
+
+
+def extend(here: np.ndarray, there: np.ndarray, ends: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches (first, last) of ``here`` covered by common runs of ``GRAM_WORDS`` words through the places ``at`` (here, there).
+
+    ``ends`` are the sums of words before each line. A match inside the present stretch is extended only if the
+    line just before or behind the stretch agrees as well; otherwise it adds nothing. So a text of
+    many equal lines is gone through once and not once a line.
+    """
+    stretches, low, high = [], 0, -1
+    for i, j in sorted(at):
+        if i <= high:
+            after, before = j + high + 1 - i, j + low - 1 - i
+            on = high + 1 < len(here) and after < len(there) and here[high + 1] == there[after]
+            if not on and not (low > 0 and before >= 0 and here[low - 1] == there[before]):
+                continue
+        back = _agree(here[:i][::-1], there[:j][::-1]) if i and j else 0
+        first, last = i - back, i + _agree(here[i:], there[j:]) - 1
+        if ends[last + 1] - ends[first] < GRAM_WORDS:
+            continue
+        if first <= high:
+            low, high = min(low, first), max(high, last)
+            # Reaching back over earlier stretches makes one of them.
+            while stretches and stretches[-1][1] >= low:
+                low = min(low, stretches.pop()[0])
+        else:
+            low, high = first, last
+        stretches.append((low, high))
+    return stretches
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs (key, first, last) of lines of a later text that an earlier one has as well."""
     for batch in batches:
         keys, firsts, lasts = [], [], []
         for row in batch.to_pylist():
-            here, there, words = np.array(row["here"]), np.array(row["there"]), row["words"]
-            covered: dict[int, int] = {}  # by distance of the two places: another match may reach further
-            for pos, other in sorted((m["pos"], m["other"]) for m in row["at"]):
-                if pos <= covered.get(other - pos, -1):
-                    continue
-                i, j = pos - row["here_from"], other - row["there_from"]
-                back = min(i, j)
-                same = here[i - back:i][::-1] == there[j - back:j][::-1]
-                back = back if same.all() else int(same.argmin())
-                ahead = min(len(here) - i, len(there) - j)
-                same = here[i:i + ahead] == there[j:j + ahead]
-                ahead = ahead if same.all() else int(same.argmin())
-                if sum(words[i - back:i + ahead]) >= GRAM_WORDS:
-                    covered[other - pos] = pos + ahead - 1
-                    keys.append(row["key"])
-                    firsts.append(pos - back)
-                    lasts.append(pos + ahead - 1)
+            base, other = row["here_from"], row["there_from"]
+            found = extend(
+                np.array(row["here"]), np.array(row["there"]), np.concatenate(([0], np.cumsum(row["words"]))),
+                [(m["pos"] - base, m["other"] - other) for m in row["at"]],
+            )
+            keys += [row["key"]] * len(found)
+            firsts += [first + base for first, _ in found]
+            lasts += [last + base for _, last in found]
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["key", "first", "last"]
         )
