@@ -172,3 +172,11 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = write_once(stage(spark, docs, SMALL))
         assert docs.count() <= len(rows) * 3
+
+
+def test_blocks_grow_with_the_corpus():
+    small = [mixing.Source(0, "a", 10, 5_000, 5_000.0)]
+    assert mixing.block_size(small) == mixing.BLOCK_WORDS
+    huge = [mixing.Source(i, str(i), 10**9, 5 * 10**13, 5e13) for i in range(3)]
+    blocks = sum(-(-s.target // mixing.block_size(huge)) + 1 for s in huge)
+    assert mixing.MAX_BLOCKS / 2 < blocks < 10**9

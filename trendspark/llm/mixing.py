@@ -14,6 +14,8 @@ from trendspark.llm.common import WORD
 from trendspark.session import stage
 
 MAX_SOURCES = 100_000  # rows of the list of sources, which the driver holds and broadcasts
+BLOCK_WORDS = 4_096  # of a source's line, dealt to one shard
+MAX_BLOCKS = 500_000_000
 BUCKET_ROWS = 4_096  # rows of a source that are put in order together
 
 
@@ -174,8 +176,6 @@ def _stride(n: int) -> int:
 def deal_blocks(spark: SparkSession, quotas: Sequence[int], shards: int, seed: int = 17) -> DataFrame:
     """Deal each source's blocks to the shards: (at, block, shard), each block once."""
     held = np.asarray(quotas, np.int64)
-    if held.sum() >= 1_000_000_000:
-        raise ValueError("a billion blocks or more: choose larger blocks")
     strides = np.array([_stride(int(q)) for q in held], np.int64) if len(held) else held
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,14 +195,24 @@ def deal_blocks(spark: SparkSession, quotas: Sequence[int], shards: int, seed: i
     return spark.range(shards).mapInArrow(work, "at int, block bigint, shard int")
 
 
-def draw(copies: DataFrame, sources: Sequence[Source], block_words: int = 4_096, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+def block_size(sources: Sequence[Source]) -> int:
+    """Words per block: ``BLOCK_WORDS``, or more where that would make over ``MAX_BLOCKS`` blocks.
+
+    The hypergeometric draws of the tree are made for fewer than a billion blocks.
+    """
+    return max(BLOCK_WORDS, math.ceil(sum(s.target for s in sources) / MAX_BLOCKS))
+
+
+def draw(copies: DataFrame, sources: Sequence[Source], block_words: int | None = None, shard_words: int | None = None, seed: int = 17) -> DataFrame:
     """One row per copy taken: the columns of ``copies`` with ``copy``, ``block``, ``shard`` and ``slot``.
 
-    Round after round a source's line is cut into blocks of ``block_words`` words; a row belongs to
-    the block in which it starts. The blocks are dealt to shards of about ``shard_words`` words. ``slot`` is the
+    Round after round a source's line is cut into blocks of ``block_words`` words (``block_size`` if not given); a row belongs to
+    the block in which it starts. The blocks are dealt to shards of about ``shard_words`` words (256 blocks if not given). ``slot`` is the
     random order within a shard.
     """
     spark = copies.sparkSession
+    block_words = block_words or block_size(sources)
+    shard_words = shard_words or 256 * block_words
     quotas = [math.ceil(s.target / block_words) + 1 for s in sources]
     shards = max(1, round(sum(s.target for s in sources) / shard_words))
     dealt = deal_blocks(spark, quotas, shards, seed)
