@@ -12,6 +12,7 @@ from trendspark.functions import clipping, text as texts
 from trendspark.functions.hashing import uniform
 from trendspark.operators import blend, dedup, embeddings, evaluate, filters, normalize, profile, rank, sampling, scale
 from trendspark.plans import meta, score as plan, training
+from trendspark.plans.build import build_warehouse
 from trendspark.plans.components import Components, truncated_svd
 from trendspark.schema import BALANCE_EDGES, BIAS_EDGES, DECILE_EDGES, REPORT_EDGES, FEATURE_CONFIGS, feature_config
 
@@ -1321,6 +1322,64 @@ def _(spark, sf):
     return read_table(spark, path)
 
 
+_BUILT = f"""{sql.SNAPSHOTS}, fed AS (
+  SELECT * REPLACE (
+      concat(coalesce("videoId", ''), '|', coalesce(CAST("trendingDate" AS VARCHAR), ''), '|', coalesce(region, '')) AS snapshot_key,
+      CASE WHEN source <> 'src_R' AND "viewCount" % 7 = 0 AND "viewCount" >= 1000 THEN NULL ELSE "viewCount" END AS "viewCount",
+      CASE WHEN source <> 'src_R' THEN "rank" END AS "rank",
+      CASE source WHEN 'src_A' THEN 'daily' WHEN 'src_N' THEN 'many' ELSE 'api' END AS source)
+  FROM snapshots WHERE region IS NULL OR region IN ({sql.KEEP_LIST})
+), cleaned AS (
+  SELECT * REPLACE (coalesce("viewCount", 0) AS "viewCount", coalesce("rank", 0) AS "rank") FROM fed
+  QUALIFY row_number() OVER (PARTITION BY snapshot_key ORDER BY "viewCount" DESC NULLS LAST, "likeCount" DESC NULLS LAST,
+    "commentCount" DESC NULLS LAST, "rank" DESC NULLS LAST, "publishedAt" DESC NULLS LAST, title DESC NULLS LAST, source DESC) = 1
+), {sql.score_parts('cleaned', '"rank"')}"""
+
+
+def _landed(spark: SparkSession, sf: str) -> tuple[dict[str, str], DataFrame]:
+    """Two folders of raw CSV feeds, and the rest of the snapshots as parsed responses of a service."""
+    rows = snapshots(spark, sf)
+    roots = {
+        tag: _csv_folder(_raw_feed(rows.where(F.col("source") == name)).drop("snapshot_key"), tag)
+        for tag, name in (("daily", "src_A"), ("many", "src_N"))
+    }
+    item = F.struct(
+        F.col("videoId").alias("id"),
+        F.struct("title", F.date_format("publishedAt", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt")).alias("snippet"),
+        F.struct(*[F.col(c).cast("string").alias(c) for c in ("viewCount", "likeCount", "commentCount")]).alias("statistics"),
+    )
+    # A page of answers holds what falls into one of 64 parts of a region's day.
+    page = F.pmod(F.xxhash64("snapshot_key"), F.lit(64)).alias("page")
+    answers = rows.where("source = 'src_R'").groupBy("region", "trendingDate", page).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
+    return roots, parse_trending_json(answers, "body", F.col("region"), F.col("trendingDate"))
+
+
+@query(
+    "built_warehouse",
+    f"""WITH {_BUILT} SELECT "videoId", strftime("trendingDate", '%Y-%m-%d') AS trending, region, source, title, "viewCount", "likeCount",
+        "rank", '1.0.0' AS feature_version, {r6(*METRICS, 'viral_score')} FROM scored""",
+)
+def _(spark, sf):
+    # From raw files and responses to the scored table, in one step.
+    roots, answers = _landed(spark, sf)
+    path = new_folder(spark, "warehouse")
+    build_warehouse(spark, roots, path, now(), [answers], keep_regions=KEEP)
+    return rounded(read_table(spark, path).select(
+        "videoId", F.date_format("trendingDate", "yyyy-MM-dd").alias("trending"), "region", "source", "title", "viewCount",
+        "likeCount", "rank", "feature_version", *METRICS, "viral_score",
+    ))
+
+
+@query(
+    "built_warehouse_report",
+    f"""WITH {_BUILT} SELECT source, count(*) AS n_rows, count("publishedAt") AS "with_publishedAt", count("trendingDate") AS "with_trendingDate"
+        FROM cleaned GROUP BY source""",
+)
+def _(spark, sf):
+    roots, answers = _landed(spark, sf)
+    return build_warehouse(spark, roots, new_folder(spark, "warehouse"), now(), [answers], keep_regions=KEEP)
+
+
 @query(
     "evolved_schema",
     "SELECT o_orderkey, o_orderstatus, CAST(NULL AS VARCHAR) AS data_source FROM orders",
