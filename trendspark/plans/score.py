@@ -11,11 +11,12 @@ from ..functions.scoring import (
     age_hours, early, engagement, log_rate, rank_score, rate, recency, weighted_sum, with_noise_term,
 )
 from ..operators.dedup import dedup_keep_last
+from ..operators.distribution import percentile_on, store_distribution
 from ..operators.filters import filter_regions
 from ..operators.normalize import coerce_counts, coerce_timestamps
 from ..operators.profile import completeness
 from ..operators.rank import pct_rank
-from ..operators.scale import Stats, robust_sigmoid
+from ..operators.scale import Stats, robust_sigmoid, robust_stats
 from ..schema import KEEP_REGIONS, SNAPSHOT_KEYS, FeatureConfig, feature_config
 from ..session import stage
 
@@ -56,21 +57,33 @@ def score(
     cfg: FeatureConfig | None = None,
     seed: int | str = 42,
     stats: Stats | None = None,
+    distribution: str | None = None,
 ) -> DataFrame:
     """Add all derived columns up to ``viral_score``.
 
     ``now``, a UTC time, stands in for a missing trending date. ``key`` identifies a row and drives its noise.
     Scores are percentiles of the given rows: to score appended rows on the scale of earlier ones
-    pass the ``robust_stats`` of those as ``stats``.
+    pass what ``freeze_scale`` returned and stored for those as ``stats`` and ``distribution``.
     """
     recipe = cfg or feature_config()
     measured = metrics(df, now, stats).withColumn("_raw", weighted_sum(recipe.weights))
-    ranked = pct_rank(measured, "_raw", "_pct")
+    ranked = percentile_on(measured, "_raw", "_pct", distribution) if distribution else pct_rank(measured, "_raw", "_pct")
     base = F.pow(F.col("_pct"), F.lit(recipe.power))
     scored = ranked.withColumn("viral_score", with_noise_term(base, uniform(key, seed), recipe.noise))
     return scored.withColumn("feature_version", F.lit(recipe.version)).drop("_raw", "_pct")
 
 
+def freeze_scale(df: DataFrame, now: str | Column, path: str, cfg: FeatureConfig | None = None) -> Stats:
+    """Store the distribution of the weighted sums of ``df`` at ``path`` and return the scale of its rates.
+
+    With both, ``score`` gives appended rows the scores they would have among these rows, which keep theirs.
+    """
+    recipe = cfg or feature_config()
+    stats = robust_stats(stage(rates(df, now).select(*[f"{out}_log" for out in RATES]), "logs"), [f"{out}_log" for out in RATES])
+    store_distribution(metrics(df, now, stats).select(weighted_sum(recipe.weights).alias("raw")), "raw", path)
+    return stats
+
+
 def clean(
     df: DataFrame,
     order_col: str | Sequence[str],

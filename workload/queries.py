@@ -87,6 +87,30 @@ def _(spark, sf):
     return rounded(done.select("snapshot_key", "rankScore_n", "viral_score"))
 
 
+_OLD_SCALE = sql.score_parts("deduped", 'coalesce("rank", 0)').replace("FROM logged\n)", "FROM logged WHERE source <> 'src_R'\n)")
+
+
+@query(
+    "appended_scores",
+    f"""WITH {sql.SNAPSHOTS}, {sql.DEDUPED}, {_OLD_SCALE}, old AS (
+        SELECT raw_score AS v, count(*) AS n, sum(count(*)) OVER (ORDER BY raw_score) AS upto FROM raw WHERE source <> 'src_R' GROUP BY raw_score),
+    fresh AS (SELECT * FROM raw WHERE source = 'src_R'),
+    placed AS (
+        SELECT f.*, coalesce(o.upto, 0) AS upto, CASE WHEN o.v = f.raw_score THEN o.n ELSE 0 END AS same
+        FROM fresh f ASOF LEFT JOIN old o ON f.raw_score >= o.v),
+    shared AS (SELECT *, pow(least(1.0::DOUBLE, (upto - same + (same + 1) / 2.0::DOUBLE) / (SELECT sum(n) FROM old)), 1.5::DOUBLE) AS base FROM placed),
+    final AS (SELECT * REPLACE (base + {sql.unit('snapshot_key', '42')} * 0.05::DOUBLE * (1 - base) AS base) FROM shared)
+    SELECT snapshot_key, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, base)), 6) + 0.0::DOUBLE AS viral_score FROM final""",
+)
+def _(spark, sf):
+    # The rows of one source are appended and scored on the stored scale of the others.
+    cleaned = plan.clean(snapshots(spark, sf), "snapshot_key", KEEP)
+    path = new_folder(spark, "scale")
+    stats = plan.freeze_scale(cleaned.where("source <> 'src_R'"), now(), path)
+    fresh = plan.score(cleaned.where("source = 'src_R'"), now(), ["snapshot_key"], stats=stats, distribution=path)
+    return rounded(fresh.select("snapshot_key", "viral_score"))
+
+
 @query("rates_per_hour", f"WITH {sql.SCORED} SELECT snapshot_key, {r6(*RATE_NAMES)} FROM logged")
 def _(spark, sf):
     cleaned = plan.clean(snapshots(spark, sf), "snapshot_key", KEEP)
