@@ -16,6 +16,10 @@ from trendspark.session import stage
 # Stands in for the run clock where a snapshot has no trending date.
 NOW = "2001-12-01 00:00:00"
 AS_OF = "2001-12-01"
+LINE = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
+    "l_shipdate",
+)
 KEEP = tuple(f"NATION_{i}" for i in range(15))
 
 _built: dict[tuple[str, str, str], DataFrame] = {}
@@ -35,18 +39,17 @@ def now() -> Column:
 
 def map_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """The snapshot rows, mapped from orders and their lines."""
-    lines = read(spark, sf, "lineitem")
+    # The lines, by far the most rows, are dealt out once, by order and still narrow; the join with the orders reuses that.
+    lines = read(spark, sf, "lineitem").select(*LINE).repartition("l_orderkey")
     orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
     nations = read(spark, sf, "nation").select("n_nationkey", "n_name")
     parts = read(spark, sf, "part").select("p_partkey", "p_name")
     documents = read(spark, sf, "documents")
-    joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    )
+    # Orders find their nation before they meet their lines, which then need not travel for it.
+    placed = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    dated = orders.join(placed, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "n_name")
+    joined = lines.join(dated, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     n_docs = documents.agg(F.count("*").alias("n")).scalar()
     key = F.md5(
         F.concat_ws(
@@ -90,8 +93,8 @@ def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
     """The snapshot table; ``texts`` adds the description, by far its widest column."""
-    # The joins above need no shuffle, so the rows are dealt out evenly before they are written.
-    table = _once(spark, sf, "snapshots", lambda: map_snapshots(spark, sf).repartition("snapshot_key"))
+    # The lines are dealt out before the joins: the wide rows are written where they are.
+    table = _once(spark, sf, "snapshots", lambda: map_snapshots(spark, sf))
     return with_texts(spark, sf, table) if texts else table
 
 
