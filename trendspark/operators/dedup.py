@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,10 +30,40 @@ def dedup_keep_last(df: DataFrame, keys: Sequence[str], order_col: str | Sequenc
 
 
 def dedup_text(df: DataFrame, cols: Sequence[str], order_col: str | Sequence[str]) -> DataFrame:
-    """Of the rows with exactly equal texts keep the first in the order of one or more columns."""
+    """Of the rows with exactly equal texts keep the first in the order of one or more columns.
+
+    Rows are sorted with all their columns. Where many rows refer to few long texts, compare the digests of ``Referred``.
+    """
     return _one_per_key(df, cols, [F.col(c).asc_nulls_last() for c in _names(order_col)])
 
 
+@dataclass(frozen=True)
+class Referred:
+    """Texts kept apart from the rows that refer to them: ``text`` of the rows of ``df`` whose ``id`` equals a row's ``ref``.
+
+    Rows can be compared by the digest of their text and get the text itself when few are left.
+    """
+
+    df: DataFrame
+    ref: str
+    id: str
+    text: str
+    digest: str = "_digest"
+
+    def _sha(self) -> Column:
+        return F.sha2(F.col(self.text).cast("binary"), 256).alias(self.digest)
+
+    def with_digest(self, rows: DataFrame) -> DataFrame:
+        """Add the SHA-256 of the text, worked out once per text; a left join, so null without a text."""
+        found = self.df.select(F.col(self.id).alias("_id"), self._sha())
+        return rows.join(found, F.col(self.ref) == F.col("_id"), "left").drop("_id")
+
+    def with_text(self, rows: DataFrame, out: str) -> DataFrame:
+        """Put the text in the place of the digest, under the name ``out``."""
+        texts = self.df.select(self._sha(), F.col(self.text).alias(out)).groupBy(self.digest).agg(F.first(out).alias(out))
+        return rows.join(texts, self.digest, "left").drop(self.digest)
+
+
 def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows, distinct keys, and rows beyond the first of their key."""
     per_key = df.groupBy(F.xxhash64(*keys).alias("_kh"), *keys).agg(F.count("*").alias("c"))

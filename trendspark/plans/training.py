@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import PROMPT, detect_language, response_text, short_description
-from ..operators.dedup import dedup_text
+from ..operators.dedup import Referred, dedup_text
 from ..operators.sampling import bin_noise, rebalance, stratified_cap, train_test_split
 from ..schema import BALANCE_EDGES, DECILE_EDGES
+from ..session import stage
 
 
 def build_sft(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -30,11 +31,22 @@ def sft_text(prompt: str = "prompt", response: str = "response") -> Column:
     return F.concat(F.col(prompt), F.col(response))
 
 
-def prepare_sft(df: DataFrame, key: str, test: float = 0.1, seed: int | str = 42) -> DataFrame:
-    """Rows with texts, without repeated texts, as examples labelled train or test."""
-    with_texts = df.where(F.col("title").isNotNull() & F.col("description").isNotNull())
-    unique = dedup_text(with_texts, ["title", "description"], key)
-    return train_test_split(build_sft(unique, [key]), test, [key], seed)
+def prepare_sft(
+    df: DataFrame, key: str, test: float = 0.1, seed: int | str = 42, descriptions: Referred | None = None
+) -> DataFrame:
+    """Rows with texts, without repeated texts, as examples labelled train or test.
+
+    ``descriptions`` are referred to by the rows if these have no column of that name. The rows that stay are written
+    once; the split reads them several times.
+    """
+    body = descriptions.digest if descriptions else "description"
+    rows = descriptions.with_digest(df) if descriptions else df
+    with_texts = rows.where(F.col("title").isNotNull() & F.col(body).isNotNull())
+    score = ["viral_score"] if "viral_score" in df.columns else []
+    unique = stage(dedup_text(with_texts, ["title", body], key).select(key, "title", body, *score), "unique")
+    split = train_test_split(unique, test, [key], seed)
+    whole = build_sft(descriptions.with_text(split, "description") if descriptions else split, [key, "split"])
+    return whole.select(*[c for c in whole.columns if c != "split"], "split")
 
 
 def prepare_regression(

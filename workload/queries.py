@@ -29,7 +29,7 @@ from trendspark.streaming.ingest import coverage_stream, file_stream, ingest_str
 from trendspark.streaming.settle import BATCH, compact, ingest_changes, ingest_keep_last, latest
 
 from . import oracle_parts as sql
-from .tables import AS_OF, KEEP, examples, map_snapshots, now, predictions, read, scored, snapshots, with_texts
+from .tables import AS_OF, KEEP, descriptions, examples, map_snapshots, now, predictions, read, scored, snapshots, with_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -280,8 +280,10 @@ def _(spark, sf):
         FROM texts GROUP BY title, description""",
 )
 def _(spark, sf):
-    df = dedup.dedup_text(snapshots(spark, sf, texts=True), ["title", "description"], "snapshot_key")
-    return df.select("snapshot_key", "title", F.md5("description").alias("description"))
+    # Compared by digest: a text is joined to the rows kept, not to every row that refers to it.
+    texts_of = descriptions(spark, sf)
+    df = dedup.dedup_text(texts_of.with_digest(snapshots(spark, sf)), ["title", texts_of.digest], "snapshot_key")
+    return texts_of.with_text(df, "description").select("snapshot_key", "title", F.md5("description").alias("description"))
 
 
 @query(
@@ -1493,7 +1495,8 @@ def _(spark, sf):
           <= ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM u""",
 )
 def _(spark, sf):
-    return training.prepare_sft(snapshots(spark, sf, texts=True), "snapshot_key").select("snapshot_key", "title", "split")
+    done = training.prepare_sft(snapshots(spark, sf), "snapshot_key", descriptions=descriptions(spark, sf))
+    return done.select("snapshot_key", "title", "split")
 
 
 @query(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trendspark.functions.hashing import uniform
+from trendspark.operators.dedup import Referred
 from trendspark.plans.score import clean_and_score
 from trendspark.session import stage
 
@@ -78,6 +79,11 @@ def map_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def descriptions(spark: SparkSession, sf: str) -> Referred:
+    """The descriptions the rows refer to, kept apart from them."""
+    return Referred(read(spark, sf, "documents"), "doc_ref", "doc_id", "text")
+
+
 def with_texts(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
     """Add the description a row refers to."""
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("_doc"), F.col("text").alias("description"))
