@@ -1782,7 +1782,8 @@ def _(spark, sf):
     half = uniform("snapshot_key", "landed") < 0.5
     # Two landings, each in several micro-batches; the second brings a part of the first again, later than what it holds.
     for landed in (raw.where(half), raw.where(~half | (uniform("snapshot_key", "again") < 0.3))):
-        landed.drop("snapshot_key").write.mode("append").parquet(landing)
+        # Row groups of 16 MB: a micro-batch of three files is then read by more than three tasks.
+        landed.drop("snapshot_key").write.mode("append").option("parquet.block.size", 16 << 20).parquet(landing)
         stream = snapshot_stream(file_stream(spark, landing, raw.drop("snapshot_key").schema, files_per_trigger=3))
         ingest_keep_last(stream, table, progress, keys, SNAPSHOT_ORDER, keep=lambda df: df.where("viewCount >= 100"))
         compact(spark, table, keys, SNAPSHOT_ORDER, F.date_format("trendingDate", "yyyy-MM"))
