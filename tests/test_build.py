@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendspark.plans.build import build_warehouse
+from trendspark.sources.ragged_csv import read_ragged_csv
 from trendspark.sources.trending_json import parse_trending_json
 from trendspark.sources.warehouse import read_table
+from workload import queries
 
 NOW = "2024-02-01 00:00:00"
 
@@ -38,3 +40,14 @@ def test_feeds_and_responses_become_one_table(spark, tmp_path):
 def test_nothing_given(spark, tmp_path):
     with pytest.raises(ValueError):
         build_warehouse(spark, {}, str(tmp_path / "table"), NOW)
+
+
+def test_landed_feeds_are_packed_and_of_bounded_length(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FEED_ROWS", 40)
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), F.concat(F.lit('say "a, b" '), "id").alias("title")).repartition(3)
+    path = queries._packed_folder(df, "feed")
+    found = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    assert len(found) >= 8 and all(r.path.endswith(".csv.gz") for r in found)
+    back = read_ragged_csv(spark, path)
+    assert sorted(map(tuple, back.select("id", "title").collect())) == sorted(map(tuple, df.collect()))
+    assert back.groupBy("_file").count().where("count > 40").isEmpty()

@@ -65,6 +65,7 @@ def r6(*names: str) -> str:
 
 # ---- Scoring -------------------------------------------------------------------------------------
 
+FEED_ROWS = 50_000  # of a landed file of a feed
 RATE_NAMES = ("viewsPerHr", "likesPerHr", "commentsPerHr", "viewsPerHr_log", "likesPerHr_log", "commentsPerHr_log")
 
 
@@ -1197,6 +1198,14 @@ def _csv_folder(df: DataFrame, label: str, partition: str | None = None) -> str:
     return path
 
 
+def _packed_folder(df: DataFrame, label: str) -> str:
+    """Like ``_csv_folder``, in gzip files, which are not read in splits, of a length that one task reads several of."""
+    path = new_folder(df.sparkSession, label)
+    writer = df.write.option("header", "true").option("escape", '"').option("compression", "gzip")
+    writer.option("maxRecordsPerFile", FEED_ROWS).csv(path)
+    return path
+
+
 @query(
     "ragged_csv_documents",
     "SELECT doc_id, md5(text) AS text, lang, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents",
@@ -1366,7 +1375,7 @@ def _landed(spark: SparkSession, sf: str) -> tuple[dict[str, str], DataFrame]:
     """Two folders of raw CSV feeds, and the rest of the snapshots as parsed responses of a service."""
     rows = snapshots(spark, sf)
     roots = {
-        tag: _csv_folder(_raw_feed(rows.where(F.col("source") == name)).drop("snapshot_key"), tag)
+        tag: _packed_folder(_raw_feed(rows.where(F.col("source") == name)).drop("snapshot_key"), tag)
         for tag, name in (("daily", "src_A"), ("many", "src_N"))
     }
     item = F.struct(
